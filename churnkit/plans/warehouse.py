@@ -9,8 +9,10 @@ each step into a table for the next script: later steps start from files,
 not from a long lineage, and a lost executor costs a re-read, not a
 rebuild of every upstream layer.
 
-Tables keyed by ``customer_id`` are written hash-partitioned on it, so
-partitions hold whole customers and file sizes stay even.
+Customer-grain tables (staging, base, portfolio, wide table, dimensions)
+are written bucketed by ``customer_id`` with one bucket count, so the
+joins between them (base, wide table, fact) and aggregations by customer
+read co-located buckets instead of shuffling both sides again.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from churnkit.config import FIXTURE, ChurnConfig
 from churnkit.operators import model
 from churnkit.plans import staging
-from churnkit.session import materialize, scratch_path
+from churnkit.session import default_buckets, materialize, materialize_bucketed, scratch_path
 from churnkit.sources.csv import read_raw_csv, write_raw_csv
 from churnkit.sources.fixtures import raw_tables
 from churnkit.sources.schemas import RAW_SCHEMAS
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, raw_paths: dict[str, str], cfg: ChurnConfig):
+    def __init__(self, spark: SparkSession, raw_paths: dict[str, str], cfg: ChurnConfig,
+                 buckets: int | None = None):
         self.spark = spark
         self.cfg = cfg
         self.raw_paths = dict(raw_paths)
+        self.buckets = buckets or default_buckets(spark)
         self._tables: dict[str, DataFrame] = {}
 
     # -- construction -----------------------------------------------------
@@ -65,7 +69,7 @@ class Warehouse:
     # -- staging -------------------------------------------------------------
 
     def _by_customer(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df.repartition("customer_id"), name)
+        return materialize_bucketed(df, name, "customer_id", self.buckets)
 
     def staging_customers(self) -> DataFrame:
         return self._table("stg_customers", lambda: self._by_customer(
@@ -86,7 +90,7 @@ class Warehouse:
     # -- reporting model -------------------------------------------------------
 
     def holdings(self) -> DataFrame:
-        return self._table("holdings", lambda: materialize(
+        return self._table("holdings", lambda: self._by_customer(
             model.portfolio(self.staging_products(), self.cfg.product_names), "holdings"))
 
     def churn_analysis(self) -> DataFrame:
@@ -95,11 +99,11 @@ class Warehouse:
                              self.cfg.product_names), "churn-analysis"))
 
     def dim_customer(self) -> DataFrame:
-        return self._table("dim_customer", lambda: materialize(
+        return self._table("dim_customer", lambda: self._by_customer(
             model.dim_customer(self.staging_customers(), stable_input=True), "dim-customer"))
 
     def dim_product(self) -> DataFrame:
-        return self._table("dim_product", lambda: materialize(
+        return self._table("dim_product", lambda: self._by_customer(
             model.dim_product(self.holdings(), self.cfg.product_names, stable_input=True), "dim-product"))
 
     def dim_date(self) -> DataFrame:

@@ -11,6 +11,7 @@ folder chosen.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -56,6 +57,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/churnkit/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _table_name(path: str) -> str:
+    return "churnkit_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+
+
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table bucketed and sorted by ``key``; return a scan of it.
+
+    Tables bucketed the same way on the same key join and aggregate on it
+    without a shuffle. Rows are first hash-partitioned into ``buckets``
+    partitions (the bucketing hash), so each task writes one file per bucket.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = _table_name(path)
+    (
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
+def default_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of it.
 
