@@ -166,4 +166,5 @@ def percentile_exact(
     )
     frac = F.col("_pos") - F.col("_lo")
     result = F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))
-    return agg.select(*by, result.alias(name))
+    # a global aggregate over no rows still yields one row: drop it
+    return agg.filter(F.col("_pos").isNotNull()).select(*by, result.alias(name))

@@ -1,0 +1,5 @@
+"""Streaming form of the raw load (the reference itself has no streams)."""
+
+from churnkit.streaming.load import stream_raw_csv
+
+__all__ = ["stream_raw_csv"]
