@@ -39,8 +39,8 @@ def load_raw(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]
 def write_raw_csv(df: DataFrame, path: str) -> None:
     """Write a raw table as CSV that ``read_raw_csv`` reads back unchanged.
 
-    NULL is written as an empty field; an empty string is quoted. Leading
-    and trailing blanks are kept.
+    NULL is written as an empty field and leading and trailing blanks are
+    kept. An empty string reads back as NULL, as every empty field does.
     """
     (
         df.write.mode("overwrite")
