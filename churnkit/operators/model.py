@@ -23,6 +23,7 @@ from churnkit.functions.dates import (
     year_month,
 )
 from churnkit.functions.metrics import pct
+from churnkit.operators.joins import skew_join
 from churnkit.operators.ordering import rank_rows
 
 CUSTOMER_ATTRIBUTES = (
@@ -61,7 +62,10 @@ def wide_table(customers: DataFrame, activity: DataFrame, holdings: DataFrame, p
     """
     flags = [holding_flag_name(p) for p in product_names]
     cd = F.col("churn_date")
-    joined = customers.join(activity, "customer_id", "inner").join(holdings, "customer_id", "left")
+    # customers and holdings have one row per customer (and share bucketing);
+    # activity may hold many rows for one customer
+    known = customers.join(holdings, "customer_id", "left")
+    joined = skew_join(activity, known, "customer_id", "inner")
     return joined.select(
         *CUSTOMER_ATTRIBUTES,
         *PORTFOLIO_COUNTS,
@@ -145,7 +149,7 @@ def fact_churn(activity: DataFrame, customers_dim: DataFrame, products_dim: Data
         "income_tier", "tenure_band", "age_band",
     )
     p = products_dim.select("customer_id", "product_key")
-    joined = a.join(c, "customer_id").join(p, "customer_id")
+    joined = skew_join(a, c.join(p, "customer_id"), "customer_id")
     rows = joined.select(
         "customer_key",
         "product_key",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnkit.functions.text import as_col
+from churnkit.operators.joins import skew_join
 
 # Severity scale attached to checks (documentation of each finding).
 SEVERITY = ("Critical", "High", "Medium", "Low", "N/A")
@@ -67,13 +68,13 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     repeated many times is one row per task before the shuffle.
     """
     parent_keys = parent.select(key).distinct()
-    return child.join(parent_keys, child[key] == parent_keys[key], "left_anti")
+    return skew_join(child, parent_keys, key, "left_anti")
 
 
 def with_parents(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose key has a parent row (``EXISTS``)."""
     parent_keys = parent.select(key).distinct()
-    return child.join(parent_keys, child[key] == parent_keys[key], "left_semi")
+    return skew_join(child, parent_keys, key, "left_semi")
 
 
 def before_anchor(
@@ -84,6 +85,9 @@ def before_anchor(
     anchor_col: str,
     name: str,
 ) -> DataFrame:
-    """Count child rows dated before their key's anchor date (inner join)."""
-    joined = child.join(anchors, key, "inner")
-    return joined.agg(F.count(F.when(child_date < F.col(anchor_col), F.lit(1))).alias(name))
+    """Count child rows dated before their key's anchor date (inner join).
+
+    ``anchors`` holds one row per key.
+    """
+    joined = skew_join(child.withColumn("_d", child_date), anchors, key, "inner")
+    return joined.filter(F.col("_d") < F.col(anchor_col)).agg(F.count(F.lit(1)).alias(name))

@@ -17,6 +17,7 @@ from churnkit.functions import date_lit, month_name, to_date, to_float, to_int_v
 from churnkit.functions.bands import band
 from churnkit.functions.metrics import pct
 from churnkit.operators import model, quality, segments
+from churnkit.operators.joins import skew_join
 from churnkit.operators.ordering import rank_rows
 from churnkit.plans import staging
 from churnkit.plans.warehouse import Warehouse
@@ -82,7 +83,7 @@ def dq_duplicate_rows(wh: Warehouse) -> DataFrame:
     """Every raw row of a duplicated id, numbered by parsed income (NULL first)."""
     raw = wh.raw("customers")
     dup_ids = quality.duplicate_keys(raw, ["customer_id"]).select("customer_id")
-    rows = raw.join(dup_ids, "customer_id", "left_semi").withColumn("_income", to_float("monthly_income"))
+    rows = skew_join(raw, dup_ids, "customer_id", "left_semi").withColumn("_income", to_float("monthly_income"))
     numbered = rank_rows(rows, [F.col("_income").asc_nulls_first()], by=["customer_id"], name="row_num")
     return numbered.select(*raw.columns, F.col("row_num"))
 
@@ -327,14 +328,14 @@ def _product_counts(wh: Warehouse, keys: list[str]) -> DataFrame:
 @query("eda_09_product_status_share")
 def eda_product_status_share(wh: Warehouse) -> DataFrame:
     per = _product_counts(wh, ["product_status"])
-    joined = wh.base().select("customer_id").join(per, "customer_id")
+    joined = skew_join(wh.base().select("customer_id"), per, "customer_id")
     counts = joined.groupBy("product_status").agg(F.sum("_n").alias("total_products"))
     total = F.sum("total_products").over(Window.partitionBy(F.lit(0)))
     return counts.withColumn("pct_of_total", pct(F.col("total_products"), total))
 
 
 def _products_per_customer(wh: Warehouse, keys: list[str]) -> DataFrame:
-    joined = wh.base().select("customer_id", *keys).join(_product_counts(wh, []), "customer_id")
+    joined = skew_join(wh.base().select("customer_id", *keys), _product_counts(wh, []), "customer_id")
     return joined.groupBy("customer_id", *keys).agg(F.sum("_n").alias("product_count"))
 
 

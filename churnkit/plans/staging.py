@@ -3,7 +3,8 @@
 One chain of column expressions per table; the only shuffles are the
 deduplication of customers (an aggregate by ``customer_id``), the
 per-customer earliest valid join date (an aggregate), and the joins on
-``customer_id`` that use them.
+``customer_id`` that use them. Activity and products may hold many rows
+for one customer, so they are joined with ``skew_join``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from churnkit.functions import (
     year_diff,
 )
 from churnkit.operators.dedupe import dedupe_first
+from churnkit.operators.joins import skew_join
 
 STAGING_CUSTOMER_COLUMNS = (
     "customer_id", "first_name", "last_name", "date_of_birth", "gender", "province", "branch_code",
@@ -105,7 +107,7 @@ def stage_products(raw_products: DataFrame, raw_customers: DataFrame, cfg: Churn
     """
     od = to_date("open_date")
     first = first_valid_join(raw_customers, cfg)
-    p = raw_products.join(first, "customer_id", "left")
+    p = skew_join(raw_products, first, "customer_id", "left")
     valid = (
         F.when(od.isNull(), F.lit(0))
         .when(od < date_lit(cfg.inception_date), F.lit(0))
@@ -133,7 +135,7 @@ def stage_activity(raw_activity: DataFrame, raw_customers: DataFrame, cfg: Churn
     last = to_date("last_txn_date")
     first = first_valid_join(raw_customers, cfg)
     # Inner join with one row per known id = EXISTS filter + date lookup.
-    a = raw_activity.join(first, "customer_id", "inner")
+    a = skew_join(raw_activity, first, "customer_id", "inner")
     return a.select(
         "customer_id",
         F.round(bal, 2).alias("avg_monthly_balance"),
@@ -155,5 +157,5 @@ def analysis_base(customers: DataFrame, activity: DataFrame) -> DataFrame:
     """Customers joined to their activity: the base of every analysis query."""
     c = customers.select(*[x for x in BASE_COLUMNS if x in customers.columns])
     a = activity.select("customer_id", *[x for x in BASE_COLUMNS if x in activity.columns and x != "customer_id"])
-    return c.join(a, "customer_id", "inner").select(*BASE_COLUMNS)
+    return skew_join(a, c, "customer_id", "inner").select(*BASE_COLUMNS)
 

@@ -9,10 +9,14 @@ each step into a table for the next script: later steps start from files,
 not from a long lineage, and a lost executor costs a re-read, not a
 rebuild of every upstream layer.
 
-Customer-grain tables (staging, base, portfolio, wide table, dimensions)
-are written bucketed by ``customer_id`` with one bucket count, so the
-joins between them (base, wide table, fact) and aggregations by customer
-read co-located buckets instead of shuffling both sides again.
+Tables with exactly one row per customer (staging customers, product
+portfolio, both dimensions) are written bucketed by ``customer_id`` with
+one bucket count: their buckets are balanced by construction, and joins
+among them read co-located buckets without a shuffle. Tables that may hold
+many rows for one customer (activity, products, and what is built from
+them) are written unbucketed: a hot customer would make one bucket, and
+every later task reading it, hold that customer's share of the table.
+Their joins go through ``skew_join`` instead.
 """
 
 from __future__ import annotations
@@ -69,6 +73,7 @@ class Warehouse:
     # -- staging -------------------------------------------------------------
 
     def _by_customer(self, df: DataFrame, name: str) -> DataFrame:
+        """A table with one row per customer, bucketed by ``customer_id``."""
         return materialize_bucketed(df, name, "customer_id", self.buckets)
 
     def staging_customers(self) -> DataFrame:
@@ -76,15 +81,15 @@ class Warehouse:
             staging.stage_customers(self.raw("customers"), self.cfg), "staging-customers"))
 
     def staging_products(self) -> DataFrame:
-        return self._table("stg_products", lambda: self._by_customer(
+        return self._table("stg_products", lambda: materialize(
             staging.stage_products(self.raw("products"), self.raw("customers"), self.cfg), "staging-products"))
 
     def staging_activity(self) -> DataFrame:
-        return self._table("stg_activity", lambda: self._by_customer(
+        return self._table("stg_activity", lambda: materialize(
             staging.stage_activity(self.raw("activity"), self.raw("customers"), self.cfg), "staging-activity"))
 
     def base(self) -> DataFrame:
-        return self._table("base", lambda: self._by_customer(
+        return self._table("base", lambda: materialize(
             staging.analysis_base(self.staging_customers(), self.staging_activity()), "base"))
 
     # -- reporting model -------------------------------------------------------
@@ -94,7 +99,7 @@ class Warehouse:
             model.portfolio(self.staging_products(), self.cfg.product_names), "holdings"))
 
     def churn_analysis(self) -> DataFrame:
-        return self._table("churn_analysis", lambda: self._by_customer(
+        return self._table("churn_analysis", lambda: materialize(
             model.wide_table(self.staging_customers(), self.staging_activity(), self.holdings(),
                              self.cfg.product_names), "churn-analysis"))
 

@@ -54,18 +54,41 @@ def test_staging_reads_only_needed_columns_and_pushes_filters(wh):
     assert "ReadSchema: struct<province:string,churned:int>" in p
 
 
-def test_customer_grain_joins_are_shuffle_free(spark, wh):
+def test_one_row_per_customer_tables_join_without_shuffle(spark, wh):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
+        known = wh.staging_customers().join(wh.holdings(), "customer_id", "left")
+        p = plan(known)
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        dims = wh.dim_customer().join(wh.dim_product(), "customer_id")
+        assert "Exchange" not in plan(dims)
+        # activity (unbucketed, possibly skewed) is the only side that moves
         base = staging.analysis_base(wh.staging_customers(), wh.staging_activity())
-        wide = model.wide_table(wh.staging_customers(), wh.staging_activity(), wh.holdings(), wh.cfg.product_names)
-        for df in (base, wide):
-            p = plan(df)
-            assert "SortMergeJoin" in p and "Exchange" not in p
+        p = plan(base)
+        assert p.count("Exchange hashpartitioning(customer_id") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_skew_join_equals_plain_join_and_broadcasts_hot_keys(spark):
+    from churnkit.operators.joins import hot_keys, skew_join
+
+    big = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).when(F.col("id") % 7 == 0, F.lit(None))
+        .otherwise(F.concat(F.lit("K"), (F.col("id") % 500).cast("string"))).alias("k"),
+        F.col("id"))
+    other = spark.range(0, 600).select(
+        F.when(F.col("id") == 0, F.lit("HOT")).otherwise(F.concat(F.lit("K"), F.col("id").cast("string"))).alias("k"),
+        (F.col("id") * 10).alias("w"))
+    assert hot_keys(big, "k", fraction=1.0, min_count=1000) == ["HOT"]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = skew_join(big, other, "k", how, fraction=1.0, min_count=1000)
+        want = big.join(other, "k", how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    p = plan(skew_join(big, other, "k", "inner", hot=["HOT"]))
+    assert "BroadcastHashJoin" in p and "Union" in p
+
+
 def test_dedupe_combines_before_the_shuffle(wh):
     p = plan(staging.dedupe_customers(wh.raw("customers")))
     assert p.index("partial_min") > p.index("Exchange hashpartitioning(customer_id")
