@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from churnkit.functions.metrics import pct
 from churnkit.functions.text import as_col
-from churnkit.operators.ordering import BROADCAST_ROWS, ntile, percentile_exact
+from churnkit.operators.ordering import ntile, percentile_exact
 
 
 def _flag_sum(flag: str) -> Column:
@@ -83,9 +83,8 @@ def summary_by(
         F.round(F.avg(v), digits).alias(names["avg"]),
         F.round(F.stddev_samp(v), digits).alias(names["stdev"]),
     )
+    # both sides hold one row per group; AQE picks the join from their measured sizes
     medians = percentile_exact(df, value, 0.5, by=keys, name="_median", stable_input=stable_input)
-    if medians.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        medians = F.broadcast(medians)
     out = stats.join(medians, list(keys), "left")
     return out.withColumn(names["median"], F.round(F.col("_median"), digits)).drop("_median")
 

@@ -102,3 +102,29 @@ def test_week_number_sunday_start(spark):
 def test_pct_rounding_and_zero_denominator(spark):
     df = spark.createDataFrame([(1, 3), (2, 0), (1, 8)], "c long, n long")
     assert [r[0] for r in df.select(pct("c", "n")).collect()] == [33.33, None, 12.5]
+
+
+def test_date_dimension_against_python_calendar(spark):
+    import calendar
+
+    from churnkit.operators.model import date_dimension
+
+    rows = {r["full_date"]: r for r in date_dimension(spark, "2015-01-01", "2024-12-31").collect()}
+    day, end = dt.date(2015, 1, 1), dt.date(2024, 12, 31)
+    assert len(rows) == (end - day).days + 1 == 3653
+    while day <= end:
+        r = rows[day]
+        sunday1 = (day.isoweekday() % 7) + 1
+        jan1 = (dt.date(day.year, 1, 1).isoweekday() % 7) + 1
+        q = (day.month - 1) // 3 + 1
+        assert r["date_key"] == day.year * 10000 + day.month * 100 + day.day
+        assert (r["year"], r["month_number"], r["quarter"], r["day_of_month"]) == (day.year, day.month, q, day.day)
+        assert r["month_name"] == calendar.month_name[day.month]
+        assert r["day_of_week_name"] == calendar.day_name[day.weekday()]
+        assert r["quarter_label"] == f"Q{q} {day.year}" and r["year_month"] == f"{day.year}-{day.month:02d}"
+        assert r["week_number"] == (day.timetuple().tm_yday + jan1 - 2) // 7 + 1
+        assert r["day_of_week_number"] == sunday1
+        assert r["is_weekend"] == (1 if sunday1 in (1, 7) else 0)
+        last = calendar.monthrange(day.year, day.month)[1]
+        assert r["is_month_end"] == (1 if day.day == last else 0)
+        day += dt.timedelta(days=1)
