@@ -100,6 +100,30 @@ OUTLIER_BALANCE = 1_000_000.0
 CREDIT_SCORE_MIN = 300
 CREDIT_SCORE_MAX = 850
 
+# Severity of each profiling check (Critical / High / Medium / Low, N/A for
+# baselines, Varies for the broad NULL sweeps).
+CHECK_SEVERITY: dict[str, str] = {
+    "DQ-01": "N/A",
+    "DQ-02": "Varies",
+    "DQ-03": "High",
+    "DQ-04": "Medium",
+    "DQ-05": "High",
+    "DQ-06": "High",
+    "DQ-07": "Low",
+    "DQ-08": "Medium",
+    "DQ-09": "N/A",
+    "DQ-10": "Medium",
+    "DQ-11": "Medium",
+    "DQ-12": "High",
+    "DQ-13": "Critical",
+    "DQ-14": "N/A",
+    "DQ-15": "Varies",
+    "DQ-16": "Critical",
+    "DQ-17": "High",
+    "DQ-18": "Critical",
+    "DQ-19": "High",
+}
+
 # Top-N report of retained, high-balance, low-engagement customers.
 AT_RISK_LIMIT = 20
 AT_RISK_MIN_BALANCE = 50000.0

@@ -77,6 +77,29 @@ def with_parents(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return skew_join(child, parent_keys, key, "left_semi")
 
 
+def quality_log(checks: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
+    """One table of findings: ``check_id, severity, metric, value``.
+
+    Each check is a one-row DataFrame of counts; its columns become
+    metrics. The checks run as one job over their shared inputs.
+    """
+    parts = []
+    for check_id, severity, df in checks:
+        metrics = df.select(*[F.col(c).cast("long").alias(c) for c in df.columns])
+        long = metrics.unpivot([], metrics.columns, "metric", "value")
+        parts.append(long.select(F.lit(check_id).alias("check_id"), F.lit(severity).alias("severity"),
+                                 "metric", "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Number of distinct values of ``column``, NULL counted as one value."""
+    return df.groupBy(column).agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias(name))
+
+
 def before_anchor(
     child: DataFrame,
     child_date: Column,

@@ -354,11 +354,17 @@ def _nulls(cols: dict[str, str], table: str) -> str:
     ) + f" FROM {table}"
 
 
-oracle("dq_01_customer_rows", "SELECT count(*) AS total_rows FROM raw_customers", "raw_customers")
-oracle("dq_02_customer_nulls", _nulls({
+CUSTOMER_NULLS = {
     "null_customer_id": "customer_id", "null_dob": "date_of_birth", "null_gender": "gender",
     "null_province": "province", "null_join_date": "join_date", "null_account_status": "account_status",
-    "null_monthly_income": "monthly_income"}, "raw_customers"), "raw_customers")
+    "null_monthly_income": "monthly_income"}
+ACTIVITY_NULLS = {
+    "null_customer_id": "customer_id", "null_balance": "avg_monthly_balance", "null_credit_score": "credit_score",
+    "null_txn_count": "num_transactions_3m", "null_active_member": "is_active_member",
+    "null_last_txn": "last_txn_date", "null_churned": "churned", "null_churn_date": "churn_date"}
+
+oracle("dq_01_customer_rows", "SELECT count(*) AS total_rows FROM raw_customers", "raw_customers")
+oracle("dq_02_customer_nulls", _nulls(CUSTOMER_NULLS, "raw_customers"), "raw_customers")
 oracle("dq_03a_duplicate_ids", """
 SELECT customer_id, count(*) AS occurrence_count FROM raw_customers
 GROUP BY customer_id HAVING count(*) > 1""", "raw_customers")
@@ -399,11 +405,7 @@ SELECT count(*) AS open_before_join FROM raw_products p
 JOIN {_earliest} c ON p.customer_id = c.customer_id
 WHERE TRY_CAST(p.open_date AS DATE) < c.join_date""", "raw_products", "raw_customers")
 oracle("dq_14_activity_rows", "SELECT count(*) AS total_rows FROM raw_activity", "raw_activity")
-oracle("dq_15_activity_nulls", _nulls({
-    "null_customer_id": "customer_id", "null_balance": "avg_monthly_balance", "null_credit_score": "credit_score",
-    "null_txn_count": "num_transactions_3m", "null_active_member": "is_active_member",
-    "null_last_txn": "last_txn_date", "null_churned": "churned", "null_churn_date": "churn_date"},
-    "raw_activity"), "raw_activity")
+oracle("dq_15_activity_nulls", _nulls(ACTIVITY_NULLS, "raw_activity"), "raw_activity")
 oracle("dq_16_orphan_activity", """
 SELECT count(*) AS orphan_records FROM raw_activity a
 WHERE NOT EXISTS (SELECT 1 FROM raw_customers c WHERE c.customer_id = a.customer_id)""",
@@ -423,6 +425,50 @@ SELECT count(CASE WHEN {_int_via_float("credit_score")} < 300 THEN 1 END) AS bel
        count(CASE WHEN {_int_via_float("credit_score")} > 850 THEN 1 END) AS above_maximum
 FROM raw_activity WHERE TRY_CAST(credit_score AS DOUBLE) IS NOT NULL""", "raw_activity")
 
+_fint = _int_via_float("credit_score")
+_LOG = (
+    [("DQ-01", "total_rows", "SELECT count(*) FROM raw_customers")]
+    + [("DQ-02", m, f"SELECT sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM raw_customers")
+       for m, c in CUSTOMER_NULLS.items()]
+    + [("DQ-03", "duplicate_ids",
+        "SELECT count(*) FROM (SELECT customer_id FROM raw_customers GROUP BY customer_id HAVING count(*) > 1)"),
+       ("DQ-04", "gender_variants", "SELECT count(*) FROM (SELECT DISTINCT gender FROM raw_customers)"),
+       ("DQ-05", "province_variants", "SELECT count(*) FROM (SELECT DISTINCT province FROM raw_customers)"),
+       ("DQ-06", "future_join_dates", f"SELECT count(*) FROM raw_customers WHERE TRY_CAST(join_date AS DATE) > {REF}"),
+       ("DQ-07", "unparseable_income_value",
+        "SELECT count(*) FROM raw_customers WHERE TRY_CAST(monthly_income AS DOUBLE) IS NULL"),
+       ("DQ-07", "zero_or_negative_income",
+        "SELECT count(*) FROM raw_customers WHERE TRY_CAST(monthly_income AS DOUBLE) <= 0"),
+       ("DQ-08", "null_account_status", "SELECT count(*) FROM raw_customers WHERE account_status IS NULL"),
+       ("DQ-09", "total_rows", "SELECT count(*) FROM raw_products"),
+       ("DQ-10", "product_name_variants", "SELECT count(*) FROM (SELECT DISTINCT product_name FROM raw_products)"),
+       ("DQ-11", "null_product_status", "SELECT count(*) FROM raw_products WHERE product_status IS NULL"),
+       ("DQ-12", "suspect_open_dates",
+        f"SELECT count(*) FROM raw_products WHERE TRY_CAST(open_date AS DATE) < {INCEPTION}"),
+       ("DQ-13", "open_before_join", f"SELECT count(*) FROM raw_products p JOIN {_earliest} c "
+                                     "ON p.customer_id = c.customer_id WHERE TRY_CAST(p.open_date AS DATE) < c.join_date"),
+       ("DQ-14", "total_rows", "SELECT count(*) FROM raw_activity")]
+    + [("DQ-15", m, f"SELECT sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM raw_activity")
+       for m, c in ACTIVITY_NULLS.items()]
+    + [("DQ-16", "orphan_records", "SELECT count(*) FROM raw_activity a WHERE NOT EXISTS "
+                                   "(SELECT 1 FROM raw_customers c WHERE c.customer_id = a.customer_id)"),
+       ("DQ-17", "txn_before_join", f"SELECT count(*) FROM raw_activity a JOIN {_earliest} c "
+                                    "ON a.customer_id = c.customer_id "
+                                    "WHERE TRY_CAST(a.last_txn_date AS DATE) < c.join_date"),
+       ("DQ-18", "churned_with_date",
+        "SELECT count(*) FROM raw_activity WHERE churned = '1' AND churn_date IS NOT NULL"),
+       ("DQ-18", "not_churned_without_date",
+        "SELECT count(*) FROM raw_activity WHERE churned = '0' AND churn_date IS NULL"),
+       ("DQ-18", "churned_missing_date", "SELECT count(*) FROM raw_activity WHERE churned = '1' AND churn_date IS NULL"),
+       ("DQ-18", "not_churned_has_date",
+        "SELECT count(*) FROM raw_activity WHERE churned = '0' AND churn_date IS NOT NULL"),
+       ("DQ-19", "below_minimum", f"SELECT count(*) FROM raw_activity WHERE {_fint} < 300"),
+       ("DQ-19", "above_maximum", f"SELECT count(*) FROM raw_activity WHERE {_fint} > 850")]
+)
+oracle("dq_00_quality_log", "\nUNION ALL\n".join(
+    f"SELECT '{cid}' AS check_id, '{C.CHECK_SEVERITY[cid]}' AS severity, '{metric}' AS metric, "
+    f"CAST(({q}) AS BIGINT) AS value" for cid, metric, q in _LOG), "raw_customers", "raw_products", "raw_activity")
+
 # --------------------------------------------------------------- staging
 
 oracle("st_01_dedupe_customers", """
@@ -468,21 +514,19 @@ FROM base WHERE is_valid_join_date = 1 GROUP BY year(join_date)""", "base")
 
 
 def _summary_sql(key: str, col: str, digits: int, suffix: str, where: str) -> str:
-    rows = f"(SELECT * FROM base WHERE {where})" if where else "base"
-    v = f"CAST(b.{col} AS DOUBLE)"
+    """Grouped statistics; a NULL key matches no group and is left out."""
+    v = f"CAST({col} AS DOUBLE)"
+    cond = f"{key} IS NOT NULL AND churned IS NOT NULL" + (f" AND {where}" if where else "")
     return f"""
-WITH medians AS (
-  SELECT DISTINCT {key}, churned,
-         quantile_cont(CAST({col} AS DOUBLE), 0.5) OVER (PARTITION BY {key}, churned) AS median_{suffix}
-  FROM {rows} r)
-SELECT b.{key}, b.churned, count(*) AS customer_count,
+SELECT {key}, churned, count(*) AS customer_count,
        {R(f"min({v})", digits)} AS min_{suffix},
        {R(f"max({v})", digits)} AS max_{suffix},
        {R(f"avg({v})", digits)} AS avg_{suffix},
        {R(f"stddev_samp({v})", digits)} AS stdev_{suffix},
-       {R(f"m.median_{suffix}", digits)} AS median_{suffix}
-FROM {rows} b JOIN medians m ON b.{key} = m.{key} AND b.churned = m.churned
-GROUP BY b.{key}, b.churned, m.median_{suffix}"""
+       {R(f"quantile_cont({v}, 0.5)", digits)} AS median_{suffix}
+FROM base
+WHERE {cond}
+GROUP BY {key}, churned"""
 
 
 oracle("eda_07_income_summary", _summary_sql("income_tier", "monthly_income", 0, "income",
@@ -551,41 +595,33 @@ oracle("eda_24_churn_by_month_of_year", """
 SELECT CAST(month(churn_date) AS INTEGER) AS churn_month_number, monthname(churn_date) AS churn_month_name,
        count(*) AS churned_customers
 FROM base WHERE churn_date IS NOT NULL GROUP BY month(churn_date), monthname(churn_date)""", "base")
+_inc = "CAST(monthly_income AS DOUBLE)"
 oracle("eda_25_mean_median_gap", f"""
-WITH skew_stats AS (
-  SELECT DISTINCT
-         quantile_cont(CAST(monthly_income AS DOUBLE), 0.5) OVER () AS median_income,
-         quantile_cont(avg_monthly_balance, 0.5) OVER () AS median_balance
-  FROM base WHERE monthly_income IS NOT NULL)
-SELECT {R("avg(CAST(b.monthly_income AS DOUBLE))", 0)} AS mean_income,
-       {R("max(s.median_income)", 0)} AS median_income,
-       {R("avg(CAST(b.monthly_income AS DOUBLE))", 0)} - {R("max(s.median_income)", 0)} AS income_mean_median_gap,
-       {R("avg(b.avg_monthly_balance)", 2)} AS mean_balance,
-       {R("max(s.median_balance)", 2)} AS median_balance,
-       {R("avg(b.avg_monthly_balance)", 2)} - {R("max(s.median_balance)", 2)} AS balance_mean_median_gap
-FROM base b CROSS JOIN skew_stats s
-WHERE b.monthly_income IS NOT NULL""", "base")
+SELECT {R(f"avg({_inc})", 0)} AS mean_income,
+       {R(f"quantile_cont({_inc}, 0.5)", 0)} AS median_income,
+       {R(f"avg({_inc})", 0)} - {R(f"quantile_cont({_inc}, 0.5)", 0)} AS income_mean_median_gap,
+       {R("avg(avg_monthly_balance)", 2)} AS mean_balance,
+       {R("quantile_cont(avg_monthly_balance, 0.5)", 2)} AS median_balance,
+       {R("avg(avg_monthly_balance)", 2)} - {R("quantile_cont(avg_monthly_balance, 0.5)", 2)}
+           AS balance_mean_median_gap
+FROM base WHERE monthly_income IS NOT NULL""", "base")
 oracle("eda_26_balance_deciles", f"""
-WITH ranked AS (
-  SELECT customer_id, avg_monthly_balance,
-         CAST(NTILE(10) OVER (ORDER BY avg_monthly_balance DESC NULLS LAST, customer_id) AS INTEGER)
-             AS balance_decile
-  FROM base WHERE is_outlier_balance = 0)
 SELECT balance_decile, count(*) AS customer_count, {R("sum(avg_monthly_balance)", 0)} AS total_balance,
        {R("sum(avg_monthly_balance) / sum(sum(avg_monthly_balance)) OVER () * 100", 2)} AS pct_of_total_balance
-FROM ranked GROUP BY balance_decile""", "base")
+FROM (SELECT avg_monthly_balance,
+             CAST(NTILE(10) OVER (ORDER BY avg_monthly_balance DESC NULLS LAST, customer_id) AS INTEGER)
+                 AS balance_decile
+      FROM base WHERE is_outlier_balance = 0) t
+GROUP BY balance_decile""", "base")
+_rate_expr = R("CAST(sum(CAST(churned AS INTEGER)) AS DOUBLE) / count(*) * 100", 2)
 oracle("eda_27_outlier_sensitivity", f"""
-WITH percentiles AS (
-  SELECT DISTINCT quantile_cont(avg_monthly_balance, 0.99) OVER () AS p99_balance FROM base)
 SELECT 'Including top 1%' AS dataset, count(*) AS customer_count,
-       {R("avg(b.avg_monthly_balance)", 2)} AS mean_balance,
-       {R("CAST(sum(CAST(b.churned AS INTEGER)) AS DOUBLE) / count(*) * 100", 2)} AS churn_rate_pct
-FROM base b
+       {R("avg(avg_monthly_balance)", 2)} AS mean_balance, {_rate_expr} AS churn_rate_pct
+FROM base
 UNION ALL
-SELECT 'Excluding top 1%', count(*), {R("avg(b.avg_monthly_balance)", 2)},
-       {R("CAST(sum(CAST(b.churned AS INTEGER)) AS DOUBLE) / count(*) * 100", 2)}
-FROM base b CROSS JOIN percentiles p
-WHERE b.avg_monthly_balance < p.p99_balance""", "base")
+SELECT 'Excluding top 1%', count(*), {R("avg(avg_monthly_balance)", 2)}, {_rate_expr}
+FROM base
+WHERE avg_monthly_balance < (SELECT quantile_cont(avg_monthly_balance, 0.99) FROM base)""", "base")
 
 # ------------------------------------------------------------ wide table
 

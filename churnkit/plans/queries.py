@@ -199,6 +199,38 @@ def dq_credit_score_range(wh: Warehouse) -> DataFrame:
     })
 
 
+@query("dq_00_quality_log")
+def dq_quality_log(wh: Warehouse) -> DataFrame:
+    """Every profiling check as rows of ``check_id, severity, metric, value``.
+
+    Checks that list values (duplicate ids, spelling variants) contribute
+    their number of rows.
+    """
+    customers, products = wh.raw("customers"), wh.raw("products")
+    checks = [
+        ("DQ-01", dq_customer_rows(wh)),
+        ("DQ-02", dq_customer_nulls(wh)),
+        ("DQ-03", quality.row_count(dq_duplicate_ids(wh), "duplicate_ids")),
+        ("DQ-04", quality.distinct_count(customers, "gender", "gender_variants")),
+        ("DQ-05", quality.distinct_count(customers, "province", "province_variants")),
+        ("DQ-06", dq_future_join_dates(wh)),
+        ("DQ-07", dq_income_validity(wh)),
+        ("DQ-08", dq_null_account_status(wh)),
+        ("DQ-09", dq_product_rows(wh)),
+        ("DQ-10", quality.distinct_count(products, "product_name", "product_name_variants")),
+        ("DQ-11", dq_null_product_status(wh)),
+        ("DQ-12", dq_open_before_inception(wh)),
+        ("DQ-13", dq_open_before_join(wh)),
+        ("DQ-14", dq_activity_rows(wh)),
+        ("DQ-15", dq_activity_nulls(wh)),
+        ("DQ-16", dq_orphan_activity(wh)),
+        ("DQ-17", dq_txn_before_join(wh)),
+        ("DQ-18", dq_churn_date_integrity(wh)),
+        ("DQ-19", dq_credit_score_range(wh)),
+    ]
+    return quality.quality_log([(cid, C.CHECK_SEVERITY[cid], df) for cid, df in checks])
+
+
 # ------------------------------------------------------------- staging (S03)
 
 

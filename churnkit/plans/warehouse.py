@@ -32,6 +32,7 @@ from churnkit.session import default_buckets, materialize, materialize_bucketed,
 from churnkit.sources.csv import read_raw_csv, write_raw_csv
 from churnkit.sources.fixtures import raw_tables
 from churnkit.sources.schemas import RAW_SCHEMAS
+from churnkit.sources.sinks import write_table
 
 
 class Warehouse:
@@ -120,6 +121,25 @@ class Warehouse:
             model.fact_churn(self.staging_activity(), self.dim_customer(), self.dim_product()), "fact-churn"))
 
 
+    # -- publishing ------------------------------------------------------------
+
+    PUBLISHED = {
+        "staging.customers": "staging_customers",
+        "staging.products": "staging_products",
+        "staging.activity": "staging_activity",
+        "staging.churn_analysis": "churn_analysis",
+        "staging.dim_customer": "dim_customer",
+        "staging.dim_product": "dim_product",
+        "staging.dim_date": "dim_date",
+        "staging.fact_churn": "fact_churn",
+    }
+
+    def publish(self, root: str, fmt: str = "parquet") -> dict[str, str]:
+        """Write every finished table under ``root`` (one folder per table), replacing old versions."""
+        root = root.rstrip("/")
+        return {name: write_table(getattr(self, attr)(), f"{root}/{name}", fmt) for name, attr in self.PUBLISHED.items()}
+
+
 _WAREHOUSES: dict[tuple, Warehouse] = {}
 
 

@@ -54,3 +54,17 @@ def test_fixture_row_counts_sf001(spark, table, count):
     from churnkit.plans.warehouse import fixture_warehouse
 
     assert fixture_warehouse(spark, "/root/testdata/sf0.01").raw(table).count() == count
+
+
+def test_publish_writes_every_finished_table(spark):
+    from churnkit.plans.warehouse import fixture_warehouse
+
+    wh = fixture_warehouse(spark, "/root/testdata/sf0.001")
+    root = scratch_path(spark, "published")
+    paths = wh.publish(root)
+    assert set(paths) == {"staging.customers", "staging.products", "staging.activity", "staging.churn_analysis",
+                          "staging.dim_customer", "staging.dim_product", "staging.dim_date", "staging.fact_churn"}
+    assert spark.read.parquet(paths["staging.fact_churn"]).count() == wh.fact_churn().count()
+    assert spark.read.parquet(paths["staging.dim_date"]).count() == 2557  # 1995-01-01 .. 2001-12-31
+    wh.publish(root)  # a second run replaces the tables (full refresh)
+    assert spark.read.parquet(paths["staging.customers"]).count() == wh.staging_customers().count()
