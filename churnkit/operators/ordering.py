@@ -73,8 +73,10 @@ def _join_offsets(ordered: DataFrame, offsets: DataFrame, by: Sequence[str]) ->
     cond = ordered["_p"] == renamed["_op"]
     for i, b in enumerate(by):
         cond = cond & ordered[b].eqNullSafe(renamed[f"_ob{i}"])
-    joined = ordered.join(_broadcast_if_small(renamed), cond, "inner")
-    return joined
+    # Without groups the table has one row per sort partition, a bound fixed
+    # by the shuffle partition count; with groups its size is checked first.
+    small = F.broadcast(renamed) if not by else _broadcast_if_small(renamed)
+    return ordered.join(small, cond, "inner")
 
 
 def _rank(df, order, by, name, stable_input):

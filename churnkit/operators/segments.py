@@ -165,9 +165,16 @@ def skew_gap(df: DataFrame, measures: Sequence[tuple[str, int, str]], where: Col
     """
     if where is not None:
         df = df.filter(where)
+    # all medians from one distributed sort of (measure, value) rows
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(column).alias("_measure"), F.col(column).cast("double").alias("_value"))
+        for column, _, _ in measures])).alias("_s")).select("_s._measure", "_s._value")
+    medians = {r["_measure"]: r["_median"] for r in
+               percentile_exact(stacked, "_value", 0.5, by=["_measure"], name="_median",
+                                stable_input=stable_input).collect()}
     cols = []
     for column, digits, suffix in measures:
-        median = _scalar_percentile(df, column, 0.5, stable_input)
+        median = medians.get(column)
         mean = F.round(F.avg(F.col(column).cast("double")), digits)
         med = F.round(F.lit(median).cast("double"), digits)
         cols += [mean.alias(f"mean_{suffix}"), med.alias(f"median_{suffix}"),
