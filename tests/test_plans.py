@@ -21,9 +21,14 @@ def wh(spark):
 
 
 def single_partition_inputs(p: str) -> list[str]:
-    """The operator directly below each single-partition exchange."""
+    """The first operator below each single-partition exchange, looking through projections and filters."""
     lines = p.splitlines()
-    return [lines[i + 1] for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            rest = [x.lstrip(" :+-") for x in lines[i + 1:]]
+            out.append(next((x for x in rest if not x.startswith(("Project", "Filter", "Sort "))), ""))
+    return out
 
 
 def test_ordering_helpers_never_use_unpartitioned_windows_over_rows(spark):
