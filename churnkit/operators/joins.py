@@ -31,12 +31,18 @@ HOT_MAX_KEYS = 10_000
 def hot_keys(
     df: DataFrame,
     key: str,
-    fraction: float = HOT_SAMPLE_FRACTION,
-    min_count: int = HOT_MIN_SAMPLE_COUNT,
-    max_keys: int = HOT_MAX_KEYS,
+    fraction: float | None = None,
+    min_count: int | None = None,
+    max_keys: int | None = None,
     seed: int = 17,
 ) -> list:
-    """Keys holding a large share of ``df``'s rows, estimated on a sample."""
+    """Keys holding a large share of ``df``'s rows, estimated on a sample.
+
+    Unset parameters take the module settings at call time.
+    """
+    fraction = HOT_SAMPLE_FRACTION if fraction is None else fraction
+    min_count = HOT_MIN_SAMPLE_COUNT if min_count is None else min_count
+    max_keys = HOT_MAX_KEYS if max_keys is None else max_keys
     sample = df.select(key)
     if fraction < 1.0:
         sample = sample.sample(fraction=fraction, seed=seed)

@@ -177,10 +177,12 @@ def unmatched_keys(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     """
     if skip_null:
         fact = fact.filter(F.col(fact_key).isNotNull())
-    keys = dim.select(F.col(dim_key).alias("_k")).distinct()
+    keys = dim.select(F.col(dim_key).alias(fact_key)).distinct()
+    rows = fact.select(fact_key)
     if small_dim:
-        keys = F.broadcast(keys)
-    missing = fact.join(keys, fact[fact_key] == keys["_k"], "left_anti")
+        missing = rows.join(F.broadcast(keys), fact_key, "left_anti")
+    else:
+        missing = skew_join(rows, keys, fact_key, "left_anti")
     return missing.agg(F.count(F.lit(1)).alias(name))
 
 
