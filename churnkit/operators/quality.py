@@ -77,18 +77,36 @@ def with_parents(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return skew_join(child, parent_keys, key, "left_semi")
 
 
-def quality_log(checks: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
+Metric = tuple[str, str, str, Column]  # check id, severity, metric name, aggregate expression
+
+
+def _log_rows(row: DataFrame, labels: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Turn a one-row frame of counts (columns in ``labels`` order) into log rows."""
+    entries = [
+        F.struct(F.lit(cid).alias("check_id"), F.lit(sev).alias("severity"), F.lit(metric).alias("metric"),
+                 F.col(c).cast("long").alias("value"))
+        for (cid, sev, metric), c in zip(labels, row.columns)
+    ]
+    return row.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+
+
+def quality_log(
+    scans: Sequence[tuple[DataFrame, Sequence[Metric]]] = (),
+    frames: Sequence[tuple[str, str, DataFrame]] = (),
+) -> DataFrame:
     """One table of findings: ``check_id, severity, metric, value``.
 
-    Each check is a one-row DataFrame of counts; its columns become
-    metrics. The checks run as one job over their shared inputs.
+    ``scans`` pairs a table with aggregate metrics over it: all metrics of a
+    table are computed in one pass (one scan per table, not one per check).
+    ``frames`` are checks already computed as one-row frames of counts
+    (joins, distinct counts); each column becomes a metric.
     """
     parts = []
-    for check_id, severity, df in checks:
-        metrics = df.select(*[F.col(c).cast("long").alias(c) for c in df.columns])
-        long = metrics.unpivot([], metrics.columns, "metric", "value")
-        parts.append(long.select(F.lit(check_id).alias("check_id"), F.lit(severity).alias("severity"),
-                                 "metric", "value"))
+    for df, metrics in scans:
+        row = df.agg(*[expr.alias(f"_m{i}") for i, (_, _, _, expr) in enumerate(metrics)])
+        parts.append(_log_rows(row, [(cid, sev, name) for cid, sev, name, _ in metrics]))
+    for cid, sev, df in frames:
+        parts.append(_log_rows(df, [(cid, sev, c) for c in df.columns]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -64,13 +64,21 @@ def dq_customer_rows(wh: Warehouse) -> DataFrame:
     return quality.row_count(wh.raw("customers"))
 
 
+CUSTOMER_NULLS = {
+    "null_customer_id": "customer_id", "null_dob": "date_of_birth", "null_gender": "gender",
+    "null_province": "province", "null_join_date": "join_date", "null_account_status": "account_status",
+    "null_monthly_income": "monthly_income",
+}
+ACTIVITY_NULLS = {
+    "null_customer_id": "customer_id", "null_balance": "avg_monthly_balance", "null_credit_score": "credit_score",
+    "null_txn_count": "num_transactions_3m", "null_active_member": "is_active_member",
+    "null_last_txn": "last_txn_date", "null_churned": "churned", "null_churn_date": "churn_date",
+}
+
+
 @query("dq_02_customer_nulls")
 def dq_customer_nulls(wh: Warehouse) -> DataFrame:
-    return quality.null_profile(wh.raw("customers"), {
-        "null_customer_id": "customer_id", "null_dob": "date_of_birth", "null_gender": "gender",
-        "null_province": "province", "null_join_date": "join_date", "null_account_status": "account_status",
-        "null_monthly_income": "monthly_income",
-    })
+    return quality.null_profile(wh.raw("customers"), CUSTOMER_NULLS)
 
 
 @query("dq_03a_duplicate_ids")
@@ -159,12 +167,7 @@ def dq_activity_rows(wh: Warehouse) -> DataFrame:
 
 @query("dq_15_activity_nulls")
 def dq_activity_nulls(wh: Warehouse) -> DataFrame:
-    return quality.null_profile(wh.raw("activity"), {
-        "null_customer_id": "customer_id", "null_balance": "avg_monthly_balance",
-        "null_credit_score": "credit_score", "null_txn_count": "num_transactions_3m",
-        "null_active_member": "is_active_member", "null_last_txn": "last_txn_date", "null_churned": "churned",
-        "null_churn_date": "churn_date",
-    })
+    return quality.null_profile(wh.raw("activity"), ACTIVITY_NULLS)
 
 
 @query("dq_16_orphan_activity")
@@ -206,29 +209,50 @@ def dq_quality_log(wh: Warehouse) -> DataFrame:
     Checks that list values (duplicate ids, spelling variants) contribute
     their number of rows.
     """
-    customers, products = wh.raw("customers"), wh.raw("products")
-    checks = [
-        ("DQ-01", dq_customer_rows(wh)),
-        ("DQ-02", dq_customer_nulls(wh)),
-        ("DQ-03", quality.row_count(dq_duplicate_ids(wh), "duplicate_ids")),
-        ("DQ-04", quality.distinct_count(customers, "gender", "gender_variants")),
-        ("DQ-05", quality.distinct_count(customers, "province", "province_variants")),
-        ("DQ-06", dq_future_join_dates(wh)),
-        ("DQ-07", dq_income_validity(wh)),
-        ("DQ-08", dq_null_account_status(wh)),
-        ("DQ-09", dq_product_rows(wh)),
-        ("DQ-10", quality.distinct_count(products, "product_name", "product_name_variants")),
-        ("DQ-11", dq_null_product_status(wh)),
-        ("DQ-12", dq_open_before_inception(wh)),
-        ("DQ-13", dq_open_before_join(wh)),
-        ("DQ-14", dq_activity_rows(wh)),
-        ("DQ-15", dq_activity_nulls(wh)),
-        ("DQ-16", dq_orphan_activity(wh)),
-        ("DQ-17", dq_txn_before_join(wh)),
-        ("DQ-18", dq_churn_date_integrity(wh)),
-        ("DQ-19", dq_credit_score_range(wh)),
+    sev = C.CHECK_SEVERITY
+    customers, products, activity = wh.raw("customers"), wh.raw("products"), wh.raw("activity")
+    rows = F.count(F.lit(1))
+
+    def nulls(cid, names):
+        return [(cid, sev[cid], n, F.sum(F.when(F.col(c).isNull(), 1).otherwise(0))) for n, c in names.items()]
+
+    def where(cond):
+        return F.count(F.when(cond, F.lit(1)))
+
+    inc = to_float("monthly_income")
+    ch, cd = F.col("churned"), F.col("churn_date")
+    score_known = to_float("credit_score").isNotNull()
+    score = to_int_via_float("credit_score")
+    scans = [
+        (customers, [("DQ-01", sev["DQ-01"], "total_rows", rows)]
+         + nulls("DQ-02", CUSTOMER_NULLS)
+         + [("DQ-06", sev["DQ-06"], "future_join_dates", where(to_date("join_date") > date_lit(wh.cfg.reference_date))),
+            ("DQ-07", sev["DQ-07"], "unparseable_income_value", where(inc.isNull())),
+            ("DQ-07", sev["DQ-07"], "zero_or_negative_income", where(inc <= 0)),
+            ("DQ-08", sev["DQ-08"], "null_account_status", where(F.col("account_status").isNull()))]),
+        (products, [("DQ-09", sev["DQ-09"], "total_rows", rows),
+                    ("DQ-11", sev["DQ-11"], "null_product_status", where(F.col("product_status").isNull())),
+                    ("DQ-12", sev["DQ-12"], "suspect_open_dates",
+                     where(to_date("open_date") < date_lit(wh.cfg.inception_date)))]),
+        (activity, [("DQ-14", sev["DQ-14"], "total_rows", rows)]
+         + nulls("DQ-15", ACTIVITY_NULLS)
+         + [("DQ-18", sev["DQ-18"], "churned_with_date", where((ch == "1") & cd.isNotNull())),
+            ("DQ-18", sev["DQ-18"], "not_churned_without_date", where((ch == "0") & cd.isNull())),
+            ("DQ-18", sev["DQ-18"], "churned_missing_date", where((ch == "1") & cd.isNull())),
+            ("DQ-18", sev["DQ-18"], "not_churned_has_date", where((ch == "0") & cd.isNotNull())),
+            ("DQ-19", sev["DQ-19"], "below_minimum", where(score_known & (score < C.CREDIT_SCORE_MIN))),
+            ("DQ-19", sev["DQ-19"], "above_maximum", where(score_known & (score > C.CREDIT_SCORE_MAX)))]),
+    ]
+    frames = [
+        ("DQ-03", sev["DQ-03"], quality.row_count(dq_duplicate_ids(wh), "duplicate_ids")),
+        ("DQ-04", sev["DQ-04"], quality.distinct_count(customers, "gender", "gender_variants")),
+        ("DQ-05", sev["DQ-05"], quality.distinct_count(customers, "province", "province_variants")),
+        ("DQ-10", sev["DQ-10"], quality.distinct_count(products, "product_name", "product_name_variants")),
+        ("DQ-13", sev["DQ-13"], dq_open_before_join(wh)),
+        ("DQ-16", sev["DQ-16"], dq_orphan_activity(wh)),
+        ("DQ-17", sev["DQ-17"], dq_txn_before_join(wh)),
     ]
-    return quality.quality_log([(cid, C.CHECK_SEVERITY[cid], df) for cid, df in checks])
+    return quality.quality_log(scans, frames)
 
 
 # ------------------------------------------------------------- staging (S03)
