@@ -24,6 +24,15 @@ def band(c, limits: Sequence[tuple[float, str]], top_label: str, null_label: str
     return F.lit(top_label) if out is None else out.otherwise(F.lit(top_label))
 
 
+def zero_then_band(c, zero_label: str, limits: Sequence[tuple[float, str]], top_label: str) -> Column:
+    """Exactly zero -> ``zero_label``, then ``value < limit`` bands, else ``top_label``.
+
+    Negative values land in the first band.
+    """
+    c = as_col(c)
+    return F.when(c == 0, F.lit(zero_label)).otherwise(band(c, limits, top_label))
+
+
 def range_band(
     c,
     ranges: Sequence[tuple[int, int, str]],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from churnkit import config as C
 from churnkit.functions import date_lit, month_name, to_date, to_float, to_int_via_float, year_month
-from churnkit.functions.bands import band
+from churnkit.functions.bands import zero_then_band
 from churnkit.functions.metrics import pct
 from churnkit.operators import model, quality, segments
 from churnkit.operators.joins import skew_join
@@ -149,7 +149,7 @@ def dq_open_before_inception(wh: Warehouse) -> DataFrame:
 
 def _earliest_join(wh: Warehouse) -> DataFrame:
     """Earliest parseable join date per id; future dates count (profiling form)."""
-    return staging.first_valid_join(wh.raw("customers"), wh.cfg, upper_bound=False).filter(
+    return wh.join_anchors().select("customer_id", F.col("first_join_any").alias("first_join_date")).filter(
         F.col("first_join_date").isNotNull()
     )
 
@@ -449,7 +449,7 @@ def eda_rate_by_active_member(wh: Warehouse) -> DataFrame:
 @query("eda_18_rate_by_txn_band")
 def eda_rate_by_txn_band(wh: Warehouse) -> DataFrame:
     txn = F.col("num_transactions_3m")
-    txn_band = F.when(txn == 0, F.lit(C.TXN_ZERO_LABEL)).otherwise(band(txn, C.TXN_BANDS, C.TXN_TOP))
+    txn_band = zero_then_band(txn, C.TXN_ZERO_LABEL, C.TXN_BANDS, C.TXN_TOP)
     rows = wh.base().filter(txn.isNotNull()).select("churned", txn_band.alias("txn_band"))
     return segments.rate_by(rows, ["txn_band"])
 

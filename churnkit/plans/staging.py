@@ -53,19 +53,20 @@ def dedupe_customers(raw_customers: DataFrame) -> DataFrame:
     return dedupe_first(raw_customers, ["customer_id"], [to_float("monthly_income")])
 
 
-def first_valid_join(raw_customers: DataFrame, cfg: ChurnConfig, upper_bound: bool = True) -> DataFrame:
-    """Every raw customer id (once) with its earliest parseable join date.
+def join_anchors(raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
+    """Every raw customer id once, with two earliest join dates, in one pass.
 
-    Taken over raw, not deduplicated, rows. With ``upper_bound`` only dates
-    on or before the reference date count. Ids without such a date get
-    NULL, so the table doubles as the set of known ids: an inner join with
-    it is the ``EXISTS`` test and the date lookup in one shuffle.
+    ``first_join_date``: earliest parseable date on or before the reference
+    date (staging rules); ``first_join_any``: earliest parseable date
+    (profiling rules). Either is NULL when the id has no such date. Taken
+    over raw, not deduplicated, rows.
     """
     jd = to_date("join_date")
-    cond = jd.isNotNull()
-    if upper_bound:
-        cond = cond & (jd <= date_lit(cfg.reference_date))
-    return raw_customers.groupBy("customer_id").agg(F.min(F.when(cond, jd)).alias("first_join_date"))
+    valid = jd.isNotNull() & (jd <= date_lit(cfg.reference_date))
+    return raw_customers.groupBy("customer_id").agg(
+        F.min(F.when(valid, jd)).alias("first_join_date"),
+        F.min(jd).alias("first_join_any"),
+    )
 
 
 def stage_customers(raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
@@ -100,13 +101,17 @@ def stage_customers(raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
     )
 
 
-def stage_products(raw_products: DataFrame, raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
+def stage_products(raw_products: DataFrame, raw_customers: DataFrame, cfg: ChurnConfig,
+                   anchors: DataFrame | None = None) -> DataFrame:
     """Clean product names, parse open dates, flag impossible ones, impute status.
 
     Raw products are kept as they are: no deduplication, no orphan filter.
+    ``anchors`` (from ``join_anchors``) is computed from ``raw_customers``
+    when not given.
     """
     od = to_date("open_date")
-    first = first_valid_join(raw_customers, cfg)
+    first = (anchors if anchors is not None else join_anchors(raw_customers, cfg)).select(
+        "customer_id", "first_join_date")
     p = skew_join(raw_products, first, "customer_id", "left")
     valid = (
         F.when(od.isNull(), F.lit(0))
@@ -123,7 +128,8 @@ def stage_products(raw_products: DataFrame, raw_customers: DataFrame, cfg: Churn
     )
 
 
-def stage_activity(raw_activity: DataFrame, raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
+def stage_activity(raw_activity: DataFrame, raw_customers: DataFrame, cfg: ChurnConfig,
+                   anchors: DataFrame | None = None) -> DataFrame:
     """Typed activity of known customers, with bands and validity flags.
 
     Tiers use the unrounded balance; the stored balance is rounded to 2.
@@ -133,7 +139,8 @@ def stage_activity(raw_activity: DataFrame, raw_customers: DataFrame, cfg: Churn
     score_f = to_float("credit_score")
     score = to_int_via_float("credit_score")
     last = to_date("last_txn_date")
-    first = first_valid_join(raw_customers, cfg)
+    first = (anchors if anchors is not None else join_anchors(raw_customers, cfg)).select(
+        "customer_id", "first_join_date")
     # Inner join with one row per known id = EXISTS filter + date lookup.
     a = skew_join(raw_activity, first, "customer_id", "inner")
     return a.select(

@@ -77,17 +77,24 @@ class Warehouse:
         """A table with one row per customer, bucketed by ``customer_id``."""
         return materialize_bucketed(df, name, "customer_id", self.buckets)
 
+    def join_anchors(self) -> DataFrame:
+        """Every raw customer id with its earliest join dates (one row per id)."""
+        return self._table("join_anchors", lambda: self._by_customer(
+            staging.join_anchors(self.raw("customers"), self.cfg), "join-anchors"))
+
     def staging_customers(self) -> DataFrame:
         return self._table("stg_customers", lambda: self._by_customer(
             staging.stage_customers(self.raw("customers"), self.cfg), "staging-customers"))
 
     def staging_products(self) -> DataFrame:
         return self._table("stg_products", lambda: materialize(
-            staging.stage_products(self.raw("products"), self.raw("customers"), self.cfg), "staging-products"))
+            staging.stage_products(self.raw("products"), self.raw("customers"), self.cfg, self.join_anchors()),
+            "staging-products"))
 
     def staging_activity(self) -> DataFrame:
         return self._table("stg_activity", lambda: materialize(
-            staging.stage_activity(self.raw("activity"), self.raw("customers"), self.cfg), "staging-activity"))
+            staging.stage_activity(self.raw("activity"), self.raw("customers"), self.cfg, self.join_anchors()),
+            "staging-activity"))
 
     def base(self) -> DataFrame:
         return self._table("base", lambda: materialize(

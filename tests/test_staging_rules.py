@@ -161,3 +161,40 @@ def test_tied_balances_deciles_are_stable(spark):
         expected.append((t, size, round(sum(values[start:start + size]), 0)))
         start += size
     assert got == expected
+
+
+def test_tier_uses_unrounded_balance(spark):
+    ra = spark.createDataFrame([("C1", "9999.996", None, None, None, None, "0", None)], RAW_ACTIVITY)
+    rc = spark.createDataFrame([("C1",) + (None,) * 9], RAW_CUSTOMERS)
+    row = staging.stage_activity(ra, rc, BANK).first()
+    assert row["avg_monthly_balance"] == 10000.0  # stored rounded
+    assert row["balance_tier"] == "R0 - R9,999"  # banded before rounding
+
+
+def test_transaction_band_negative_counts_fall_in_first_band(spark):
+    from churnkit import config as C
+    from churnkit.functions import zero_then_band
+
+    df = spark.createDataFrame([(-2,), (0,), (4,), (5,), (19,), (20,)], "t int")
+    got = [r[0] for r in df.select(zero_then_band("t", C.TXN_ZERO_LABEL, C.TXN_BANDS, C.TXN_TOP)).collect()]
+    assert got == ["1-4", "No Activity", "1-4", "5-9", "10-19", "20+"]
+
+
+def test_earliest_join_date_is_taken_over_raw_duplicates(spark):
+    # the kept row (lowest income) joined in 2019, its duplicate in 2017: products opened in 2018 are valid
+    rc = spark.createDataFrame([
+        ("C1", None, None, None, None, None, None, "2019-01-01", None, "100.0"),
+        ("C1", None, None, None, None, None, None, "2017-01-01", None, "200.0"),
+    ], RAW_CUSTOMERS)
+    rp = spark.createDataFrame([("C1", "HL", "2018-01-01", "Active"), ("C1", "HL", "2016-12-31", "Active")],
+                               RAW_PRODUCTS)
+    kept = staging.stage_customers(rc, BANK).first()
+    assert kept["join_date"] == dt.date(2019, 1, 1)
+    flags = sorted((r["open_date"], r["is_valid_open_date"]) for r in staging.stage_products(rp, rc, BANK).collect())
+    assert flags == [(dt.date(2016, 12, 31), 0), (dt.date(2018, 1, 1), 1)]
+
+
+def test_ids_compare_in_binary(spark):
+    rc = spark.createDataFrame([("c1",) + (None,) * 9, ("C1",) + (None,) * 9, ("C1 ",) + (None,) * 9],
+                               RAW_CUSTOMERS)
+    assert staging.stage_customers(rc, BANK).count() == 3
