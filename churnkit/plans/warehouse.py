@@ -1,6 +1,6 @@
 """The pipeline's layers, each built once per session and read as a table.
 
-``raw`` (CSV, all strings) -> ``staging`` (typed, cleaned) -> ``base``
+``raw`` (CSV loaded once into all-string tables) -> ``staging`` (typed, cleaned) -> ``base``
 (customers joined to activity) -> ``churn_analysis`` (wide table) and the
 star schema (``dim_customer``, ``dim_product``, ``dim_date``,
 ``fact_churn``). Each layer is written as Parquet under the shared
@@ -69,7 +69,13 @@ class Warehouse:
     # -- raw ----------------------------------------------------------------
 
     def raw(self, name: str) -> DataFrame:
-        return self._table(f"raw_{name}", lambda: read_raw_csv(self.spark, self.raw_paths[name], RAW_SCHEMAS[name]))
+        """The loaded raw table: the CSV export parsed once, stored as all-string Parquet.
+
+        Profiling checks and staging builds then read only the columns they
+        use, instead of parsing the whole CSV again for each of them.
+        """
+        return self._table(f"raw_{name}", lambda: materialize(
+            read_raw_csv(self.spark, self.raw_paths[name], RAW_SCHEMAS[name]), f"raw-{name}"))
 
     # -- staging -------------------------------------------------------------
 
