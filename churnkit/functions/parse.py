@@ -21,9 +21,10 @@ ISO_DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 
 
 def to_float(c) -> Column:
-    """Decimal text -> double; anything else -> NULL."""
+    """Decimal text -> double; anything else, or a value beyond the double range, -> NULL."""
     c = as_col(c)
-    return F.when(c.rlike(DECIMAL_PATTERN), F.trim(c).try_cast("double"))
+    parsed = F.trim(c).try_cast("double")
+    return F.when(c.rlike(DECIMAL_PATTERN) & (F.abs(parsed) != F.lit(float("inf"))), parsed)
 
 
 def to_int_via_float(c) -> Column:

@@ -29,13 +29,14 @@ text = st.lists(
 def py_float(s):
     if s is None or not re.match(DECIMAL_PATTERN, s):
         return None
-    return float(s.strip())
+    f = float(s.strip())
+    return None if math.isinf(f) else f  # beyond the double range
 
 
 def py_int_via_float(s):
     f = py_float(s)
-    if f is None or math.isinf(f):
-        return None  # out of range for an int
+    if f is None:
+        return None
     t = math.trunc(f)
     return t if -(2**31) <= t < 2**31 else None
 
@@ -50,7 +51,7 @@ def py_int(s):
 def test_overflowing_decimal_text(spark):
     df = spark.createDataFrame([("1e999",), ("-1e999",)], "s string")
     rows = df.select(to_float("s"), to_int_via_float("s")).collect()
-    assert rows[0][0] == float("inf") and rows[0][1] is None and rows[1][1] is None
+    assert rows == [(None, None), (None, None)]
 
 
 @SETTINGS
