@@ -47,19 +47,21 @@ class Warehouse:
     # -- construction -----------------------------------------------------
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, raw_paths: dict[str, str], cfg: ChurnConfig) -> "Warehouse":
+    def from_csv(cls, spark: SparkSession, raw_paths: dict[str, str], cfg: ChurnConfig,
+                 buckets: int | None = None) -> "Warehouse":
         """A pipeline over CSV exports: paths for ``customers``, ``products``, ``activity``."""
-        return cls(spark, raw_paths, cfg)
+        return cls(spark, raw_paths, cfg, buckets)
 
     @classmethod
-    def from_fixtures(cls, spark: SparkSession, sf_dir: str, cfg: ChurnConfig = FIXTURE) -> "Warehouse":
+    def from_fixtures(cls, spark: SparkSession, sf_dir: str, cfg: ChurnConfig = FIXTURE,
+                      buckets: int | None = None) -> "Warehouse":
         """A pipeline over the adapter tables of ``sf_dir``, exported once as CSV."""
         root = scratch_path(spark, "raw")
         paths = {}
         for name, df in raw_tables(spark, sf_dir).items():
             paths[name] = f"{root}/{name}"
             write_raw_csv(df, paths[name])
-        return cls(spark, paths, cfg)
+        return cls(spark, paths, cfg, buckets)
 
     def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:

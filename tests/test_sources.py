@@ -68,3 +68,20 @@ def test_publish_writes_every_finished_table(spark):
     assert spark.read.parquet(paths["staging.dim_date"]).count() == 2557  # 1995-01-01 .. 2001-12-31
     wh.publish(root)  # a second run replaces the tables (full refresh)
     assert spark.read.parquet(paths["staging.customers"]).count() == wh.staging_customers().count()
+
+
+def test_command_line_run_over_csv_exports(spark, capsys):
+    from churnkit.__main__ import main
+    from churnkit.plans.warehouse import Warehouse
+
+    fx = Warehouse.from_fixtures(spark, "/root/testdata/sf0.001")  # writes the three CSV exports
+    out = scratch_path(spark, "cli-out")
+    assert main(["--customers", fx.raw_paths["customers"], "--products", fx.raw_paths["products"],
+                 "--activity", fx.raw_paths["activity"], "--out", out,
+                 "--reference-date", "2001-12-31", "--inception-date", "1995-01-01",
+                 "--show", "eda_01_overall_rate"]) == 0
+    assert "eda_01_overall_rate" in capsys.readouterr().out
+    rate = spark.read.parquet(f"{out}/reports/eda_01_overall_rate").first()
+    assert rate["total_customers"] == spark.read.parquet(f"{out}/staging.churn_analysis").count()
+    log = spark.read.parquet(f"{out}/reports/dq_00_quality_log")
+    assert log.filter("check_id = 'DQ-13'").first()["severity"] == "Critical"
