@@ -8,6 +8,7 @@ helper, so no step holds the whole table in one task.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,8 +102,8 @@ def date_dimension(spark: SparkSession, start: str, end: str) -> DataFrame:
     by recursion or one exploded array.
     """
     first = F.lit(start).cast("date")
-    n_days = spark.range(1).select(F.datediff(F.lit(end).cast("date"), first).alias("n")).first()["n"]
-    days = spark.range(0, max(n_days + 1, 0)).select(F.date_add(first, F.col("id").cast("int")).alias("d"))
+    n_days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days + 1
+    days = spark.range(0, max(n_days, 0)).select(F.date_add(first, F.col("id").cast("int")).alias("d"))
     d = F.col("d")
     q = F.quarter(d)
     dow = weekday_number(d)

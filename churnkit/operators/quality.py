@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from churnkit.functions.text import as_col
 from churnkit.operators.joins import skew_join
 
-# Severity scale attached to checks (documentation of each finding).
-SEVERITY = ("Critical", "High", "Medium", "Low", "N/A")
-
-
 def row_count(df: DataFrame, name: str = "total_rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
