@@ -44,6 +44,17 @@ def rate_by(
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
+def with_share(counts: DataFrame, count_name: str, pct_name: str) -> DataFrame:
+    """Add each row's percentage of the column total.
+
+    The total is one number summed from the (already aggregated) rows by a
+    distributed job, so no step gathers all groups into one task, however
+    many distinct keys there are.
+    """
+    total = counts.agg(F.sum(count_name)).first()[0]
+    return counts.withColumn(pct_name, pct(F.col(count_name), F.lit(total)))
+
+
 def share_of_total(
     df: DataFrame,
     keys: Sequence[str | Column],
@@ -52,8 +63,7 @@ def share_of_total(
 ) -> DataFrame:
     """Rows per key and their percentage of all rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name))
-    total = F.sum(count_name).over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn(pct_name, pct(F.col(count_name), total))
+    return with_share(counts, count_name, pct_name)
 
 
 def summary_by(

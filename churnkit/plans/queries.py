@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit import config as C
@@ -386,8 +386,7 @@ def eda_product_status_share(wh: Warehouse) -> DataFrame:
     per = _product_counts(wh, ["product_status"])
     joined = skew_join(wh.base().select("customer_id"), per, "customer_id")
     counts = joined.groupBy("product_status").agg(F.sum("_n").alias("total_products"))
-    total = F.sum("total_products").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("pct_of_total", pct(F.col("total_products"), total))
+    return segments.with_share(counts, "total_products", "pct_of_total")
 
 
 def _products_per_customer(wh: Warehouse, keys: list[str]) -> DataFrame:
