@@ -27,6 +27,8 @@ HOT_SAMPLE_FRACTION = 0.001
 HOT_MIN_SAMPLE_COUNT = 100
 HOT_MAX_KEYS = 10_000
 
+_HOT_CACHE: dict[tuple, tuple] = {}
+
 
 def hot_keys(
     df: DataFrame,
@@ -44,6 +46,12 @@ def hot_keys(
     min_count = HOT_MIN_SAMPLE_COUNT if min_count is None else min_count
     max_keys = HOT_MAX_KEYS if max_keys is None else max_keys
     sample = df.select(key)
+    # Many joins read the same stored table; sample it once per session.
+    # (The estimate only steers speed, so reusing it is always safe.)
+    cache_key = (df.sparkSession.sparkContext.applicationId,
+                 sample._jdf.queryExecution().optimizedPlan().semanticHash(), fraction, min_count, max_keys, seed)
+    if cache_key in _HOT_CACHE:
+        return list(_HOT_CACHE[cache_key])
     if fraction < 1.0:
         sample = sample.sample(fraction=fraction, seed=seed)
     counts = (
@@ -54,7 +62,9 @@ def hot_keys(
         .orderBy(F.col("_n").desc())
         .limit(max_keys)
     )
-    return [r[0] for r in counts.collect()]
+    keys = [r[0] for r in counts.collect()]
+    _HOT_CACHE[cache_key] = tuple(keys)
+    return keys
 
 
 def skew_join(big: DataFrame, other: DataFrame, key: str, how: str = "inner", hot: list | None = None,
