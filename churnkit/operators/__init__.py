@@ -1,0 +1,38 @@
+"""Table operators: deduplication, quality checks, skew-aware joins,
+distributed ordering, segment analyses and the reporting model."""
+
+from churnkit.operators.dedupe import dedupe_first
+from churnkit.operators.joins import hot_keys, skew_join
+from churnkit.operators.ordering import ntile, percentile_exact, rank_rows
+from churnkit.operators.quality import (
+    before_anchor,
+    count_where,
+    distinct_count,
+    duplicate_keys,
+    null_profile,
+    orphans,
+    quality_log,
+    row_count,
+    row_counts,
+    value_counts,
+    with_parents,
+)
+from churnkit.operators.segments import (
+    counts_by,
+    ntile_share,
+    outlier_sensitivity,
+    period_change,
+    rate_by,
+    share_of_total,
+    skew_gap,
+    summary_by,
+    top_n,
+    with_share,
+)
+
+__all__ = [
+    "before_anchor", "count_where", "counts_by", "dedupe_first", "distinct_count", "duplicate_keys", "hot_keys",
+    "ntile", "ntile_share", "null_profile", "orphans", "outlier_sensitivity", "percentile_exact", "period_change",
+    "quality_log", "rank_rows", "rate_by", "row_count", "row_counts", "share_of_total", "skew_gap", "skew_join",
+    "summary_by", "top_n", "value_counts", "with_parents", "with_share",
+]
