@@ -11,7 +11,9 @@ from churnkit.operators.quality import (
     duplicate_keys,
     null_profile,
     orphans,
+    pair_check,
     quality_log,
+    range_check,
     row_count,
     row_counts,
     value_counts,
@@ -32,7 +34,8 @@ from churnkit.operators.segments import (
 
 __all__ = [
     "before_anchor", "count_where", "counts_by", "dedupe_first", "distinct_count", "duplicate_keys", "hot_keys",
-    "ntile", "ntile_share", "null_profile", "orphans", "outlier_sensitivity", "percentile_exact", "period_change",
+    "ntile", "ntile_share", "null_profile", "orphans", "outlier_sensitivity", "pair_check", "percentile_exact",
+    "period_change", "range_check",
     "quality_log", "rank_rows", "rate_by", "row_count", "row_counts", "share_of_total", "skew_gap", "skew_join",
     "summary_by", "top_n", "value_counts", "with_parents", "with_share",
 ]

@@ -44,6 +44,31 @@ def count_where(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
     return df.agg(*[F.count(F.when(cond, F.lit(1))).alias(name) for name, cond in conditions.items()])
 
 
+def range_check(df: DataFrame, value: Column, low, high, names: tuple[str, str] = ("below_minimum", "above_maximum"),
+                where: Column | None = None) -> DataFrame:
+    """Rows below ``low`` and rows above ``high`` (NULL is neither), in one pass."""
+    if where is not None:
+        df = df.filter(where)
+    return count_where(df, {names[0]: value < low, names[1]: value > high})
+
+
+def pair_check(df: DataFrame, flag: Column, date: Column, on: str = "1", off: str = "0",
+               names: tuple[str, str, str, str] = ("churned_with_date", "not_churned_without_date",
+                                                   "churned_missing_date", "not_churned_has_date")) -> DataFrame:
+    """Consistency of a flag and the date it implies, as four counts.
+
+    Flag on with a date and flag off without one are the consistent pairs;
+    the other two are violations. All four are reported, so the result
+    shows both the evidence and the exceptions.
+    """
+    return count_where(df, {
+        names[0]: (flag == on) & date.isNotNull(),
+        names[1]: (flag == off) & date.isNull(),
+        names[2]: (flag == on) & date.isNull(),
+        names[3]: (flag == off) & date.isNotNull(),
+    })
+
+
 def value_counts(df: DataFrame, column: str | Column, name: str = "count", alias: str | None = None) -> DataFrame:
     """Rows per distinct value (NULL is one value)."""
     c = as_col(column)

@@ -183,23 +183,13 @@ def dq_txn_before_join(wh: Warehouse) -> DataFrame:
 
 @query("dq_18_churn_date_integrity")
 def dq_churn_date_integrity(wh: Warehouse) -> DataFrame:
-    ch, cd = F.col("churned"), F.col("churn_date")
-    return quality.count_where(wh.raw("activity"), {
-        "churned_with_date": (ch == "1") & cd.isNotNull(),
-        "not_churned_without_date": (ch == "0") & cd.isNull(),
-        "churned_missing_date": (ch == "1") & cd.isNull(),
-        "not_churned_has_date": (ch == "0") & cd.isNotNull(),
-    })
+    return quality.pair_check(wh.raw("activity"), F.col("churned"), F.col("churn_date"))
 
 
 @query("dq_19_credit_score_range")
 def dq_credit_score_range(wh: Warehouse) -> DataFrame:
-    score = to_int_via_float("credit_score")
-    rows = wh.raw("activity").filter(to_float("credit_score").isNotNull())
-    return quality.count_where(rows, {
-        "below_minimum": score < C.CREDIT_SCORE_MIN,
-        "above_maximum": score > C.CREDIT_SCORE_MAX,
-    })
+    return quality.range_check(wh.raw("activity"), to_int_via_float("credit_score"), C.CREDIT_SCORE_MIN,
+                               C.CREDIT_SCORE_MAX, where=to_float("credit_score").isNotNull())
 
 
 @query("dq_00_quality_log")
