@@ -8,9 +8,10 @@ splits such hot keys off first:
   map-side combine, so the sample itself is cheap); only keys seen at least
   ``min_count`` times are kept, at most ``max_keys`` of them.
 * Rows of hot keys stay where they are and meet the other side's rows for
-  those keys through a broadcast. The other side must hold few rows per key
-  (one per customer in every use here), so that broadcast is bounded by
-  ``max_keys`` x rows per key.
+  those keys through a broadcast. The other side holds few rows per key
+  (one per customer in every use here); the slice is counted first and
+  broadcast only up to ``HOT_BROADCAST_ROWS`` rows, otherwise it is joined
+  with a shuffle (where AQE's skew handling still applies).
 * All other rows join as usual (sort-merge or broadcast, with AQE).
 
 The two parts hold disjoint keys, so their union is exactly the plain
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 HOT_SAMPLE_FRACTION = 0.001
 HOT_MIN_SAMPLE_COUNT = 100
 HOT_MAX_KEYS = 10_000
+HOT_BROADCAST_ROWS = 2_000_000
 
 _HOT_CACHE: dict[tuple, tuple] = {}
 
@@ -82,5 +84,8 @@ def skew_join(big: DataFrame, other: DataFrame, key: str, how: str = "inner", ho
         return big.join(other, key, how)
     is_hot = F.col(key).isin(keys)
     cold = big.filter(F.col(key).isNull() | ~is_hot).join(other.filter(F.col(key).isNull() | ~is_hot), key, how)
-    hot_rows = big.filter(is_hot).join(F.broadcast(other.filter(is_hot)), key, how)
+    hot_other = other.filter(is_hot)
+    if hot_other.limit(HOT_BROADCAST_ROWS + 1).count() <= HOT_BROADCAST_ROWS:
+        hot_other = F.broadcast(hot_other)
+    hot_rows = big.filter(is_hot).join(hot_other, key, how)
     return cold.unionByName(hot_rows)
