@@ -41,7 +41,7 @@ class Warehouse:
         self.spark = spark
         self.cfg = cfg
         self.raw_paths = dict(raw_paths)
-        self.buckets = buckets or default_buckets(spark)
+        self._buckets = buckets
         self._tables: dict[str, DataFrame] = {}
 
     # -- construction -----------------------------------------------------
@@ -63,6 +63,23 @@ class Warehouse:
             write_raw_csv(df, paths[name])
         return cls(spark, paths, cfg, buckets)
 
+    # Raw customer export per bucket of the one-row-per-customer tables.
+    BUCKET_SOURCE_BYTES = 512 * 1024 * 1024
+
+    @property
+    def buckets(self) -> int:
+        """Bucket count shared by the one-row-per-customer tables.
+
+        Given explicitly, or sized from the raw customer export (about
+        ``BUCKET_SOURCE_BYTES`` of CSV per bucket), at most the session's
+        shuffle partition count.
+        """
+        if self._buckets is None:
+            csv = read_raw_csv(self.spark, self.raw_paths["customers"], RAW_SCHEMAS["customers"])
+            size = int(str(csv._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            self._buckets = max(1, min(default_buckets(self.spark), -(-size // self.BUCKET_SOURCE_BYTES)))
+        return self._buckets
+
     def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = build()
