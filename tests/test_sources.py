@@ -85,3 +85,22 @@ def test_command_line_run_over_csv_exports(spark, capsys):
     assert rate["total_customers"] == spark.read.parquet(f"{out}/staging.churn_analysis").count()
     log = spark.read.parquet(f"{out}/reports/dq_00_quality_log")
     assert log.filter("check_id = 'DQ-13'").first()["severity"] == "Critical"
+
+
+def test_every_query_runs_on_empty_exports(spark):
+    from churnkit.config import BANK
+    from churnkit.plans.queries import QUERIES
+    from churnkit.plans.warehouse import Warehouse
+    from churnkit.sources.schemas import RAW_SCHEMAS
+
+    root = scratch_path(spark, "empty")
+    paths = {}
+    for name, schema in RAW_SCHEMAS.items():
+        paths[name] = f"{root}/{name}"
+        write_raw_csv(spark.createDataFrame([], schema), paths[name])
+    wh = Warehouse.from_csv(spark, paths, BANK)
+    counts = {name: fn(wh).count() for name, fn in QUERIES.items()}
+    assert counts["st_11_staging_customers"] == 0 and counts["ss_4_fact_churn"] == 0
+    assert counts["eda_01_overall_rate"] == 1  # a global aggregate over no rows is one row
+    assert counts["eda_26_balance_deciles"] == 0
+    assert counts["eda_27_outlier_sensitivity"] == 2
