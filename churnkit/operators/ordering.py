@@ -15,7 +15,8 @@ distributed sort:
 3. Write that once to the shared folder, so that the counts and the rows
    below come from the same physical ordering.
 4. Count rows per (partition, group): at most partitions + groups rows.
-   A running sum over that small table gives each partition's offset.
+   A running sum over that small table gives each partition's offset; the
+   table is written once too, as several steps read it.
 5. Join the offsets back (broadcast after a size check, a shuffle join
    otherwise): row number = offset + position inside the partition.
 
@@ -70,9 +71,10 @@ def _join_offsets(ordered: DataFrame, offsets: DataFrame, by: Sequence[str]) ->
         "_m0",
         "_n",
     )
-    cond = ordered["_p"] == renamed["_op"]
+    # names are distinct on the two sides, so conditions can refer to them by name
+    cond = F.col("_p") == F.col("_op")
     for i, b in enumerate(by):
-        cond = cond & ordered[b].eqNullSafe(renamed[f"_ob{i}"])
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_ob{i}"))
     # Without groups the table has one row per sort partition, a bound fixed
     # by the shuffle partition count; with groups its size is checked first.
     small = F.broadcast(renamed) if not by else _broadcast_if_small(renamed)
@@ -81,7 +83,9 @@ def _join_offsets(ordered: DataFrame, offsets: DataFrame, by: Sequence[str]) ->
 
 def _rank(df, order, by, name, stable_input):
     ordered = _ordered(df, order, by, stable_input)
-    offsets = _offsets(ordered, by)
+    # small (partitions + groups rows), written once: the size check, the
+    # group sizes and the join below all read it instead of recomputing it
+    offsets = materialize(_offsets(ordered, by), "rank-offsets")
     joined = _join_offsets(ordered, offsets, by)
     out = joined.withColumn(name, (F.col("_off") + F.col("_m") - F.col("_m0") + 1).cast("long"))
     out = out.drop(*_HELPER, "_op", "_off", "_m0", "_n", *[f"_ob{i}" for i in range(len(by))])
@@ -111,8 +115,11 @@ def _with_sizes(ranked: DataFrame, offsets: DataFrame, by: Sequence[str]) -> Dat
     if not by:
         total = sizes.first()
         return ranked.withColumn("_size", F.lit(total[0] if total else 0).cast("long"))
-    cond = [ranked[b].eqNullSafe(sizes[b]) for b in by]
-    return ranked.join(_broadcast_if_small(sizes), cond).drop(*[sizes[b] for b in by])
+    renamed = sizes.select(*[F.col(b).alias(f"_sb{i}") for i, b in enumerate(by)], "_size")
+    cond = F.lit(True)
+    for i, b in enumerate(by):
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_sb{i}"))
+    return ranked.join(_broadcast_if_small(renamed), cond).drop(*[f"_sb{i}" for i in range(len(by))])
 
 
 def ntile(
