@@ -90,3 +90,15 @@ def test_hot_key_is_spread_over_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert ranked.agg(F.countDistinct("rn"), F.min("rn"), F.max("rn")).first() == (4000, 1, 4000)
     assert max(r["count"] for r in sizes) < 4000 * 0.5
+
+
+def test_same_numbers_on_every_evaluation_of_a_stored_input(spark):
+    """Ties are broken by scan position, so recomputation gives the same numbering."""
+    from churnkit.session import materialize
+
+    df = materialize(spark.range(0, 2000).select(F.col("id"), (F.col("id") % 3).alias("v")), "det")
+    first = rank_rows(df, [F.col("v")], name="rn", stable_input=True)
+    second = rank_rows(df, [F.col("v")], name="rn", stable_input=True)
+    a = {r["id"]: r["rn"] for r in first.collect()}
+    b = {r["id"]: r["rn"] for r in second.collect()}
+    assert a == b and sorted(a.values()) == list(range(1, 2001))
