@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from churnkit.operators import model
 from churnkit.operators.ordering import ntile, percentile_exact, rank_rows
 from churnkit.plans import staging
 from churnkit.plans.warehouse import fixture_warehouse
