@@ -582,15 +582,13 @@ SELECT CAST(year(churn_date) AS INTEGER) AS churn_year, CAST(quarter(churn_date)
        count(*) AS churned_customers
 FROM base WHERE churn_date IS NOT NULL GROUP BY year(churn_date), quarter(churn_date)""", "base")
 oracle("eda_23_annual_churn_change", f"""
-WITH annual_churn AS (
-  SELECT CAST(year(churn_date) AS INTEGER) AS churn_year, count(*) AS churned_customers
-  FROM base WHERE churn_date IS NOT NULL GROUP BY year(churn_date))
-SELECT churn_year, churned_customers,
-       LAG(churned_customers) OVER (ORDER BY churn_year) AS prior_year_churned,
-       churned_customers - LAG(churned_customers) OVER (ORDER BY churn_year) AS yoy_change,
-       {R("CAST(churned_customers - LAG(churned_customers) OVER (ORDER BY churn_year) AS DOUBLE) "
-          "/ LAG(churned_customers) OVER (ORDER BY churn_year) * 100", 2)} AS yoy_change_pct
-FROM annual_churn""", "base")
+SELECT churn_year, churned_customers, prior_year_churned,
+       churned_customers - prior_year_churned AS yoy_change,
+       {R("CAST(churned_customers - prior_year_churned AS DOUBLE) / prior_year_churned * 100", 2)} AS yoy_change_pct
+FROM (SELECT churn_year, churned_customers,
+             LAG(churned_customers) OVER (ORDER BY churn_year) AS prior_year_churned
+      FROM (SELECT CAST(year(churn_date) AS INTEGER) AS churn_year, count(*) AS churned_customers
+            FROM base WHERE churn_date IS NOT NULL GROUP BY year(churn_date)) y) t""", "base")
 oracle("eda_24_churn_by_month_of_year", """
 SELECT CAST(month(churn_date) AS INTEGER) AS churn_month_number, monthname(churn_date) AS churn_month_name,
        count(*) AS churned_customers
