@@ -110,6 +110,13 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One product row per (customer, order priority) among the orders FIXTURES.md selects.
+
+    The ``o_orderkey % 3 = 0`` rule is part of the fixture's definition: it
+    shapes the product mix (one to five products per customer, some customers
+    with none, which the wide-table/fact difference needs). It is not a cap:
+    the whole orders table is scanned, and the table grows with it.
+    """
     orders = _read(spark, sf_dir, "orders")
     groups = (
         orders.filter(F.col("o_orderkey") % 3 == 0)
