@@ -144,6 +144,102 @@ def ntile(
     return ranked.withColumn(name, tile.cast("int")).drop("_rn", "_size")
 
 
+def weighted_running_sum(
+    df: DataFrame,
+    order: Sequence[Column],
+    weight: str,
+    by: Sequence[str] = (),
+    name: str = "_cum",
+    stable_input: bool = False,
+) -> DataFrame:
+    """Running sum of ``weight`` in ``order`` within groups, without a single task.
+
+    Same distributed sort as ``rank_rows``; each partition's starting sum
+    comes from a small written table of per-partition totals, and the sum
+    inside a partition is a window over that partition's rows only.
+    """
+    ordered = _ordered(df, order, by, stable_input)
+    totals = ordered.groupBy("_p", *by).agg(F.sum(weight).alias("_w"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_p")
+    before = F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = materialize(totals.withColumn("_off", F.coalesce(before, F.lit(0))), "cumsum-offsets")
+    renamed = offsets.select(F.col("_p").alias("_op"), *[F.col(b).alias(f"_ob{i}") for i, b in enumerate(by)], "_off")
+    cond = F.col("_p") == F.col("_op")
+    for i, b in enumerate(by):
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_ob{i}"))
+    small = F.broadcast(renamed) if not by else _broadcast_if_small(renamed)
+    joined = ordered.join(small, cond, "inner")
+    inside = Window.partitionBy("_p", *by).orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    out = joined.withColumn(name, F.col("_off") + F.sum(weight).over(inside))
+    return out.drop(*_HELPER, "_op", "_off", *[f"_ob{i}" for i in range(len(by))])
+
+
+# Sketch accuracy of the band around a percentile (rank error about n / accuracy),
+# and the band's half-width in those units.
+BAND_ACCURACY = 100_000
+BAND_MARGIN = 3
+
+
+def _group_cond(by: Sequence[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for i, b in enumerate(by):
+        cond = cond & F.col(b).eqNullSafe(F.col(f"{prefix}{i}"))
+    return cond
+
+
+def _percentile_by_band(vals: DataFrame, p: float, by: Sequence[str], name: str) -> DataFrame | None:
+    """Exact percentile from a verified band around the target ranks; None if a band misses.
+
+    1. One pass: per group, the row count and two approximate quantiles
+       around ``p`` (a bounded sketch per group) give a value band.
+    2. One pass: rows below the band and inside it are counted, which
+       checks exactly that the target ranks fall inside the band.
+    3. One pass: the band's rows, with equal values combined (so a value
+       shared by many rows is one row with a weight), get a running weight
+       sum; the target ranks are read off it.
+    No step sorts or gathers all values of a group.
+    """
+    lo_p, hi_p = max(0.0, p - BAND_MARGIN / BAND_ACCURACY), min(1.0, p + BAND_MARGIN / BAND_ACCURACY)
+    v = F.col("_v")
+    bands = vals.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx(v, [lo_p, hi_p], BAND_ACCURACY).alias("_q"),
+    )
+    pos = F.lit(1.0) + F.lit(float(p)) * (F.col("_n") - 1)
+    bands = materialize(bands.select(
+        *[F.col(b).alias(f"_gb{i}") for i, b in enumerate(by)], "_n",
+        F.col("_q")[0].alias("_blo"), F.col("_q")[1].alias("_bhi"),
+        pos.alias("_pos"), F.floor(pos).alias("_r1"), F.ceil(pos).alias("_r2"),
+    ), "percentile-bands")
+    tagged = vals.join(_broadcast_if_small(bands), _group_cond(by, "_gb"), "inner")
+    in_band = (v >= F.col("_blo")) & (v <= F.col("_bhi"))
+    gkeys = [f"_gb{i}" for i in range(len(by))]
+    counts = tagged.groupBy(*gkeys, "_r1", "_r2", "_pos").agg(
+        F.count(F.when(v < F.col("_blo"), F.lit(1))).alias("_below"),
+        F.count(F.when(in_band, F.lit(1))).alias("_inband"),
+    )
+    checks = materialize(counts.select(
+        *gkeys, "_pos", "_r1",
+        (F.col("_r1") - F.col("_below")).alias("_k1"), (F.col("_r2") - F.col("_below")).alias("_k2"),
+        ((F.col("_below") < F.col("_r1")) & (F.col("_below") + F.col("_inband") >= F.col("_r2"))).alias("_ok"),
+    ), "percentile-checks")
+    if checks.filter(~F.col("_ok")).limit(1).count() > 0:
+        return None
+    weighted = tagged.filter(in_band).groupBy(*gkeys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    cum = weighted_running_sum(weighted, [F.col("_v").asc()], "_w", by=gkeys, name="_cum")
+    renamed = _broadcast_if_small(checks.drop("_ok")).select(*[F.col(g).alias(f"_cb{i}") for i, g in enumerate(gkeys)], "_pos", "_r1", "_k1", "_k2")
+    picked = cum.join(renamed, _group_cond(gkeys, "_cb"), "inner")
+    start = F.col("_cum") - F.col("_w")
+    agg = picked.groupBy(*gkeys).agg(
+        F.max(F.when((start < F.col("_k1")) & (F.col("_k1") <= F.col("_cum")), v)).alias("_vlo"),
+        F.max(F.when((start < F.col("_k2")) & (F.col("_k2") <= F.col("_cum")), v)).alias("_vhi"),
+        F.max("_pos").alias("_pos"),
+        F.max("_r1").alias("_r1"),
+    )
+    result = F.col("_vlo") + (F.col("_pos") - F.col("_r1")) * (F.col("_vhi") - F.col("_vlo"))
+    return agg.select(*[F.col(f"_gb{i}").alias(b) for i, b in enumerate(by)], result.alias(name))
+
+
 def percentile_exact(
     df: DataFrame,
     value: str,
@@ -158,10 +254,32 @@ def percentile_exact(
     interpolation between its floor and ceiling rows. Returns one row per
     group (``by`` columns + ``name``); no row when a group has no values.
     Unlike an aggregate that gathers a group's distinct values in one task,
-    this ranks values with a distributed sort, so a group's size is not
-    bounded by one task's memory.
+    this reads the values in three passes and only ranks a narrow verified
+    band around the target (``_percentile_by_band``); if a band ever misses,
+    it ranks all values with the distributed sort instead
+    (``percentile_by_sort``). Either way a group's size is not bounded by
+    one task's memory.
     """
     vals = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    src = vals if stable_input else materialize(vals, "percentile-input")
+    # without groups, one constant group key: every lookup stays an equi-join
+    keys = list(by) if by else ["_g0"]
+    banded = _percentile_by_band(src if by else src.withColumn("_g0", F.lit(0)), p, keys, name)
+    if banded is not None:
+        return banded if by else banded.drop("_g0")
+    return percentile_by_sort(src, "_v", p, by, name, stable_input=True)
+
+
+def percentile_by_sort(
+    df: DataFrame,
+    value: str,
+    p: float,
+    by: Sequence[str] = (),
+    name: str = "percentile",
+    stable_input: bool = False,
+) -> DataFrame:
+    """Exact percentile by ranking every value with the distributed sort."""
+    vals = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     ranked, offsets = _rank(vals, [F.col("_v").asc()], by, "_rn", stable_input)
     picked = _with_sizes(ranked, offsets, by)
     pos = F.lit(1.0) + F.lit(float(p)) * (F.col("_size") - 1)

@@ -102,3 +102,53 @@ def test_same_numbers_on_every_evaluation_of_a_stored_input(spark):
     a = {r["id"]: r["rn"] for r in first.collect()}
     b = {r["id"]: r["rn"] for r in second.collect()}
     assert a == b and sorted(a.values()) == list(range(1, 2001))
+
+
+def test_band_path_is_used_and_exact(spark, data, monkeypatch):
+    from churnkit.operators import ordering
+
+    def no_sort(*a, **k):
+        raise AssertionError("fell back to the full sort")
+
+    monkeypatch.setattr(ordering, "percentile_by_sort", no_sort)
+    for p in (0.0, 0.37, 0.5, 0.99, 1.0):
+        got = ordering.percentile_exact(data, "v", p).first()["percentile"]
+        assert got == pytest.approx(data.agg(F.percentile("v", p)).first()[0], rel=1e-12)
+    got = {r["g"]: r["m"] for r in ordering.percentile_exact(data, "v", 0.5, by=["g"], name="m").collect()}
+    ref = {r["g"]: r["m"] for r in data.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    assert got == pytest.approx(ref)
+
+
+def test_band_miss_falls_back_to_the_sort(spark, monkeypatch):
+    from churnkit.operators import ordering
+
+    rows = [(float(i * 7 % 1001),) for i in range(5000)]
+    df = spark.createDataFrame(rows, "v double")
+    monkeypatch.setattr(ordering, "BAND_ACCURACY", 10)
+    monkeypatch.setattr(ordering, "BAND_MARGIN", 0)
+    assert ordering._percentile_by_band(df.withColumn("_v", F.col("v")).withColumn("_g0", F.lit(0)),
+                                        0.5, ["_g0"], "m") is None
+    got = ordering.percentile_exact(df, "v", 0.5).first()[0]
+    assert got == df.agg(F.percentile("v", 0.5)).first()[0]
+
+
+def test_percentile_inside_a_hot_value(spark):
+    rows = [(i, 50.0) for i in range(2000)] + [(i, float(i % 97)) for i in range(2000, 5000)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    for p in (0.3, 0.5, 0.9):
+        assert percentile_exact(df, "v", p).first()[0] == pytest.approx(df.agg(F.percentile("v", p)).first()[0])
+
+
+def test_weighted_running_sum_matches_a_window(spark):
+    from churnkit.operators.ordering import weighted_running_sum
+
+    rows = [(["a", "b", None][i % 3], float(i % 37), (i * 7) % 5 + 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v double, w int")
+    got = weighted_running_sum(df, [F.col("v").asc()], "w", by=["g"], name="c")
+    # distinct (g, v) pairs are not unique here, so compare per (g, v): the running sum after the last tie
+    last = got.groupBy("g", "v").agg(F.max("c").alias("c"))
+    ref = (df.groupBy("g", "v").agg(F.sum("w").alias("w"))
+           .withColumn("c", F.sum("w").over(Window.partitionBy("g").orderBy("v"))).select("g", "v", "c"))
+    got_rows = sorted(map(tuple, last.collect()), key=str)
+    ref_rows = sorted(map(tuple, ref.collect()), key=str)
+    assert got_rows == ref_rows
