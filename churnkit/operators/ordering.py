@@ -44,10 +44,15 @@ def _broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def _ordered(df: DataFrame, order: Sequence[Column], by: Sequence[str], stable_input: bool) -> DataFrame:
-    src = df if stable_input else materialize(df, "rank-input")
-    src = src.withColumn("_tb", F.monotonically_increasing_id())
-    sort_cols = [F.col(b).asc_nulls_first() for b in by] + list(order) + [F.col("_tb").asc()]
+def _ordered(df: DataFrame, order: Sequence[Column], by: Sequence[str], stable_input: bool,
+             unique_order: bool = False) -> DataFrame:
+    if unique_order:
+        # no two rows share (by, order): the sort itself is deterministic, no tie-break needed
+        src, tail = df.withColumn("_tb", F.lit(0).cast("long")), []
+    else:
+        src = df if stable_input else materialize(df, "rank-input")
+        src, tail = src.withColumn("_tb", F.monotonically_increasing_id()), [F.col("_tb").asc()]
+    sort_cols = [F.col(b).asc_nulls_first() for b in by] + list(order) + tail
     ordered = (
         src.orderBy(*sort_cols)
         .withColumn("_p", F.spark_partition_id())
@@ -151,14 +156,17 @@ def weighted_running_sum(
     by: Sequence[str] = (),
     name: str = "_cum",
     stable_input: bool = False,
+    unique_order: bool = False,
 ) -> DataFrame:
     """Running sum of ``weight`` in ``order`` within groups, without a single task.
 
     Same distributed sort as ``rank_rows``; each partition's starting sum
     comes from a small written table of per-partition totals, and the sum
     inside a partition is a window over that partition's rows only.
+    ``unique_order`` declares that no two rows share the group and order
+    values (no tie-break, no copy of the input needed).
     """
-    ordered = _ordered(df, order, by, stable_input)
+    ordered = _ordered(df, order, by, stable_input, unique_order)
     totals = ordered.groupBy("_p", *by).agg(F.sum(weight).alias("_w"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_p")
     before = F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -178,6 +186,8 @@ def weighted_running_sum(
 # and the band's half-width in those units.
 BAND_ACCURACY = 100_000
 BAND_MARGIN = 3
+# Below this many values a full distributed sort is cheaper than the band's extra passes.
+BAND_MIN_ROWS = 2_000_000
 
 
 def _group_cond(by: Sequence[str], prefix: str) -> Column:
@@ -226,7 +236,7 @@ def _percentile_by_band(vals: DataFrame, p: float, by: Sequence[str], name: str)
     if checks.filter(~F.col("_ok")).limit(1).count() > 0:
         return None
     weighted = tagged.filter(in_band).groupBy(*gkeys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    cum = weighted_running_sum(weighted, [F.col("_v").asc()], "_w", by=gkeys, name="_cum")
+    cum = weighted_running_sum(weighted, [F.col("_v").asc()], "_w", by=gkeys, name="_cum", unique_order=True)
     renamed = _broadcast_if_small(checks.drop("_ok")).select(*[F.col(g).alias(f"_cb{i}") for i, g in enumerate(gkeys)], "_pos", "_r1", "_k1", "_k2")
     picked = cum.join(renamed, _group_cond(gkeys, "_cb"), "inner")
     start = F.col("_cum") - F.col("_w")
@@ -256,12 +266,14 @@ def percentile_exact(
     Unlike an aggregate that gathers a group's distinct values in one task,
     this reads the values in three passes and only ranks a narrow verified
     band around the target (``_percentile_by_band``); if a band ever misses,
-    it ranks all values with the distributed sort instead
-    (``percentile_by_sort``). Either way a group's size is not bounded by
-    one task's memory.
+    or there are fewer than ``BAND_MIN_ROWS`` values, it ranks all values
+    with the distributed sort instead (``percentile_by_sort``). Either way
+    a group's size is not bounded by one task's memory.
     """
     vals = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     src = vals if stable_input else materialize(vals, "percentile-input")
+    if src.limit(BAND_MIN_ROWS).count() < BAND_MIN_ROWS:
+        return percentile_by_sort(src, "_v", p, by, name, stable_input=True)
     # without groups, one constant group key: every lookup stays an equi-join
     keys = list(by) if by else ["_g0"]
     banded = _percentile_by_band(src if by else src.withColumn("_g0", F.lit(0)), p, keys, name)

@@ -111,6 +111,7 @@ def test_band_path_is_used_and_exact(spark, data, monkeypatch):
         raise AssertionError("fell back to the full sort")
 
     monkeypatch.setattr(ordering, "percentile_by_sort", no_sort)
+    monkeypatch.setattr(ordering, "BAND_MIN_ROWS", 0)
     for p in (0.0, 0.37, 0.5, 0.99, 1.0):
         got = ordering.percentile_exact(data, "v", p).first()["percentile"]
         assert got == pytest.approx(data.agg(F.percentile("v", p)).first()[0], rel=1e-12)
@@ -126,17 +127,22 @@ def test_band_miss_falls_back_to_the_sort(spark, monkeypatch):
     df = spark.createDataFrame(rows, "v double")
     monkeypatch.setattr(ordering, "BAND_ACCURACY", 10)
     monkeypatch.setattr(ordering, "BAND_MARGIN", 0)
+    monkeypatch.setattr(ordering, "BAND_MIN_ROWS", 0)
     assert ordering._percentile_by_band(df.withColumn("_v", F.col("v")).withColumn("_g0", F.lit(0)),
                                         0.5, ["_g0"], "m") is None
     got = ordering.percentile_exact(df, "v", 0.5).first()[0]
     assert got == df.agg(F.percentile("v", 0.5)).first()[0]
 
 
-def test_percentile_inside_a_hot_value(spark):
+def test_percentile_inside_a_hot_value(spark, monkeypatch):
+    from churnkit.operators import ordering
+
+    monkeypatch.setattr(ordering, "BAND_MIN_ROWS", 0)
     rows = [(i, 50.0) for i in range(2000)] + [(i, float(i % 97)) for i in range(2000, 5000)]
     df = spark.createDataFrame(rows, "id long, v double")
     for p in (0.3, 0.5, 0.9):
-        assert percentile_exact(df, "v", p).first()[0] == pytest.approx(df.agg(F.percentile("v", p)).first()[0])
+        assert ordering.percentile_exact(df, "v", p).first()[0] == pytest.approx(
+            df.agg(F.percentile("v", p)).first()[0])
 
 
 def test_weighted_running_sum_matches_a_window(spark):
