@@ -158,3 +158,24 @@ def test_weighted_running_sum_matches_a_window(spark):
     got_rows = sorted(map(tuple, last.collect()), key=str)
     ref_rows = sorted(map(tuple, ref.collect()), key=str)
     assert got_rows == ref_rows
+
+
+def test_band_path_at_three_million_values(spark, monkeypatch):
+    """Above the size switch the band path runs unforced, and stays exact."""
+    from churnkit.operators import ordering
+    from churnkit.session import materialize
+
+    def no_sort(*a, **k):
+        raise AssertionError("fell back to the full sort")
+
+    monkeypatch.setattr(ordering, "percentile_by_sort", no_sort)
+    df = materialize(spark.range(0, 3_000_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 5).cast("string")).alias("g"),
+        ((F.col("id") * 7919) % 100_003 / 7.0).alias("v")), "band-3m")
+    for p in (0.5, 0.99):
+        got = ordering.percentile_exact(df, "v", p, stable_input=True).first()[0]
+        assert got == pytest.approx(df.agg(F.percentile("v", p)).first()[0], rel=1e-12)
+    got = {r["g"]: r["m"] for r in ordering.percentile_exact(df, "v", 0.5, by=["g"], name="m",
+                                                              stable_input=True).collect()}
+    ref = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    assert got == pytest.approx(ref, rel=1e-12)
