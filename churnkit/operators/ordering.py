@@ -23,6 +23,11 @@ distributed sort:
 Groups (``by``) are optional; rows are ranked inside each group, and a
 group may span many partitions, so a hot group is split like any other
 range. The number of groups only affects the size of the offset table.
+
+Exact percentiles need only two ranks per group: on large inputs they are
+read from a narrow value band that a bounded sketch proposes and an exact
+count verifies, so only the band (with equal values combined) is sorted;
+small inputs, or a band that misses, use the full sort above.
 """
 
 from __future__ import annotations
