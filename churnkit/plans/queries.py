@@ -397,11 +397,17 @@ def eda_rate_by_product_count(wh: Warehouse) -> DataFrame:
 
 @query("eda_12_rate_by_product")
 def eda_rate_by_product(wh: Warehouse) -> DataFrame:
-    """Distinct customers per product, and distinct churned ones."""
-    held = wh.staging_products().select("customer_id", "product_name").distinct()
+    """Distinct customers per product, and distinct churned ones.
+
+    Both sides are reduced to one row per customer first (the set of products
+    held, bounded by the number of product names; whether any row churned), so
+    they meet partitioned by customer, and the exploded pairs are distinct.
+    """
+    held = wh.staging_products().groupBy("customer_id").agg(F.collect_set("product_name").alias("_names"))
     churn = wh.base().groupBy("customer_id").agg(
         F.max(F.when(F.col("churned") == 1, F.lit(1)).otherwise(F.lit(0))).alias("_churned"))
-    per = held.join(churn, "customer_id").groupBy("product_name").agg(
+    pairs = held.join(churn, "customer_id").select(F.explode("_names").alias("product_name"), "_churned")
+    per = pairs.groupBy("product_name").agg(
         F.count(F.lit(1)).alias("total_customers"), F.sum("_churned").cast("long").alias("churned_customers"))
     return per.withColumn("churn_rate_pct", pct(F.col("churned_customers"), F.col("total_customers")))
 
