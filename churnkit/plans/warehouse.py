@@ -9,8 +9,9 @@ each step into a table for the next script: later steps start from files,
 not from a long lineage, and a lost executor costs a re-read, not a
 rebuild of every upstream layer.
 
-Tables with exactly one row per customer (staging customers, product
-portfolio, both dimensions) are written bucketed by ``customer_id`` with
+Tables with exactly one row per customer id (staging customers, the
+earliest-join-date anchors, product portfolio, both dimensions) are
+written bucketed by ``customer_id`` with
 one bucket count: their buckets are balanced by construction, and joins
 among them read co-located buckets without a shuffle. Tables that may hold
 many rows for one customer (activity, products, and what is built from
