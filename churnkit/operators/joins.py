@@ -28,6 +28,8 @@ HOT_SAMPLE_FRACTION = 0.001
 HOT_MIN_SAMPLE_COUNT = 100
 HOT_MAX_KEYS = 10_000
 HOT_BROADCAST_ROWS = 2_000_000
+# A table smaller than this fits one task whole, so no key in it can be hot.
+HOT_MIN_TABLE_BYTES = 256 * 1024 * 1024
 
 _HOT_CACHE: dict[tuple, tuple] = {}
 
@@ -39,15 +41,21 @@ def hot_keys(
     min_count: int | None = None,
     max_keys: int | None = None,
     seed: int = 17,
+    min_bytes: int | None = None,
 ) -> list:
     """Keys holding a large share of ``df``'s rows, estimated on a sample.
 
-    Unset parameters take the module settings at call time.
+    Tables whose estimated size (the optimizer's statistics, no job) is
+    below ``min_bytes`` are not sampled: none of their keys can outgrow a
+    task. Unset parameters take the module settings at call time.
     """
     fraction = HOT_SAMPLE_FRACTION if fraction is None else fraction
     min_count = HOT_MIN_SAMPLE_COUNT if min_count is None else min_count
     max_keys = HOT_MAX_KEYS if max_keys is None else max_keys
+    min_bytes = HOT_MIN_TABLE_BYTES if min_bytes is None else min_bytes
     sample = df.select(key)
+    if min_bytes > 0 and int(str(sample._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < min_bytes:
+        return []
     # Many joins read the same stored table; sample it once per session.
     # (The estimate only steers speed, so reusing it is always safe.)
     cache_key = (df.sparkSession.sparkContext.applicationId,
