@@ -1,8 +1,36 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-Written from the result contracts alone; it shares no code with the operators.
+Written from the result contracts; it shares no code with the operators.
 """
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sided AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, lead(role) OVER w AS after FROM turns
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id,
+  count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(replace(replace(text, '\', '\b'), '<|', '\l'))
+    + CASE WHEN before = role THEN length('<|turn|>') ELSE length('<|start|>') + length(replace(replace(role, '\', '\b'), '<|', '\l')) + length('<|text|>') END
+    + CASE WHEN after = role THEN 0 ELSE length('<|end|>') + 1 END) AS BIGINT) AS formatted_chars
+FROM sided GROUP BY conv_id
+"""
+
+_PII_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+}
+
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": CHAT}
