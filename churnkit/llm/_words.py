@@ -89,8 +89,8 @@ class Words:
         """Words i to j (j excluded), joined by one space."""
         return self.text[self.offset[i]:self.offset[j] - 1] if j > i else b""
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every task."""
+    def hashes(self, limit: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word (of its first ``limit`` bytes), the same in every task."""
         out = np.empty(len(self), U64)
         i, n = 0, len(self)
         while i < n:
@@ -100,7 +100,8 @@ class Words:
             size = int(at[-1])
             total = np.zeros(size + 1, U64)
             np.cumsum(BYTE_VALUE[self.bytes[self.offset[i]:self.offset[j]]] * _powers(BASE, size), out=total[1:], dtype=U64)
-            out[i:j] = (total[at[1:] - 1] - total[at[:-1]]) * _powers(INVERSE, size)[at[:-1]]
+            end = at[1:] - 1 if limit is None else np.minimum(at[1:] - 1, at[:-1] + limit)
+            out[i:j] = (total[end] - total[at[:-1]]) * _powers(INVERSE, size)[at[:-1]]
             i = j
         return mix(out)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii, simhash, substring_dedup
+from . import chat, decontaminate, pii, secret_scan, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,4 +28,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, distance=3))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_substring_dedup, op4_simhash)}
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, _table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
+    return toxicity.score(docs, chain).drop("text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_substring_dedup, op4_simhash, op5_secret_scan, op6_toxicity, op9_decontamination)}
