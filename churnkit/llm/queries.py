@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, secret_scan, simhash, substring_dedup, toxicity
+from . import bpe, chat, decontaminate, lm, pii, secret_scan, simhash, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +40,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).drop("text")
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.pmod("vec_id", F.lit(50)) == 0), k=5)
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_substring_dedup, op4_simhash, op5_secret_scan, op6_toxicity, op9_decontamination)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = bpe.encode(docs, vocabulary, bpe.ship_lexicon(docs, vocabulary)).select("doc_id", "ids")
+    return bpe.digest(bpe.decode(ids, vocabulary))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_substring_dedup, op4_simhash, op5_secret_scan, op6_toxicity, op7_exact_topk, op8_lm_score,
+                                  op9_decontamination, op10_bpe)}

@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnkit.session import materialize
@@ -64,22 +64,22 @@ def fingerprints_of(texts: list[bytes | None], shingle: int) -> np.ndarray:
 
 
 def _fingerprint_task(shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for part in chunks(rows, lambda r: len(r[1] or b"") + 64):
-                found = fingerprints_of([r[1] for r in part], shingle).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(found)], schema=schema)
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for part in chunks(rows, lambda r: len(r[2] or b"") + 64):
+                found = fingerprints_of([r[2] for r in part], shingle).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in part], pa.int64()) for k in (0, 1)), pa.array(found)], schema=schema)
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(_fingerprint_task(shingle), "doc_id long, fp long")
+    """(doc_id, mark, fp) for every row of ``docs``; mark: a hash of its text."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(_fingerprint_task(shingle), "doc_id long, mark long, fp long")
 
 
 def masks(bits: range, most: int) -> np.ndarray:
@@ -202,17 +202,23 @@ def links(distinct: DataFrame, distance: int, prefix: int | None = None) -> Data
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (the smallest doc_id reachable)."""
+    """One row per document: doc_id, mark, fp (signed long), root (its component's smallest fp), component_id (the smallest doc_id reachable)."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(links(distinct, distance))
-    of_root = (
-        roots.join(distinct, roots["node"] == distinct["fp"])
-        .groupBy("root").agg(F.min("least").alias("component_id"))
-    )
-    linked = roots.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
-    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    roots = materialize(connected_components(links(distinct, distance)), "roots")
+    of_fp = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(of_fp.join(of_root, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id (then the smallest hash of the text)."""
+    found = near_duplicates(docs, shingle, distance)
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    chosen = found.groupBy("root").agg(F.min(F.struct(ident.alias("_id"), F.col("mark").alias("_mark"))).alias("row")).select("row.*")
+    marked = docs.withColumns({"_id": ident, "_mark": F.xxhash64("text")}).join(chosen.distinct(), ["_id", "_mark"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("_mark"))  # equal rows
+    return marked.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
