@@ -32,8 +32,9 @@ import os
 import struct
 import tempfile
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -319,7 +320,7 @@ def frequent_words(docs: DataFrame, added: dict[str, int], lexicon: int) -> list
     return sorted({bytes(r["word"]) for r in rows} - {t.encode() for t in added} - {b""})
 
 
-def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon: int = 65_536) -> str:
+def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon: int = 1 << 19) -> str:
     """Compile the lexicon of ``docs`` and send it to the executors; the name under which tasks find it."""
     words = frequent_words(docs, vocabulary.added, lexicon)
     name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
@@ -336,11 +337,11 @@ def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon: int = 65_536)
 
 def encode_texts(texts: list[str | None], v: Vocabulary, lexicon: Lexicon, cut) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, where each text's ids begin, one entry more)."""
-    index: dict[str, int] = {}
-    used, tokens = [], []
+    index: defaultdict[str, int] = defaultdict(count().__next__)  # numbers the distinct words
+    used, tokens = [np.empty(0, np.int64)], []
     for text in texts:
-        own = [index.setdefault(w, len(index)) for w in pretokens(text or "", cut)]
-        used += own
+        own = pretokens(text or "", cut)
+        used.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
         tokens.append(len(own))
     words = [w.encode() for w in index]
     number = lexicon.find(words) if words else np.empty(0, np.int64)
@@ -356,7 +357,7 @@ def encode_texts(texts: list[str | None], v: Vocabulary, lexicon: Lexicon, cut)
     size = np.array([len(i) for i in ids], np.int64)
     flat = np.concatenate([np.empty(0, np.int32), *ids])
     begin = np.cumsum(size) - size
-    used = np.array(used, np.int64)
+    used = np.concatenate(used)
     n = size[used]
     end = np.concatenate(([0], np.cumsum(n)))
     out = flat[np.repeat(begin[used] - end[:-1], n) + np.arange(end[-1])]
@@ -375,7 +376,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: s
         for batch in batches:
             texts = batch.column(column).to_pylist()
             at = 0
-            for part in chunks(texts, lambda t: len(t or "") + 64):
+            for part in chunks(texts, lambda t: len(t or "") + 64, 16 << 20):
                 ids, begin = encode_texts(part, v, lexicon, cut)
                 yield batch.slice(at, len(part)).append_column("ids", pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())))
                 at += len(part)
