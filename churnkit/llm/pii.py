@@ -14,7 +14,8 @@ run (or at the end of the match before), which changes no match but keeps
 them linear, and without recursion, on long runs.
 
 Edge cases: NULL text is empty and has no spans; empty table, no rows; equal
-rows each get their row; extra columns stay untouched beside ``pii``.
+rows each get their row; columns stay, but one named ``pii`` (or ``_pii_...``) is
+replaced.
 """
 
 from __future__ import annotations
@@ -118,6 +119,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.6, column: str = "text") -> D
     """``docs`` with ``pii``: array of (kind, start, end, score), by kind as listed, then start."""
     kinds = BASE + ADDED
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    docs = docs.drop("pii", "_pii_text", "_pii_base", "_pii_added", *(f"_pii_{k}" for k, _, _, _ in kinds))
     names = docs.columns
     pairs = docs.select("*", text.alias("_pii_text"), *(_alternating(text, k, p).alias(f"_pii_{k}") for k, p, _, _ in kinds))
     placed = pairs.select(*names, "_pii_text", *(_placed(F.col(f"_pii_{k}"), k, check).alias(f"_pii_{k}") for k, _, check, _ in kinds))
