@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import U64, Words, chunks
+from ._words import U64, Words, chunks, rows_of
 
 SPACE_BITS = 22
 FOLDS = 3
+LEAST_CHI = 15.0  # chi-squared below which a feature is taken for noise
 
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +48,7 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return (pairs >> U64(SPACE_BITS)).astype(np.int64), (pairs & mask).astype(np.int64)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 12) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
     """Weights, the last one the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -91,7 +92,7 @@ def _choose(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, use: np.ndarray, k
     with_label = np.bincount(inverse, y[rows[on]], minlength=len(found))
     expected = total * positive / n
     chi = (with_label - expected) ** 2 / np.maximum(expected * (1 - total / n) * (1 - positive / n), 1e-9)
-    chi[total < 3] = 0
+    chi[(total < 3) | (chi < LEAST_CHI)] = 0
     best = np.argsort(-chi, kind="stable")[:kept]
     return np.sort(found[best[chi[best] > 0]])
 
@@ -156,7 +157,7 @@ def apply_chain(chain: list[Link], texts: list[bytes | None]) -> list[np.ndarray
 def _feature_task(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
     for batch in batches:
-        for part in chunks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: len(r[1] or b"") + 64):
+        for part in chunks(rows_of(batch, "doc_id", "text"), lambda r: len(r[1] or b"") + 64):
             rows, ids = features([r[1] for r in part])
             cut = np.searchsorted(rows, np.arange(1, len(part)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([x.astype(np.int32).tobytes() for x in np.split(ids, cut)])], schema=schema)
@@ -192,7 +193,7 @@ def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            texts = (t.as_py() for t in batch.column("text").cast(pa.binary()))
             done = [apply_chain(chain, part) for part in chunks(texts, lambda t: len(t or b"") + 64)]
             values = [np.concatenate(v) for v in zip(*done, strict=True)] if done else [np.empty(0)] * len(chain)
             for link, p in zip(chain, values, strict=True):
