@@ -53,6 +53,11 @@ def chunks(rows: Iterable, size, limit: int = 4 << 20) -> Iterator[list]:
         yield out
 
 
+def rows_of(batch, *names: str) -> Iterator[tuple]:
+    """The rows of some columns of an Arrow batch, one at a time, so that texts aren't held twice."""
+    return zip(*((x.as_py() for x in batch.column(n)) for n in names), strict=True)
+
+
 class Words:
     """The words of a list of texts, in order.
 

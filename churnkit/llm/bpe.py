@@ -165,20 +165,30 @@ def _merge_short(v: Vocabulary, words: list[bytes]) -> np.ndarray:
     return ids
 
 
-def merge(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """The ids of each word, by the vocabulary's merges in their order."""
-    out: list = [None] * len(words)
-    by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
-    short = [i for i in by_size if 0 < len(words[i]) <= LONG]
-    for a in range(0, len(short), 8192):
-        own = short[a:a + 8192]
-        ids = _merge_short(v, [words[i] for i in own])
-        for i, row, n in zip(own, ids, (ids >= 0).sum(axis=1).tolist(), strict=True):
-            out[i] = row[:n]
-    for i in by_size:
-        if out[i] is None:
-            out[i] = np.array(_merge_long(v, words[i]) if words[i] else [], np.int32)
-    return out
+def _spots(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def merge(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in a row, number of ids of each), by the vocabulary's merges in their order."""
+    length = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(length, kind="stable")
+    order = order[length[order] > 0]
+    short = int(np.searchsorted(length[order], LONG, "right"))
+    size, parts = np.zeros(len(words), np.int64), [np.empty(0, np.int32)]
+    for a in range(0, short, 8192):
+        own = order[a:min(a + 8192, short)]
+        ids = _merge_short(v, [words[i] for i in own.tolist()])
+        size[own] = (ids >= 0).sum(axis=1)
+        parts.append(ids[ids >= 0])
+    for i in order[short:].tolist():
+        parts.append(np.array(_merge_long(v, words[i]), np.int32))
+        size[i] = len(parts[-1])
+    by_length = np.concatenate(parts)
+    begin = np.zeros(len(words), np.int64)
+    begin[order] = np.cumsum(size[order]) - size[order]
+    return by_length[_spots(begin, size)], size
 
 
 class Lexicon:
@@ -205,8 +215,8 @@ class Lexicon:
             return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     @staticmethod
-    def compile(words: list[bytes], ids: list[np.ndarray]) -> bytes:
-        """``words``: sorted, distinct, not empty."""
+    def compile(words: list[bytes], ids: np.ndarray, size: np.ndarray) -> bytes:
+        """``words``: sorted, distinct, not empty; ``ids``: of all words in a row, ``size`` of each."""
         # Sorted insertion: the path of the last word is open; what leaves it is registered and shared.
         register: dict[tuple, int] = {}
         arcs_of: list[tuple[tuple[int, int], ...]] = []
@@ -247,7 +257,7 @@ class Lexicon:
                 number += words_under[to]
         order = np.argsort(np.array(arc, np.int64), kind="stable")
         arrays = [np.array(arc, np.int64)[order], np.array(target, np.int32)[order], np.array(output, np.int32)[order],
-                  np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32), np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)]
+                  np.concatenate(([0], np.cumsum(size))).astype(np.int32), ids.astype(np.int32)]
         return struct.pack("<5q8x", *(len(a) for a in arrays)) + b"".join(a.tobytes() for a in arrays) + np.array(final_of[::-1], np.bool_).tobytes()
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -291,7 +301,7 @@ def pretokens(text: str, cut) -> list[str]:
     return out
 
 
-def word_counts(docs: DataFrame, added: dict[str, int], column: str = "text", flush: int = 200_000) -> DataFrame:
+def word_counts(docs: DataFrame, added: dict[str, int], column: str = "text", flush: int = 100_000) -> DataFrame:
     """(word as bytes, n) over all texts."""
     cut = _cutter(added)
 
@@ -302,8 +312,8 @@ def word_counts(docs: DataFrame, added: dict[str, int], column: str = "text", fl
             return pa.RecordBatch.from_pydict({"word": [w.encode() for w in held], "n": list(held.values())}, schema=pa.schema([("word", pa.binary()), ("n", pa.int64())]))
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(pretokens(text or "", cut))
+            for text in batch.column(0):
+                held.update(pretokens(text.as_py() or "", cut))
                 if len(held) > flush:
                     yield out()
                     held.clear()
@@ -327,7 +337,7 @@ def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon: int = 1 << 19
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, name)
         with open(path, "wb") as f:
-            f.write(Lexicon.compile(words, merge(vocabulary, words)))
+            f.write(Lexicon.compile(words, *merge(vocabulary, words)))
         staged = os.path.join(SparkFiles.getRootDirectory(), name)
         with open(path, "rb") as source, open(staged, "wb") as to:
             to.write(source.read())
@@ -344,41 +354,40 @@ def encode_texts(texts: list[str | None], v: Vocabulary, lexicon: Lexicon, cut)
         used.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
         tokens.append(len(own))
     words = [w.encode() for w in index]
-    number = lexicon.find(words) if words else np.empty(0, np.int64)
-    ids = [lexicon.ids[lexicon.begin[n]:lexicon.begin[n + 1]] if n >= 0 else None for n in number.tolist()]
-    unseen = []
-    for i, w in enumerate(index):
-        if w in v.added:
-            ids[i] = np.array([v.added[w]], np.int32)
-        elif ids[i] is None:
-            unseen.append(i)
-    for i, own in zip(unseen, merge(v, [words[i] for i in unseen]), strict=True):
-        ids[i] = own
-    size = np.array([len(i) for i in ids], np.int64)
-    flat = np.concatenate([np.empty(0, np.int32), *ids])
-    begin = np.cumsum(size) - size
+    number = lexicon.find(words)
+    for token, i in v.added.items():
+        if token in index:
+            number[index[token]] = -2 - i
+    unseen = np.flatnonzero(number == -1)
+    merged, merged_size = merge(v, [words[i] for i in unseen.tolist()])
+    # All sources in a row: the lexicon's ids, the merged ids, the ids 0, 1, ... that added tokens are.
+    known, added = np.flatnonzero(number >= 0), np.flatnonzero(number < -1)
+    begin, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    begin[known], size[known] = lexicon.begin[number[known]], np.diff(lexicon.begin)[number[known]]
+    begin[unseen], size[unseen] = len(lexicon.ids) + np.cumsum(merged_size) - merged_size, merged_size
+    begin[added], size[added] = len(lexicon.ids) + len(merged) - 2 - number[added], 1
+    source = np.concatenate((lexicon.ids, merged, np.arange(len(v.text), dtype=np.int32)))
     used = np.concatenate(used)
-    n = size[used]
-    end = np.concatenate(([0], np.cumsum(n)))
-    out = flat[np.repeat(begin[used] - end[:-1], n) + np.arange(end[-1])]
-    return out, end[np.concatenate(([0], np.cumsum(tokens)))]
+    end = np.concatenate(([0], np.cumsum(size[used])))
+    return source[_spots(begin[used], size[used])], end[np.concatenate(([0], np.cumsum(tokens)))]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the token ids of the text."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``ids``, the token ids of the text; the text itself goes unless ``keep_text``."""
     kept = docs.drop("ids")
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    stay = [f for f in kept.schema.fields if keep_text or f.name != column]
+    schema = T.StructType([*stay, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         v, lexicon = shipped.value, Lexicon.open(SparkFiles.get(lexicon_name))
         cut = _cutter(v.added)
         for batch in batches:
-            texts = batch.column(column).to_pylist()
+            texts, rest = (t.as_py() for t in batch.column(column)), batch.select([f.name for f in stay])
             at = 0
-            for part in chunks(texts, lambda t: len(t or "") + 64, 16 << 20):
+            for part in chunks(texts, lambda t: len(t or "") + 64, 8 << 20):
                 ids, begin = encode_texts(part, v, lexicon, cut)
-                yield batch.slice(at, len(part)).append_column("ids", pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())))
+                yield rest.slice(at, len(part)).append_column("ids", pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())))
                 at += len(part)
 
     return kept.mapInArrow(run, schema)

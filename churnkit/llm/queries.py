@@ -57,7 +57,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = bpe.encode(docs, vocabulary, bpe.ship_lexicon(docs, vocabulary)).select("doc_id", "ids")
+    ids = bpe.encode(docs, vocabulary, bpe.ship_lexicon(docs, vocabulary), keep_text=False)
     return bpe.digest(bpe.decode(ids, vocabulary))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-from ._words import chunks
+from ._words import chunks, rows_of
 
 
 def _any_case(word: str) -> str:
@@ -82,8 +82,7 @@ SCANNED = "doc_id long, mark long, base array<struct<kind:string,start:int,end:i
 def _scan(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("base", pa.list_(SPAN)), ("parts", pa.list_(PART))])
     for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        for part in chunks(rows, lambda r: len(r[2] or "") + 64):
+        for part in chunks(rows_of(batch, "doc_id", "mark", "text"), lambda r: len(r[2] or "") + 64):
             out = []
             for doc_id, mark, text in part:
                 text = text or ""

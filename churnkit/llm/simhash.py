@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-from ._words import U64, Words, chunks
+from ._words import U64, Words, chunks, rows_of
 from .components import connected_components
 
 SEED = 42
@@ -68,8 +68,7 @@ def _fingerprint_task(shingle: int):
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for part in chunks(rows, lambda r: len(r[2] or b"") + 64):
+            for part in chunks(rows_of(batch, "doc_id", "mark", "text"), lambda r: len(r[2] or b"") + 64):
                 found = fingerprints_of([r[2] for r in part], shingle).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in part], pa.int64()) for k in (0, 1)), pa.array(found)], schema=schema)
 

@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-from ._words import U64, Words, chunks, mix, rolling
+from ._words import U64, Words, chunks, mix, rolling, rows_of
 
 LAST_ID = (1 << 63) - 1
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 24 << 20
 RARE = U64((1 << 63) - 1)
 
 
@@ -84,10 +84,9 @@ def super_kmers(words: Words, window: int, m: int, frequent: np.ndarray):
     return first[at], np.diff(np.append(at, len(first))), lowest[at]
 
 
-def _texts(batches, limit: int = 4 << 20) -> Iterator[list[tuple]]:
+def _texts(batches, limit: int = 2 << 20) -> Iterator[list[tuple]]:
     for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        yield from chunks(rows, lambda r: len(r[1] or b"") + 64, limit)
+        yield from chunks(rows_of(batch, *batch.schema.names), lambda r: len(r[1] or b"") + 64, limit)
 
 
 def _pack(strings: dict) -> bytes:
@@ -262,8 +261,7 @@ def _cut(window: int):
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "text", "doc_id", "repeats")), strict=True)
-            for part in chunks(rows, lambda r: len(r[1] or b"") + 64):
+            for part in chunks(rows_of(batch, "id", "text", "doc_id", "repeats"), lambda r: len(r[1] or b"") + 64):
                 out = []
                 for ident, text, doc_id, repeats in part:
                     own = (text or b"").split()

@@ -46,7 +46,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(TOKENIZER)
     rows = docs.select("doc_id", "text", "lang", "source")
-    ids = bpe.encode(rows, vocabulary, bpe.ship_lexicon(rows, vocabulary)).drop("text")
+    ids = bpe.encode(rows, vocabulary, bpe.ship_lexicon(rows, vocabulary), keep_text=False)
     return bpe.decode(ids, vocabulary, into="text").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
