@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -51,6 +52,20 @@ def chunks(rows: Iterable, size, limit: int = 4 << 20) -> Iterator[list]:
             out, total = [], 0
     if out:
         yield out
+    pa.default_memory_pool().release_unused()  # Python workers outlive their tasks
+
+
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(frame):
+    """``frame``, after limiting the Arrow batches of its session to a few MB.
+
+    Texts are long: with the default of 64 MB, each running task holds that
+    much in its JVM and in its Python worker, for input and output.
+    """
+    frame.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return frame
 
 
 def rows_of(batch, *names: str) -> Iterator[tuple]:

@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from churnkit.session import materialize
 
-from ._words import chunks
+from ._words import chunks, small_batches
 
 #: White space as the tokenizers library sees it (Unicode White_Space).
 WS = r"\t-\r\x20\x85\xa0  -     　"
@@ -319,7 +319,7 @@ def word_counts(docs: DataFrame, added: dict[str, int], column: str = "text", fl
                     held.clear()
         yield out()
 
-    return docs.select(F.col(column).cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select(F.col(column).cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, added: dict[str, int], lexicon: int) -> list[bytes]:
@@ -374,7 +374,7 @@ def encode_texts(texts: list[str | None], v: Vocabulary, lexicon: Lexicon, cut)
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids``, the token ids of the text; the text itself goes unless ``keep_text``."""
-    kept = docs.drop("ids")
+    kept = small_batches(docs).drop("ids")
     stay = [f for f in kept.schema.fields if keep_text or f.name != column]
     schema = T.StructType([*stay, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -385,7 +385,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: s
         for batch in batches:
             texts, rest = (t.as_py() for t in batch.column(column)), batch.select([f.name for f in stay])
             at = 0
-            for part in chunks(texts, lambda t: len(t or "") + 64, 8 << 20):
+            for part in chunks(texts, lambda t: len(t or "") + 64):
                 ids, begin = encode_texts(part, v, lexicon, cut)
                 yield rest.slice(at, len(part)).append_column("ids", pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())))
                 at += len(part)
@@ -395,7 +395,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: s
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, into: str = "decoded") -> DataFrame:
     """``rows`` with the text that their ``ids`` stand for."""
-    kept = rows.drop(into)
+    kept = small_batches(rows).drop(into)
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T.StringType())])
     shipped = rows.sparkSession.sparkContext.broadcast(vocabulary.text)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import U64, Words, chunks, rolling
+from ._words import U64, Words, chunks, rolling, small_batches
 
 PUNCTUATION = bytes(32 if not (chr(c).isalnum() or c >= 128) else c for c in range(256))
 LEAK = pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())])
@@ -145,7 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, sho
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.LongType())]))
-    kept = docs.drop("leaks")
+    kept = small_batches(docs).drop("leaks")
     out = kept.withColumn("leaks", F.array().cast(kind))
     schema = T.StructType([*kept.schema.fields, T.StructField("leaks", kind)])
     for b in range(blocks):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-from ._words import BASE, U64, Words, chunks, mix
+from ._words import BASE, U64, Words, chunks, mix, small_batches
 
 END = U64(0x656E64)  # the end token
 NONE = U64(0)
@@ -246,7 +246,7 @@ def _score_task(order: int, mu: float, total: int, distinct: int):
 
 def score(docs: DataFrame, order: int = 2, mu: float = 50.0, held_out_of: int = 7, held_out: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    source = docs.select(
+    source = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % held_out_of == held_out, F.lit(False)).alias("held_out"),
         F.xxhash64("text").alias("mark"),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-from ._words import chunks, rows_of
+from ._words import chunks, rows_of, small_batches
 
 
 def _any_case(word: str) -> str:
@@ -109,7 +109,7 @@ def _side(pairs: DataFrame, side: str) -> DataFrame:
 
 def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and added spans (kind, start, end), each by start."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     scanned = materialize(source.mapInArrow(_scan, SCANNED), "scanned")
     parts = scanned.filter(F.size("parts") > 0).select("doc_id", "mark", F.explode("parts").alias("p")).select("doc_id", "mark", "p.*").distinct()
     ids, secrets, ends = (parts.filter(F.col("kind") == k) for k in ("weak_id", "weak_secret", "endpoint"))

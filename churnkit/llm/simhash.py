@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-from ._words import U64, Words, chunks, rows_of
+from ._words import U64, Words, chunks, rows_of, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -77,7 +77,7 @@ def _fingerprint_task(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, mark, fp) for every row of ``docs``; mark: a hash of its text."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     return source.mapInArrow(_fingerprint_task(shingle), "doc_id long, mark long, fp long")
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-from ._words import U64, Words, chunks, mix, rolling, rows_of
+from ._words import U64, Words, chunks, mix, rolling, rows_of, small_batches
 
 LAST_ID = (1 << 63) - 1
 FLUSH_BYTES = 24 << 20
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, m: int = 12, buckets: int
     """One row per document: doc_id, n_words, n_removed, kept_text (UTF-8 bytes of the kept words, joined by one space)."""
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.col("text").cast("binary").alias("text"),
+    texts = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.col("text").cast("binary").alias("text"),
                         F.xxhash64("text").alias("mark"), F.col("doc_id").cast("long").alias("doc_id"))
     source = texts.select("id", "text", "mark")
     frequent = frequent_grams(source, m, frequent_share, sample_fraction)

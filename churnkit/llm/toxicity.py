@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import U64, Words, chunks, rows_of
+from ._words import U64, Words, chunks, rows_of, small_batches
 
 SPACE_BITS = 22
 FOLDS = 3
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
         .limit(sample)
         .dropDuplicates(["doc_id"])
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     seen = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_feature_task, "doc_id long, features binary").dropDuplicates(["doc_id"])
     rows = sorted(seen.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).collect(), key=lambda r: r["doc_id"])
     ids = [np.frombuffer(r["features"], np.int32) for r in rows]
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
 def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
     """``docs`` with p_<name> and the decision <name> of each category."""
     new = [f"p_{c.name}" for c in chain] + [c.name for c in chain]
-    kept = docs.drop(*new)
+    kept = small_batches(docs).drop(*new)
     out = T.StructType([*kept.schema.fields, *(T.StructField(f"p_{c.name}", T.DoubleType()) for c in chain), *(T.StructField(c.name, T.BooleanType()) for c in chain)])
 
     def run(batches):
