@@ -6,12 +6,11 @@ splits such hot keys off first:
 
 * Hot keys are found on a sample of the large side (a group-by count with
   map-side combine, so the sample itself is cheap); only keys seen at least
-  ``min_count`` times are kept, at most ``max_keys`` of them.
-* Rows of hot keys stay where they are and meet the other side's rows for
-  those keys through a broadcast. The other side holds few rows per key
-  (one per customer in every use here); the slice is counted first and
-  broadcast only up to ``HOT_BROADCAST_ROWS`` rows, otherwise it is joined
-  with a shuffle (where AQE's skew handling still applies).
+  ``min_count`` times, and often against the other keys, are kept.
+* Rows of hot keys meet the other side's rows for those keys. The other side
+  holds few rows per key (one per customer in every use here), so AQE
+  broadcasts that slice by its measured size; if it is large after all, AQE's
+  skew handling splits the join.
 * All other rows join as usual (sort-merge or broadcast, with AQE).
 
 The two parts hold disjoint keys, so their union is exactly the plain
@@ -23,13 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key seen this often in a 0.1% sample holds about 10^5 rows or more.
 HOT_SAMPLE_FRACTION = 0.001
+# A key is hot when it holds more than 1 / HOT_PER_PARTITION of an average shuffle
+# partition's share, so there are at most HOT_PER_PARTITION hot keys per partition.
+HOT_PER_PARTITION = 4
+# Fewer occurrences than this in the sample are chance.
 HOT_MIN_SAMPLE_COUNT = 100
-HOT_MAX_KEYS = 10_000
-HOT_BROADCAST_ROWS = 2_000_000
-# A table smaller than this fits one task whole, so no key in it can be hot.
-HOT_MIN_TABLE_BYTES = 256 * 1024 * 1024
 
 _HOT_CACHE: dict[tuple, tuple] = {}
 
@@ -39,39 +37,29 @@ def hot_keys(
     key: str,
     fraction: float | None = None,
     min_count: int | None = None,
-    max_keys: int | None = None,
     seed: int = 17,
-    min_bytes: int | None = None,
 ) -> list:
     """Keys holding a large share of ``df``'s rows, estimated on a sample.
 
-    Tables whose estimated size (the optimizer's statistics, no job) is
-    below ``min_bytes`` are not sampled: none of their keys can outgrow a
-    task. Unset parameters take the module settings at call time.
+    The threshold is relative to the sample and to the number of shuffle
+    partitions, which bounds the number of keys whatever the table's size.
+    Unset parameters take the module settings at call time.
     """
     fraction = HOT_SAMPLE_FRACTION if fraction is None else fraction
     min_count = HOT_MIN_SAMPLE_COUNT if min_count is None else min_count
-    max_keys = HOT_MAX_KEYS if max_keys is None else max_keys
-    min_bytes = HOT_MIN_TABLE_BYTES if min_bytes is None else min_bytes
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sample = df.select(key)
-    if min_bytes > 0 and int(str(sample._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < min_bytes:
-        return []
     # Many joins read the same stored table; sample it once per session.
     # (The estimate only steers speed, so reusing it is always safe.)
     cache_key = (df.sparkSession.sparkContext.applicationId,
-                 sample._jdf.queryExecution().optimizedPlan().semanticHash(), fraction, min_count, max_keys, seed)
+                 sample.semanticHash(), fraction, min_count, partitions, seed)
     if cache_key in _HOT_CACHE:
         return list(_HOT_CACHE[cache_key])
     if fraction < 1.0:
         sample = sample.sample(fraction=fraction, seed=seed)
-    counts = (
-        sample.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_count)
-        .orderBy(F.col("_n").desc())
-        .limit(max_keys)
-    )
+    sample = sample.filter(F.col(key).isNotNull())
+    least = max(min_count, sample.count() / (HOT_PER_PARTITION * partitions))
+    counts = sample.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     keys = [r[0] for r in counts.collect()]
     _HOT_CACHE[cache_key] = tuple(keys)
     return keys
@@ -93,7 +81,6 @@ def skew_join(big: DataFrame, other: DataFrame, key: str, how: str = "inner", ho
     is_hot = F.col(key).isin(keys)
     cold = big.filter(F.col(key).isNull() | ~is_hot).join(other.filter(F.col(key).isNull() | ~is_hot), key, how)
     hot_other = other.filter(is_hot)
-    if hot_other.limit(HOT_BROADCAST_ROWS + 1).count() <= HOT_BROADCAST_ROWS:
-        hot_other = F.broadcast(hot_other)
+    # Small as a rule; whether it is broadcast, AQE decides by its measured size.
     hot_rows = big.filter(is_hot).join(hot_other, key, how)
     return cold.unionByName(hot_rows)

@@ -39,16 +39,9 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-# Largest offset table that is broadcast (rows); above it a shuffle join is used.
-BROADCAST_ROWS = 2_000_000
-
 _HELPER = ("_tb", "_p", "_m")
 
 
-def _broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def _ordered(df: DataFrame, order: Sequence[Column], by: Sequence[str], stable_input: bool,
              unique_order: bool = False) -> DataFrame:
     if unique_order:
@@ -87,7 +80,7 @@ def _join_offsets(ordered: DataFrame, offsets: DataFrame, by: Sequence[str]) ->
         cond = cond & F.col(b).eqNullSafe(F.col(f"_ob{i}"))
     # Without groups the table has one row per sort partition, a bound fixed
     # by the shuffle partition count; with groups its size is checked first.
-    small = F.broadcast(renamed) if not by else _broadcast_if_small(renamed)
+    small = F.broadcast(renamed) if not by else renamed
     return ordered.join(small, cond, "inner")
 
 
@@ -129,7 +122,7 @@ def _with_sizes(ranked: DataFrame, offsets: DataFrame, by: Sequence[str]) -> Dat
     cond = F.lit(True)
     for i, b in enumerate(by):
         cond = cond & F.col(b).eqNullSafe(F.col(f"_sb{i}"))
-    return ranked.join(_broadcast_if_small(renamed), cond).drop(*[f"_sb{i}" for i in range(len(by))])
+    return ranked.join(renamed, cond).drop(*[f"_sb{i}" for i in range(len(by))])
 
 
 def ntile(
@@ -180,19 +173,18 @@ def weighted_running_sum(
     cond = F.col("_p") == F.col("_op")
     for i, b in enumerate(by):
         cond = cond & F.col(b).eqNullSafe(F.col(f"_ob{i}"))
-    small = F.broadcast(renamed) if not by else _broadcast_if_small(renamed)
+    small = F.broadcast(renamed) if not by else renamed
     joined = ordered.join(small, cond, "inner")
     inside = Window.partitionBy("_p", *by).orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
     out = joined.withColumn(name, F.col("_off") + F.sum(weight).over(inside))
     return out.drop(*_HELPER, "_op", "_off", *[f"_ob{i}" for i in range(len(by))])
 
 
-# Sketch accuracy of the band around a percentile (rank error about n / accuracy),
-# and the band's half-width in those units.
+# Sketch accuracy of the band around a percentile (rank error about n / accuracy).
 BAND_ACCURACY = 100_000
-BAND_MARGIN = 3
-# Below this many values a full distributed sort is cheaper than the band's extra passes.
-BAND_MIN_ROWS = 2_000_000
+# Half-widths of a band as shares of a group; a group takes the narrowest that spans BAND_RANKS ranks.
+BAND_WIDTHS = (3 / BAND_ACCURACY, 1e-3, 3e-2, 1.0)
+BAND_RANKS = 3
 
 
 def _group_cond(by: Sequence[str], prefix: str) -> Column:
@@ -202,8 +194,8 @@ def _group_cond(by: Sequence[str], prefix: str) -> Column:
     return cond
 
 
-def _percentile_by_band(vals: DataFrame, p: float, by: Sequence[str], name: str) -> DataFrame | None:
-    """Exact percentile from a verified band around the target ranks; None if a band misses.
+def _percentile_by_band(vals: DataFrame, p: float, by: Sequence[str], name: str) -> DataFrame:
+    """Exact percentile from a verified band around the target ranks; only groups whose band misses are sorted.
 
     1. One pass: per group, the row count and two approximate quantiles
        around ``p`` (a bounded sketch per group) give a value band.
@@ -214,19 +206,22 @@ def _percentile_by_band(vals: DataFrame, p: float, by: Sequence[str], name: str)
        sum; the target ranks are read off it.
     No step sorts or gathers all values of a group.
     """
-    lo_p, hi_p = max(0.0, p - BAND_MARGIN / BAND_ACCURACY), min(1.0, p + BAND_MARGIN / BAND_ACCURACY)
+    shares = [max(0.0, p - w) for w in BAND_WIDTHS] + [min(1.0, p + w) for w in BAND_WIDTHS]
     v = F.col("_v")
     bands = vals.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(v, [lo_p, hi_p], BAND_ACCURACY).alias("_q"),
+        F.percentile_approx(v, shares, BAND_ACCURACY).alias("_q"),
     )
     pos = F.lit(1.0) + F.lit(float(p)) * (F.col("_n") - 1)
+    width = F.lit(len(BAND_WIDTHS) - 1)
+    for i in reversed(range(len(BAND_WIDTHS) - 1)):
+        width = F.when(F.col("_n") * BAND_WIDTHS[i] >= BAND_RANKS, i).otherwise(width)
     bands = materialize(bands.select(
         *[F.col(b).alias(f"_gb{i}") for i, b in enumerate(by)], "_n",
-        F.col("_q")[0].alias("_blo"), F.col("_q")[1].alias("_bhi"),
+        F.get("_q", width).alias("_blo"), F.get("_q", width + len(BAND_WIDTHS)).alias("_bhi"),
         pos.alias("_pos"), F.floor(pos).alias("_r1"), F.ceil(pos).alias("_r2"),
     ), "percentile-bands")
-    tagged = vals.join(_broadcast_if_small(bands), _group_cond(by, "_gb"), "inner")
+    tagged = vals.join(bands, _group_cond(by, "_gb"), "inner")
     in_band = (v >= F.col("_blo")) & (v <= F.col("_bhi"))
     gkeys = [f"_gb{i}" for i in range(len(by))]
     counts = tagged.groupBy(*gkeys, "_r1", "_r2", "_pos").agg(
@@ -238,11 +233,12 @@ def _percentile_by_band(vals: DataFrame, p: float, by: Sequence[str], name: str)
         (F.col("_r1") - F.col("_below")).alias("_k1"), (F.col("_r2") - F.col("_below")).alias("_k2"),
         ((F.col("_below") < F.col("_r1")) & (F.col("_below") + F.col("_inband") >= F.col("_r2"))).alias("_ok"),
     ), "percentile-checks")
-    if checks.filter(~F.col("_ok")).limit(1).count() > 0:
-        return None
+    missed = checks.filter(~F.col("_ok")).select(*[F.col(g).alias(f"_cb{i}") for i, g in enumerate(gkeys)])
+    again = missed.count()  # rows of ``checks``: one per group
+    checks = checks.filter("_ok")
     weighted = tagged.filter(in_band).groupBy(*gkeys, "_v").agg(F.count(F.lit(1)).alias("_w"))
     cum = weighted_running_sum(weighted, [F.col("_v").asc()], "_w", by=gkeys, name="_cum", unique_order=True)
-    renamed = _broadcast_if_small(checks.drop("_ok")).select(*[F.col(g).alias(f"_cb{i}") for i, g in enumerate(gkeys)], "_pos", "_r1", "_k1", "_k2")
+    renamed = checks.select(*[F.col(g).alias(f"_cb{i}") for i, g in enumerate(gkeys)], "_pos", "_r1", "_k1", "_k2")
     picked = cum.join(renamed, _group_cond(gkeys, "_cb"), "inner")
     start = F.col("_cum") - F.col("_w")
     agg = picked.groupBy(*gkeys).agg(
@@ -252,7 +248,14 @@ def _percentile_by_band(vals: DataFrame, p: float, by: Sequence[str], name: str)
         F.max("_r1").alias("_r1"),
     )
     result = F.col("_vlo") + (F.col("_pos") - F.col("_r1")) * (F.col("_vhi") - F.col("_vlo"))
-    return agg.select(*[F.col(f"_gb{i}").alias(b) for i, b in enumerate(by)], result.alias(name))
+    out = agg.select(*[F.col(f"_gb{i}").alias(b) for i, b in enumerate(by)], result.alias(name))
+    if again:
+        cond = F.lit(True)
+        for i, b in enumerate(by):
+            cond = cond & F.col(b).eqNullSafe(F.col(f"_cb{i}"))
+        rest = vals.join(missed, cond, "left_semi")
+        out = out.unionByName(percentile_by_sort(rest, "_v", p, by, name))
+    return out
 
 
 def percentile_exact(
@@ -270,21 +273,17 @@ def percentile_exact(
     group (``by`` columns + ``name``); no row when a group has no values.
     Unlike an aggregate that gathers a group's distinct values in one task,
     this reads the values in three passes and only ranks a narrow verified
-    band around the target (``_percentile_by_band``); if a band ever misses,
-    or there are fewer than ``BAND_MIN_ROWS`` values, it ranks all values
-    with the distributed sort instead (``percentile_by_sort``). Either way
-    a group's size is not bounded by one task's memory.
+    band around the target (``_percentile_by_band``); the groups whose band
+    misses, and only those, are ranked with the distributed sort
+    (``percentile_by_sort``). Either way a group's size is not bounded by one
+    task's memory.
     """
     vals = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     src = vals if stable_input else materialize(vals, "percentile-input")
-    if src.limit(BAND_MIN_ROWS).count() < BAND_MIN_ROWS:
-        return percentile_by_sort(src, "_v", p, by, name, stable_input=True)
     # without groups, one constant group key: every lookup stays an equi-join
     keys = list(by) if by else ["_g0"]
     banded = _percentile_by_band(src if by else src.withColumn("_g0", F.lit(0)), p, keys, name)
-    if banded is not None:
-        return banded if by else banded.drop("_g0")
-    return percentile_by_sort(src, "_v", p, by, name, stable_input=True)
+    return banded if by else banded.drop("_g0")
 
 
 def percentile_by_sort(

@@ -124,7 +124,7 @@ SELECT {_id("'C'", "k")} AS customer_id,
        CASE WHEN k % 23 = 0 THEN NULL WHEN st = 'F' THEN 'Closed' ELSE 'Active' END AS product_status
 FROM (SELECT o_custkey AS k, o_orderpriority AS prio, CAST(min(o_orderdate) AS DATE) AS fo,
              min(o_orderstatus) AS st
-      FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey, o_orderpriority) g""")
+      FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) >= 3) g""")
 
 cte("raw_activity", f"""
 SELECT {_id("p.prefix", "c.c_custkey")} AS customer_id,

@@ -111,7 +111,6 @@ def test_band_path_is_used_and_exact(spark, data, monkeypatch):
         raise AssertionError("fell back to the full sort")
 
     monkeypatch.setattr(ordering, "percentile_by_sort", no_sort)
-    monkeypatch.setattr(ordering, "BAND_MIN_ROWS", 0)
     for p in (0.0, 0.37, 0.5, 0.99, 1.0):
         got = ordering.percentile_exact(data, "v", p).first()["percentile"]
         assert got == pytest.approx(data.agg(F.percentile("v", p)).first()[0], rel=1e-12)
@@ -126,18 +125,32 @@ def test_band_miss_falls_back_to_the_sort(spark, monkeypatch):
     rows = [(float(i * 7 % 1001),) for i in range(5000)]
     df = spark.createDataFrame(rows, "v double")
     monkeypatch.setattr(ordering, "BAND_ACCURACY", 10)
-    monkeypatch.setattr(ordering, "BAND_MARGIN", 0)
-    monkeypatch.setattr(ordering, "BAND_MIN_ROWS", 0)
-    assert ordering._percentile_by_band(df.withColumn("_v", F.col("v")).withColumn("_g0", F.lit(0)),
-                                        0.5, ["_g0"], "m") is None
+    monkeypatch.setattr(ordering, "BAND_WIDTHS", (0.0,))
+    sorted_groups = []
+    by_sort = ordering.percentile_by_sort
+    monkeypatch.setattr(ordering, "percentile_by_sort", lambda d, *a, **k: sorted_groups.append(d) or by_sort(d, *a, **k))
     got = ordering.percentile_exact(df, "v", 0.5).first()[0]
-    assert got == df.agg(F.percentile("v", 0.5)).first()[0]
+    assert got == df.agg(F.percentile("v", 0.5)).first()[0] and len(sorted_groups) == 1
+
+
+def test_small_and_large_groups_both_use_the_band(spark, monkeypatch):
+    from churnkit.operators import ordering
+
+    def no_sort(*a, **k):
+        raise AssertionError("a group was sorted whole")
+
+    monkeypatch.setattr(ordering, "percentile_by_sort", no_sort)
+    df = spark.range(201_479).select(
+        F.when(F.col("id") < 200_000, "large").when(F.col("id") < 201_476, "small").otherwise("tiny").alias("g"),
+        ((F.col("id") * 7919) % 100_003).cast("double").alias("v"))
+    got = {r["g"]: r["m"] for r in ordering.percentile_exact(df, "v", 0.99, by=["g"], name="m").collect()}
+    ref = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.percentile("v", 0.99).alias("m")).collect()}
+    assert got == pytest.approx(ref)
 
 
 def test_percentile_inside_a_hot_value(spark, monkeypatch):
     from churnkit.operators import ordering
 
-    monkeypatch.setattr(ordering, "BAND_MIN_ROWS", 0)
     rows = [(i, 50.0) for i in range(2000)] + [(i, float(i % 97)) for i in range(2000, 5000)]
     df = spark.createDataFrame(rows, "id long, v double")
     for p in (0.3, 0.5, 0.9):

@@ -46,7 +46,6 @@ def test_hot_customer_results_match_plain_joins(spark, monkeypatch):
     plain = _pipeline(spark)
     monkeypatch.setattr(joins, "HOT_SAMPLE_FRACTION", 1.0)
     monkeypatch.setattr(joins, "HOT_MIN_SAMPLE_COUNT", 30)  # C0 is hot in activity and products
-    monkeypatch.setattr(joins, "HOT_MIN_TABLE_BYTES", 0)  # sample even these tiny tables
     rc, rp, ra = _raw(spark)
     assert joins.hot_keys(ra, "customer_id") == ["C0"]
     assert joins.hot_keys(rp, "customer_id") == ["C0"]
