@@ -49,7 +49,7 @@ def test_streaming_load_is_exactly_once(spark):
     assert spark.read.parquet(out).count() == 4
 
 
-@pytest.mark.parametrize("table,count", [("customers", 1530), ("products", 3645), ("activity", 1510)])
+@pytest.mark.parametrize("table,count", [("customers", 1530), ("products", 2424), ("activity", 1510)])
 def test_fixture_row_counts_sf001(spark, table, count):
     from churnkit.plans.warehouse import fixture_warehouse
 
