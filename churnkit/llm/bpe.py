@@ -8,8 +8,10 @@ their prefixes. Its arcs carry integer outputs that add up to a word's
 number, under which its ids are stored. The automaton is a flat file that
 Spark ships to the executors (``addFile``) and tasks map into memory.
 
-A task looks up the distinct words of a few MB of text by walking all of them
-through the automaton together; words it does not hold are merged exactly,
+A text is first split at single spaces, where a word always begins, so that
+only the distinct units between them are cut into words by the pattern. A task
+looks up the distinct words of a few MB of text by walking all of them through
+the automaton together; words it does not hold are merged exactly,
 also side by side (a heap of pairs takes over for words of more than 64
 bytes, where it is the faster one). Texts never leave their task; the only
 shuffle is that of the word counts.
@@ -29,6 +31,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import uuid
@@ -51,6 +54,7 @@ from ._words import chunks, small_batches
 #: White space as the tokenizers library sees it (Unicode White_Space).
 WS = r"\t-\r\x20\x85\xa0  -     　"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+RUN = re.compile(rf"[{WS}]{{2,}}")
 LONG = 64
 NO_RANK = np.iinfo(np.int32).max
 
@@ -291,16 +295,49 @@ def _cutter(added: dict[str, int]):
     return regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
 
 
-def pretokens(text: str, cut) -> list[str]:
-    """Words of a text; added tokens stand for themselves."""
-    if cut is None or not cut.search(text):
-        return WORD.findall(text)
-    out = []
-    for i, part in enumerate(cut.split(text)):
-        out += [part] if i % 2 else WORD.findall(part)
+#: What lies between two cuts of a text: a string stands for itself after a space, a 1-tuple for its
+#: string, a 2-tuple for an added token and its id.
+Unit = str | tuple[str] | tuple[str, int]
+
+
+def _units_of_line(text: str) -> list[Unit]:
+    """Units of a text in which no two white-space characters are neighbours, but for a run that is all of it."""
+    own: list[Unit] = text.split(" ")
+    own[0] = (own[0],)
+    return own
+
+
+def units(text: str, added: dict[str, int], cut) -> list[Unit]:
+    """A text cut where words always begin: words in a row are those of its units.
+
+    No word reaches from other characters into white space, and of a longer
+    white-space run only the last character can belong to what follows.
+    """
+    out: list[Unit] = []
+    for i, part in enumerate(cut.split(text) if any(t in text for t in added) else [text]):
+        if i % 2:
+            out.append((part, added[part]))
+            continue
+        at = 0
+        for run in RUN.finditer(part):
+            begin, end = run.span()
+            split = end - 1 if end < len(part) else end
+            if begin > at:
+                out += _units_of_line(part[at:begin])
+            out.append((part[begin:split],))
+            at = split
+        if at < len(part):
+            out += _units_of_line(part[at:])
     return out
 
 
+def words_of(unit: Unit) -> list[str]:
+    """Words of a unit; an added token stands for itself."""
+    if isinstance(unit, str):
+        return WORD.findall(" " + unit)
+    return [unit[0]] if len(unit) == 2 else WORD.findall(unit[0])
+
+
 def word_counts(docs: DataFrame, added: dict[str, int], column: str = "text", flush: int = 100_000) -> DataFrame:
     """(word as bytes, n) over all texts."""
     cut = _cutter(added)
@@ -309,11 +346,15 @@ def word_counts(docs: DataFrame, added: dict[str, int], column: str = "text", fl
         held: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_pydict({"word": [w.encode() for w in held], "n": list(held.values())}, schema=pa.schema([("word", pa.binary()), ("n", pa.int64())]))
+            words: Counter = Counter()
+            for unit, n in held.items():
+                for word in words_of(unit):
+                    words[word] += n
+            return pa.RecordBatch.from_pydict({"word": [w.encode() for w in words], "n": list(words.values())}, schema=pa.schema([("word", pa.binary()), ("n", pa.int64())]))
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(pretokens(text.as_py() or "", cut))
+                held.update(units(text.as_py() or "", added, cut))
                 if len(held) > flush:
                     yield out()
                     held.clear()
@@ -347,12 +388,18 @@ def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon: int = 1 << 19
 
 def encode_texts(texts: list[str | None], v: Vocabulary, lexicon: Lexicon, cut) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, where each text's ids begin, one entry more)."""
-    index: defaultdict[str, int] = defaultdict(count().__next__)  # numbers the distinct words
-    used, tokens = [np.empty(0, np.int64)], []
+    unit_index: defaultdict[Unit, int] = defaultdict(count().__next__)  # numbers the distinct units
+    used, lengths = [np.empty(0, np.int64)], []
     for text in texts:
-        own = pretokens(text or "", cut)
-        used.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
-        tokens.append(len(own))
+        own = units(text or "", v.added, cut)
+        used.append(np.fromiter(map(unit_index.__getitem__, own), np.int64, len(own)))
+        lengths.append(len(own))
+    index: defaultdict[str, int] = defaultdict(count().__next__)  # numbers their distinct words
+    in_units, words_per_unit = [], []
+    for unit in unit_index:
+        own = words_of(unit)
+        in_units += map(index.__getitem__, own)
+        words_per_unit.append(len(own))
     words = [w.encode() for w in index]
     number = lexicon.find(words)
     for token, i in v.added.items():
@@ -367,9 +414,14 @@ def encode_texts(texts: list[str | None], v: Vocabulary, lexicon: Lexicon, cut)
     begin[unseen], size[unseen] = len(lexicon.ids) + np.cumsum(merged_size) - merged_size, merged_size
     begin[added], size[added] = len(lexicon.ids) + len(merged) - 2 - number[added], 1
     source = np.concatenate((lexicon.ids, merged, np.arange(len(v.text), dtype=np.int32)))
-    used = np.concatenate(used)
-    end = np.concatenate(([0], np.cumsum(size[used])))
-    return source[_spots(begin[used], size[used])], end[np.concatenate(([0], np.cumsum(tokens)))]
+    # The ids of all distinct units in a row, then those of the texts.
+    in_units = np.array(in_units, np.int64)
+    source = source[_spots(begin[in_units], size[in_units])]
+    word_end = np.concatenate(([0], np.cumsum(size[in_units])))
+    unit_end = word_end[np.concatenate(([0], np.cumsum(np.array(words_per_unit, np.int64))))]
+    unit_size, used = np.diff(unit_end), np.concatenate(used)
+    end = np.concatenate(([0], np.cumsum(unit_size[used])))
+    return source[_spots(unit_end[used], unit_size[used])], end[np.concatenate(([0], np.cumsum(np.array(lengths, np.int64))))]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: str = "text", keep_text: bool = True) -> DataFrame:
