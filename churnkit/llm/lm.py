@@ -76,10 +76,13 @@ def listed(ids: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([i[i != NONE] for i in ids])) if len(ids[0]) else np.empty(0, U64)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the buckets (ranges of the hash) begin in sorted keys."""
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(U64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def _cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of each bucket, a range of the hash, that holds some of the sorted keys."""
+    if not len(keys):
+        return []
+    bucket = (keys >> U64(32)) * U64(buckets) >> U64(32)
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    return list(zip(bucket[begin].tolist(), begin.tolist(), np.append(begin[1:], len(keys)).tolist(), strict=True))
 
 
 def _press(*arrays: np.ndarray) -> bytes:
@@ -122,8 +125,7 @@ def _count_task(order: int, buckets: int):
         counts[np.searchsorted(keys, found)] = times
         single = np.zeros(len(keys), bool)
         single[np.searchsorted(keys, block.ids[0])] = True
-        cut = _cuts(keys, buckets)
-        rows = [(b, key[0].as_py(), _press(keys[a:z], counts[a:z], single[a:z])) for b, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+        rows = [(b, key[0].as_py(), _press(keys[a:z], counts[a:z], single[a:z])) for b, a, z in _cuts(keys, buckets)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[], [], []], schema.types, strict=True)], schema=schema)
 
     return run

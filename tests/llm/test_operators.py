@@ -320,6 +320,20 @@ def test_bpe_on_every_letter(vocabulary):
     assert [ids[a:z].tolist() for a, z in zip(begin[:-1], begin[1:], strict=True)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_units_change_no_word(vocabulary):
+    """Mixtures of white space, control characters, letters and added tokens, against the tokenizers library."""
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    pieces = [*" \t\n\r\v\f\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b\u0301a9!'", "  ", "\r\n", " \n", "\n ", "don't", "'s", "12", "日本", "<|", "|>", *vocabulary.added]
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(12))) for _ in range(5000)]
+    lexicon = bpe.Lexicon(bpe.Lexicon.compile([], *bpe.merge(vocabulary, [])))
+    ids, begin = bpe.encode_texts(texts, vocabulary, lexicon, bpe._cutter(vocabulary.added))
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:z].tolist() for a, z in zip(begin[:-1], begin[1:], strict=True)] == [w.ids for w in want]
+
+
 def test_lexicon_is_minimal_and_exact(vocabulary):
     words = sorted({f"{a}{b}ing".encode() for a in "abcdef" for b in ("", "x", "yy")} | {b"a", b"ab"})
     lexicon = bpe.Lexicon(bpe.Lexicon.compile(words, *bpe.merge(vocabulary, words)))
