@@ -9,6 +9,8 @@ would not (``NaN``, ``Infinity``, ``1.5d``, ``2f``, a bare year as a date).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,11 @@ from churnkit.functions.text import as_col
 DECIMAL_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 ZERO_PATTERN = r"^\s*[+-]?0+\s*$"
-ISO_DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
+#: Year-first dates, which read the same everywhere: with dashes, slashes or nothing between, and perhaps a time of day.
+DATE_PATTERN = (
+    r"^(\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{8})"
+    r"(?:[ T](?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,7})?)?)?$"
+)
 
 
 def to_float(c) -> Column:
@@ -54,7 +60,13 @@ def to_flag(c) -> Column:
     )
 
 
-def to_date(c) -> Column:
-    """ISO ``yyyy-mm-dd`` text -> date; other text or impossible dates -> NULL."""
+def to_date(c, formats: Sequence[str] = ()) -> Column:
+    """Year-first text (``DATE_PATTERN``) -> date, dropping a time of day; other text or impossible dates -> NULL.
+
+    Day-first and month-first texts are ambiguous, so they are read only in
+    the ``formats`` (Spark datetime patterns, the first that fits) a caller names.
+    """
     t = F.trim(as_col(c))
-    return F.when(t.rlike(ISO_DATE_PATTERN), t.try_cast("date"))
+    day = F.regexp_extract(t, DATE_PATTERN, 1)
+    parsed = F.regexp_replace(day, r"^(\d{4})[-/]?(\d{1,2})[-/]?(\d{1,2})$", "$1-$2-$3").try_cast("date")
+    return F.coalesce(parsed, *(F.try_to_date(t, f) for f in formats)) if formats else parsed

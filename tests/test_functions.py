@@ -49,10 +49,21 @@ def test_flag_parse(spark):
         1, 0, 1, 1, 0, None, None, 0]
 
 
-def test_date_parse_iso_only(spark):
-    assert one(spark, to_date, "2024-01-15") == dt.date(2024, 1, 15)
-    for bad in ("unknown", "2024", "240115", "2024-02-30", "15/01/2024", None):
-        assert one(spark, to_date, bad) is None
+def test_date_parse_year_first(spark):
+    forms = ["2024-01-15", " 2024-1-15 ", "2024/01/15", "20240115", "2024-01-15 00:00:00", "2024-01-15T10:00:00", "2024-01-15 23:59:59.9999999", "20240115 08:30"]
+    bad = ["unknown", "", "2024", "240115", "2024-02-30", "20240230", "15/01/2024", "2024-01/15", "2024-01-15 24:00", "2024-01-15 x", "2024-01-1500:00", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(forms + bad)], "i int, v string")
+    got = [r["d"] for r in df.select("i", to_date("v").alias("d")).orderBy("i").collect()]
+    assert got == [dt.date(2024, 1, 15)] * len(forms) + [None] * len(bad)
+
+
+def test_date_parse_named_formats(spark):
+    def day_first(c):
+        return to_date(c, formats=("dd/MM/yyyy", "dd MMM yyyy"))
+
+    assert [one(spark, day_first, v) for v in ("15/01/2024", "15 Jan 2024", "2024-01-15")] == [dt.date(2024, 1, 15)] * 3
+    for bad in ("01/15/2024", "31/02/2024", "x", None):
+        assert one(spark, day_first, bad) is None
 
 
 def test_map_values_first_match_and_default(spark):
