@@ -71,9 +71,16 @@ def ngram_ids(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndar
     return out
 
 
-def listed(ids: list[np.ndarray]) -> np.ndarray:
-    """The distinct n-grams of a block, in the order in which counts return."""
-    return np.unique(np.concatenate([i[i != NONE] for i in ids])) if len(ids[0]) else np.empty(0, U64)
+def listed(ids: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct n-grams of a block, sorted, as counts return; and for each n the index of every token's n-gram in them (-1: none)."""
+    flat = np.concatenate(ids)
+    order = np.argsort(flat)
+    ordered = flat[order]
+    new = ordered != NONE  # the smallest value, so what it counts to is -1
+    new[1:] &= ordered[1:] != ordered[:-1]
+    at = np.empty(len(flat), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], np.split(at, len(ids))
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -117,14 +124,11 @@ def _count_task(order: int, buckets: int):
 
     def run(key, table):
         block = _Block(table, order)
-        keys = listed(block.ids)
+        keys, at = listed(block.ids)
         trains = np.repeat(~block.held_out, np.diff(block.first))
-        used = np.concatenate([i[trains & (i != NONE)] for i in block.ids])
-        found, times = np.unique(used, return_counts=True)
-        counts = np.zeros(len(keys), np.int64)
-        counts[np.searchsorted(keys, found)] = times
+        counts = sum(np.bincount(i[trains & (i >= 0)], minlength=len(keys)) for i in at)
         single = np.zeros(len(keys), bool)
-        single[np.searchsorted(keys, block.ids[0])] = True
+        single[at[0]] = True
         rows = [(b, key[0].as_py(), _press(keys[a:z], counts[a:z], single[a:z])) for b, a, z in _cuts(keys, buckets)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[], [], []], schema.types, strict=True)], schema=schema)
 
@@ -177,10 +181,12 @@ class Automaton:
             history = at[n - 2][on - 1]
             before = held[history]
             p[on] = np.where(before > 0, (count[n - 1][on] + mu * p[on]) / (before + mu), p[on])
-            known = count[n - 1][on] > 0
-            arc, where = np.unique(history[known] * size + at[0][on[known]], return_index=True)
-            arcs.append(arc)
-            weights.append(np.log10(p[on[known][where]]))
+            known = on[count[n - 1][on] > 0]
+            of_arc = np.full(size, -1)  # a token at which each n-gram ends
+            of_arc[at[n - 1][known]] = known
+            of_arc = of_arc[of_arc >= 0]
+            arcs.append(at[n - 2][of_arc - 1] * size + at[0][of_arc])
+            weights.append(np.log10(p[of_arc]))
         sort = np.argsort(np.concatenate(arcs), kind="stable")
         self.arcs, self.weights = np.concatenate(arcs)[sort], np.concatenate(weights)[sort]
 
@@ -202,12 +208,11 @@ class Automaton:
         return out
 
 
-def score_block(block: _Block, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, order: int, mu: float) -> tuple[np.ndarray, ...]:
+def score_block(block: _Block, at: list[np.ndarray], counts: np.ndarray, total: int, distinct: int, order: int, mu: float) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base score, model score) of each text of a block."""
-    at = [np.where(i != NONE, np.searchsorted(keys, i), -1) for i in block.ids]
     count = [np.where(a >= 0, counts[np.maximum(a, 0)], 0) for a in at]
     unigram = np.log10((count[0] + 1) / (total + distinct + 1))
-    automaton = Automaton(at, count, unigram, len(keys), order, mu)
+    automaton = Automaton(at, count, unigram, len(counts), order, mu)
     after = np.full(len(block.tokens), -1)  # the state after each token
     for n in range(1, order):
         known = count[n - 1] > 0
@@ -237,10 +242,10 @@ def _score_task(order: int, mu: float, total: int, distinct: int):
         if not table.num_rows:
             return schema.empty_table()
         block = _Block(table, order)
-        keys = listed(block.ids)
+        _, at = listed(block.ids)
         parts = returned.sort_by("bucket").column("packed").to_pylist()
         counts = np.concatenate([_open(p, np.int64)[0] for p in parts])
-        n, known, base, score = score_block(block, keys, counts, total, distinct, order, mu)
+        n, known, base, score = score_block(block, at, counts, total, distinct, order, mu)
         return pa.Table.from_arrays([block.doc_id.combine_chunks(), pa.array(block.held_out), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], schema=schema)
 
     return run

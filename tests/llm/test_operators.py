@@ -322,7 +322,7 @@ def test_bpe_on_every_letter(vocabulary):
 
 def test_bpe_units_change_no_word(vocabulary):
     """Mixtures of white space, control characters, letters and added tokens, against the tokenizers library."""
-    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     library.no_truncation()
     library.no_padding()
     pieces = [*" \t\n\r\v\f\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b\u0301a9!'", "  ", "\r\n", " \n", "\n ", "don't", "'s", "12", "日本", "<|", "|>", *vocabulary.added]
