@@ -6,7 +6,7 @@
 
 Loads the three CSV exports, builds every layer, writes the finished tables
 under ``--out`` (replacing earlier versions) and the quality log and every
-analysis result under ``--out/reports/<query>``. ``--show`` prints the named
+analysis result, sorted for reading, under ``--out/reports/<query>``. ``--show`` prints the named
 results as well. Intermediate tables go to the session's
 ``spark.checkpoint.dir``.
 """
@@ -18,7 +18,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from churnkit.config import BANK
-from churnkit.plans.queries import QUERIES
+from churnkit.plans.queries import QUERIES, listing
 from churnkit.plans.warehouse import Warehouse
 from churnkit.sources.sinks import write_table
 
@@ -44,12 +44,12 @@ def main(argv: list[str] | None = None) -> int:
     out = args.out.rstrip("/")
     for name, path in wh.publish(out).items():
         print(f"wrote {name} -> {path}")
-    for name, fn in QUERIES.items():
+    for name in QUERIES:
         if name.startswith(REPORT_PREFIXES) and name not in ("eda_00_base",):
-            write_table(fn(wh), f"{out}/reports/{name}")
+            write_table(listing(wh, name), f"{out}/reports/{name}")
     for name in args.show:
         print(f"== {name}")
-        QUERIES[name](wh).show(50, truncate=False)
+        listing(wh, name).show(50, truncate=False)
     return 0
 
 

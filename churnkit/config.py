@@ -100,6 +100,9 @@ OUTLIER_BALANCE = 1_000_000.0
 CREDIT_SCORE_MIN = 300
 CREDIT_SCORE_MAX = 850
 
+# Severity of our own count of export rows with too few or too many fields.
+MALFORMED_SEVERITY = "High"
+
 # Severity of each profiling check (Critical / High / Medium / Low, N/A for
 # baselines, Varies for the broad NULL sweeps).
 CHECK_SEVERITY: dict[str, str] = {

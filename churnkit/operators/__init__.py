@@ -17,7 +17,6 @@ from churnkit.operators.quality import (
     row_count,
     row_counts,
     value_counts,
-    with_parents,
 )
 from churnkit.operators.segments import (
     counts_by,
@@ -37,5 +36,5 @@ __all__ = [
     "ntile", "ntile_share", "null_profile", "orphans", "outlier_sensitivity", "pair_check", "percentile_exact",
     "period_change", "range_check",
     "quality_log", "rank_rows", "rate_by", "row_count", "row_counts", "share_of_total", "skew_gap", "skew_join",
-    "summary_by", "top_n", "value_counts", "with_parents", "with_share",
+    "summary_by", "top_n", "value_counts", "with_share",
 ]

@@ -24,14 +24,16 @@ Groups (``by``) are optional; rows are ranked inside each group, and a
 group may span many partitions, so a hot group is split like any other
 range. The number of groups only affects the size of the offset table.
 
-Exact percentiles need only two ranks per group: on large inputs they are
-read from a narrow value band that a bounded sketch proposes and an exact
-count verifies, so only the band (with equal values combined) is sorted;
-small inputs, or a band that misses, use the full sort above.
+Exact percentiles need only two ranks per group: they are read from a
+narrow value band that a bounded sketch proposes and an exact count
+verifies, so only the band (with equal values combined) is sorted; a group
+whose band misses uses the full sort above. Sums per tile work likewise:
+only the rows near a tile's edge are sorted.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -139,12 +141,81 @@ def ntile(
     """
     ranked, offsets = _rank(df, order, by, "_rn", stable_input)
     ranked = _with_sizes(ranked, offsets, by)
-    n, rn = F.col("_size"), F.col("_rn")
+    return ranked.withColumn(name, _tile(F.col("_rn"), F.col("_size"), k)).drop("_rn", "_size")
+
+
+def _tile(rn: Column, n: Column, k: int) -> Column:
     q = F.floor(n / k)
     r = n - q * k
     big = r * (q + 1)
     tile = F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1).otherwise(F.floor((rn - 1 - big) / q) + r + 1)
-    return ranked.withColumn(name, tile.cast("int")).drop("_rn", "_size")
+    return tile.cast("int")
+
+
+def ntile_sums(
+    df: DataFrame,
+    value: str,
+    tiebreak: str,
+    k: int,
+    name: str = "tile",
+    count_name: str = "n",
+    sum_name: str = "total",
+    stable_input: bool = False,
+) -> DataFrame:
+    """Rows and sum of ``value`` per ``ntile(k)`` tile, ordering only the rows near a tile's edge.
+
+    Tiles go by ``value`` descending, NULLs last, ties by ``tiebreak``.
+
+    1. A bounded sketch gives a value band around each of the k - 1 edges.
+    2. One pass counts and sums the rows of each zone: a band, or what lies
+       between two bands. The counts are exact, so every zone's first and
+       last rank is known. (At most 2k - 1 zones come to the driver.)
+    3. A zone within one tile adds its sum to that tile, whether or not its
+       band was meant to hold an edge. Only zones that an edge crosses are
+       ranked, with the distributed sort.
+    """
+    rows = df.select(F.col(tiebreak).alias("_t"), F.col(value).cast("double").alias("_v"))
+    if not stable_input:
+        rows = materialize(rows, "ntile-input")
+    key = F.coalesce("_v", F.lit(float("-inf")))  # NULLs sort last
+    middles = [1 - j / k for j in range(1, k)]
+    shares = [s for m in middles for w in BAND_WIDTHS for s in (max(0.0, m - w), min(1.0, m + w))]
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, shares or [0.5], BAND_ACCURACY).alias("q")).first()
+    n = found["n"]
+    width = next((i for i, w in enumerate(BAND_WIDTHS) if n * w >= BAND_RANKS + k), len(BAND_WIDTHS) - 1)
+    bands: list[tuple[float, float]] = []  # from the largest values down, disjoint
+    for j in range(k - 1 if n else 0):
+        low, high = found["q"][2 * (j * len(BAND_WIDTHS) + width):][:2]
+        if bands and high >= bands[-1][0]:
+            low, high = min(low, bands[-1][0]), bands.pop()[1]
+        bands.append((low, high))
+    zone = F.lit(2 * len(bands))
+    for i, (low, high) in reversed(list(enumerate(bands))):
+        zone = F.when(key > high, 2 * i).when(key >= low, 2 * i + 1).otherwise(zone)
+    rows = rows.withColumn("_zone", zone)
+
+    sums = rows.groupBy("_zone").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"))
+    q, r = divmod(n, k)
+    last_of = [j * q + min(j, r) for j in range(1, k + 1)]  # last rank of each tile
+    whole, crossed, before = [], {}, 0
+    for z in sorted(sums.collect(), key=lambda z: z["_zone"]):
+        tile = bisect_left(last_of, before + 1)
+        if before + z["n"] <= last_of[tile]:
+            whole.append((tile + 1, z["n"], z["total"]))
+        else:
+            crossed[z["_zone"]] = before
+        before += z["n"]
+    parts = df.sparkSession.createDataFrame(whole, f"{name} int, _n long, _s double")
+    if crossed:
+        edges = rows.filter(F.col("_zone").isin(list(crossed)))
+        ranked = rank_rows(edges, [F.col("_v").desc_nulls_last(), F.col("_t").asc()], by=["_zone"], name="_rn",
+                           stable_input=True)
+        rank = F.col("_rn")
+        for z, start in crossed.items():
+            rank = F.when(F.col("_zone") == z, F.col("_rn") + start).otherwise(rank)
+        parts = parts.unionByName(ranked.groupBy(_tile(rank, F.lit(n), k).alias(name)).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s")))
+    return parts.groupBy(name).agg(F.sum("_n").alias(count_name), F.sum("_s").alias(sum_name))
 
 
 def weighted_running_sum(

@@ -92,12 +92,6 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return skew_join(child, parent_keys, key, "left_anti")
 
 
-def with_parents(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows whose key has a parent row (``EXISTS``)."""
-    parent_keys = parent.select(key).distinct()
-    return skew_join(child, parent_keys, key, "left_semi")
-
-
 Metric = tuple[str, str, str, Column]  # check id, severity, metric name, aggregate expression
 
 

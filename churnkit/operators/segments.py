@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from churnkit.functions.metrics import pct
 from churnkit.functions.text import as_col
-from churnkit.operators.ordering import ntile, percentile_exact
+from churnkit.operators.ordering import ntile_sums, percentile_exact
+from churnkit.session import materialize
 
 
 def _flag_sum(flag: str) -> Column:
@@ -47,10 +48,11 @@ def rate_by(
 def with_share(counts: DataFrame, count_name: str, pct_name: str) -> DataFrame:
     """Add each row's percentage of the column total.
 
-    The total is one number summed from the (already aggregated) rows by a
-    distributed job, so no step gathers all groups into one task, however
-    many distinct keys there are.
+    The aggregated rows are written once; the total, one number summed by a
+    distributed job, and the result both read them. No step gathers all
+    groups into one task, however many distinct keys there are.
     """
+    counts = materialize(counts, "share-counts")
     total = counts.agg(F.sum(count_name)).first()[0]
     return counts.withColumn(pct_name, pct(F.col(count_name), F.lit(total)))
 
@@ -141,15 +143,9 @@ def ntile_share(
     """Rows, rounded total and share of the grand total per ``k``-tile.
 
     Tiles are ``ntile(k)`` over ``value`` descending (NULLs last), ties
-    broken by ``tiebreak``.
+    broken by ``tiebreak``; only rows near a tile's edge are ordered.
     """
-    rows = df.select(tiebreak, value)
-    tiled = ntile(rows, k, [F.col(value).desc_nulls_last(), F.col(tiebreak).asc()], name=tile_name,
-                  stable_input=stable_input)
-    sums = tiled.groupBy(tile_name).agg(
-        F.count(F.lit(1)).alias(count_name),
-        F.sum(F.col(value)).alias("_sum"),
-    )
+    sums = ntile_sums(df, value, tiebreak, k, tile_name, count_name, "_sum", stable_input=stable_input)
     grand = F.sum("_sum").over(Window.partitionBy(F.lit(0)))
     return sums.select(
         tile_name,
@@ -209,17 +205,19 @@ def outlier_sensitivity(
     cut = _scalar_percentile(df, value, p, stable_input)
     label_col, count_name, mean_name, rate_name = names
 
-    def summary(d: DataFrame, label: str) -> DataFrame:
-        n = F.count(F.lit(1))
-        return d.agg(
+    def summary(label: str, rows: Column) -> Column:
+        n = F.count(F.when(rows, F.lit(1)))
+        return F.struct(
             F.lit(label).alias(label_col),
             n.alias(count_name),
-            F.round(F.avg(F.col(value)), 2).alias(mean_name),
-            pct(_flag_sum(flag), n).alias(rate_name),
+            F.round(F.avg(F.when(rows, F.col(value))), 2).alias(mean_name),
+            pct(F.sum(F.when(rows, F.col(flag).cast("int"))), n).alias(rate_name),
         )
 
-    kept = df.filter(F.col(value) < F.lit(cut).cast("double")) if cut is not None else df.limit(0)
-    return summary(df, labels[0]).unionByName(summary(kept, labels[1]))
+    # both rows come from one pass; a NULL cut-off keeps no row
+    below = F.col(value) < F.lit(cut).cast("double")
+    both = df.agg(F.array(summary(labels[0], F.lit(True)), summary(labels[1], below)).alias("_rows"))
+    return both.select(F.explode("_rows").alias("_row")).select("_row.*")
 
 
 def top_n(df: DataFrame, where: Column, order: Sequence[Column], n: int, columns: Sequence[str | Column]) -> DataFrame:

@@ -465,8 +465,10 @@ _LOG = (
        ("DQ-19", "below_minimum", f"SELECT count(*) FROM raw_activity WHERE {_fint} < 300"),
        ("DQ-19", "above_maximum", f"SELECT count(*) FROM raw_activity WHERE {_fint} > 850")]
 )
+# the export of the fixture tables holds no malformed row
+_LOG += [("L-04", f"malformed_{t}_rows", "SELECT 0") for t in ("customers", "products", "activity")]
 oracle("dq_00_quality_log", "\nUNION ALL\n".join(
-    f"SELECT '{cid}' AS check_id, '{C.CHECK_SEVERITY[cid]}' AS severity, '{metric}' AS metric, "
+    f"SELECT '{cid}' AS check_id, '{C.CHECK_SEVERITY.get(cid, C.MALFORMED_SEVERITY)}' AS severity, '{metric}' AS metric, "
     f"CAST(({q}) AS BIGINT) AS value" for cid, metric, q in _LOG), "raw_customers", "raw_products", "raw_activity")
 
 # --------------------------------------------------------------- staging

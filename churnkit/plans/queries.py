@@ -21,6 +21,7 @@ from churnkit.operators.joins import skew_join
 from churnkit.operators.ordering import rank_rows
 from churnkit.plans import staging
 from churnkit.plans.warehouse import Warehouse
+from churnkit.sources.csv import MALFORMED
 
 QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {}
 
@@ -33,6 +34,54 @@ def query(name: str):
     return register
 
 
+def _counts_first(*names: str) -> dict[str, list[str]]:
+    return {name: ["-count"] for name in names}
+
+
+#: In what order a listing is read, ``-`` meaning descending. Queries return
+#: their rows unordered (tables have no order); published reports are sorted.
+LISTING_ORDER: dict[str, list[str]] = {
+    "dq_03a_duplicate_ids": ["-occurrence_count"],
+    "dq_03b_duplicate_rows": ["customer_id", "row_num"],
+    **_counts_first("dq_04_gender_variants", "dq_05_province_variants", "dq_10_product_variants",
+                    "v_02_province_counts", "v_03_gender_counts", "v_04_product_counts"),
+    "v_06_active_member_counts": ["is_active_member"],
+    "v_07_churned_counts": ["churned"],
+    "eda_02_rate_by_province": ["-churn_rate_pct"],
+    "eda_03_rate_by_gender": ["-churn_rate_pct"],
+    "eda_04_rate_by_age_band": ["age_band"],
+    "eda_05_account_status_share": ["-total_customers"],
+    "eda_06_new_customers_by_year": ["join_year"],
+    "eda_07_income_summary": ["income_tier", "churned"],
+    "eda_08_rate_by_income_tier": ["income_tier"],
+    "eda_09_product_status_share": ["-total_products"],
+    "eda_10_products_per_customer": ["product_count"],
+    "eda_11_rate_by_product_count": ["product_count"],
+    "eda_12_rate_by_product": ["-churn_rate_pct"],
+    "eda_13_balance_summary": ["balance_tier", "churned"],
+    "eda_14_rate_by_balance_tier": ["balance_tier"],
+    "eda_15_credit_summary": ["credit_band", "churned"],
+    "eda_16_rate_by_credit_band": ["credit_band"],
+    "eda_17_rate_by_active_member": ["is_active_member"],
+    "eda_18_rate_by_txn_band": ["txn_band"],
+    "eda_19_rate_by_tenure_band": ["tenure_band"],
+    "eda_21_monthly_churn": ["churn_month"],
+    "eda_22_quarterly_churn": ["churn_year", "churn_quarter"],
+    "eda_23_annual_churn_change": ["churn_year"],
+    "eda_24_churn_by_month_of_year": ["churn_month_number"],
+    "eda_26_balance_deciles": ["balance_decile"],
+    "v_10_wide_by_churned": ["churned"],
+    "v_11_wide_by_products": ["total_products"],
+    "v_12_wide_by_province": ["-customer_count"],
+}
+
+
+def listing(wh: Warehouse, name: str) -> DataFrame:
+    """A query's rows in the order of ``LISTING_ORDER`` (a distributed sort); NULL is the lowest value."""
+    rows, order = QUERIES[name](wh), LISTING_ORDER.get(name)
+    return rows.orderBy(*[F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]) if order else rows
+
+
 # ---------------------------------------------------------------- load (S01)
 
 
@@ -200,7 +249,7 @@ def dq_quality_log(wh: Warehouse) -> DataFrame:
     their number of rows.
     """
     sev = C.CHECK_SEVERITY
-    customers, products, activity = wh.raw("customers"), wh.raw("products"), wh.raw("activity")
+    customers, products = wh.raw("customers"), wh.raw("products")
     rows = F.count(F.lit(1))
 
     def nulls(cid, names):
@@ -213,18 +262,24 @@ def dq_quality_log(wh: Warehouse) -> DataFrame:
     ch, cd = F.col("churned"), F.col("churn_date")
     score_known = to_float("credit_score").isNotNull()
     score = to_int_via_float("credit_score")
+    def malformed(table):
+        return [("L-04", C.MALFORMED_SEVERITY, f"malformed_{table}_rows", F.count(MALFORMED))]
+
     scans = [
-        (customers, [("DQ-01", sev["DQ-01"], "total_rows", rows)]
+        (wh.loaded("customers"), malformed("customers")
+         + [("DQ-01", sev["DQ-01"], "total_rows", rows)]
          + nulls("DQ-02", CUSTOMER_NULLS)
          + [("DQ-06", sev["DQ-06"], "future_join_dates", where(to_date("join_date") > date_lit(wh.cfg.reference_date))),
             ("DQ-07", sev["DQ-07"], "unparseable_income_value", where(inc.isNull())),
             ("DQ-07", sev["DQ-07"], "zero_or_negative_income", where(inc <= 0)),
             ("DQ-08", sev["DQ-08"], "null_account_status", where(F.col("account_status").isNull()))]),
-        (products, [("DQ-09", sev["DQ-09"], "total_rows", rows),
+        (wh.loaded("products"), malformed("products")
+         + [("DQ-09", sev["DQ-09"], "total_rows", rows),
                     ("DQ-11", sev["DQ-11"], "null_product_status", where(F.col("product_status").isNull())),
                     ("DQ-12", sev["DQ-12"], "suspect_open_dates",
                      where(to_date("open_date") < date_lit(wh.cfg.inception_date)))]),
-        (activity, [("DQ-14", sev["DQ-14"], "total_rows", rows)]
+        (wh.loaded("activity"), malformed("activity")
+         + [("DQ-14", sev["DQ-14"], "total_rows", rows)]
          + nulls("DQ-15", ACTIVITY_NULLS)
          + [("DQ-18", sev["DQ-18"], "churned_with_date", where((ch == "1") & cd.isNotNull())),
             ("DQ-18", sev["DQ-18"], "not_churned_without_date", where((ch == "0") & cd.isNull())),

@@ -25,12 +25,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnkit.config import FIXTURE, ChurnConfig
 from churnkit.operators import model
 from churnkit.plans import staging
-from churnkit.session import default_buckets, materialize, materialize_bucketed, scratch_path
-from churnkit.sources.csv import read_raw_csv, write_raw_csv
+from churnkit.session import materialize, materialize_bucketed, scratch_path
+from churnkit.sources.csv import MALFORMED, read_raw_csv, write_raw_csv
 from churnkit.sources.fixtures import raw_tables
 from churnkit.sources.schemas import RAW_SCHEMAS
 from churnkit.sources.sinks import write_table
@@ -38,8 +39,9 @@ from churnkit.sources.sinks import write_table
 
 class Warehouse:
     def __init__(self, spark: SparkSession, raw_paths: dict[str, str], cfg: ChurnConfig,
-                 buckets: int | None = None):
+                 buckets: int | None = None, multi_line: bool = False):
         self.spark = spark
+        self.multi_line = multi_line
         self.cfg = cfg
         self.raw_paths = dict(raw_paths)
         self._buckets = buckets
@@ -49,9 +51,12 @@ class Warehouse:
 
     @classmethod
     def from_csv(cls, spark: SparkSession, raw_paths: dict[str, str], cfg: ChurnConfig,
-                 buckets: int | None = None) -> "Warehouse":
-        """A pipeline over CSV exports: paths for ``customers``, ``products``, ``activity``."""
-        return cls(spark, raw_paths, cfg, buckets)
+                 buckets: int | None = None, multi_line: bool = False) -> "Warehouse":
+        """A pipeline over CSV exports: paths for ``customers``, ``products``, ``activity``.
+
+        ``multi_line`` reads quoted fields that hold line breaks; each file is then read by one task.
+        """
+        return cls(spark, raw_paths, cfg, buckets, multi_line)
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, cfg: ChurnConfig = FIXTURE,
@@ -71,14 +76,14 @@ class Warehouse:
     def buckets(self) -> int:
         """Bucket count shared by the one-row-per-customer tables.
 
-        Given explicitly, or sized from the raw customer export (about
-        ``BUCKET_SOURCE_BYTES`` of CSV per bucket), at most the session's
-        shuffle partition count.
+        Given explicitly, or sized from the raw customer export, about
+        ``BUCKET_SOURCE_BYTES`` of CSV per bucket (file lengths only; no
+        content is read).
         """
         if self._buckets is None:
-            csv = read_raw_csv(self.spark, self.raw_paths["customers"], RAW_SCHEMAS["customers"])
-            size = int(str(csv._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            self._buckets = max(1, min(default_buckets(self.spark), -(-size // self.BUCKET_SOURCE_BYTES)))
+            files = self.spark.read.format("binaryFile").load(self.raw_paths["customers"])
+            size = files.agg(F.sum("length")).first()[0] or 0
+            self._buckets = max(1, -(-size // self.BUCKET_SOURCE_BYTES))
         return self._buckets
 
     def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -88,29 +93,34 @@ class Warehouse:
 
     # -- raw ----------------------------------------------------------------
 
-    def raw(self, name: str) -> DataFrame:
-        """The loaded raw table: the CSV export parsed once, stored as all-string Parquet.
+    def loaded(self, name: str) -> DataFrame:
+        """The loaded raw table with ``MALFORMED``: the text of each row that does not fit the columns, else NULL.
 
+        The CSV export is parsed once and stored as all-string Parquet.
         Profiling checks and staging builds then read only the columns they
         use, instead of parsing the whole CSV again for each of them.
         """
         return self._table(f"raw_{name}", lambda: materialize(
-            read_raw_csv(self.spark, self.raw_paths[name], RAW_SCHEMAS[name]), f"raw-{name}"))
+            read_raw_csv(self.spark, self.raw_paths[name], RAW_SCHEMAS[name], self.multi_line, MALFORMED), f"raw-{name}"))
+
+    def raw(self, name: str) -> DataFrame:
+        """The loaded raw table's own columns."""
+        return self.loaded(name).drop(MALFORMED)
 
     # -- staging -------------------------------------------------------------
 
-    def _by_customer(self, df: DataFrame, name: str) -> DataFrame:
+    def _by_customer(self, df: DataFrame, name: str, grouped: bool = False) -> DataFrame:
         """A table with one row per customer, bucketed by ``customer_id``."""
-        return materialize_bucketed(df, name, "customer_id", self.buckets)
+        return materialize_bucketed(df, name, "customer_id", self.buckets, grouped)
 
     def join_anchors(self) -> DataFrame:
         """Every raw customer id with its earliest join dates (one row per id)."""
         return self._table("join_anchors", lambda: self._by_customer(
-            staging.join_anchors(self.raw("customers"), self.cfg), "join-anchors"))
+            staging.join_anchors(self.raw("customers"), self.cfg), "join-anchors", grouped=True))
 
     def staging_customers(self) -> DataFrame:
         return self._table("stg_customers", lambda: self._by_customer(
-            staging.stage_customers(self.raw("customers"), self.cfg), "staging-customers"))
+            staging.stage_customers(self.raw("customers"), self.cfg), "staging-customers", grouped=True))
 
     def staging_products(self) -> DataFrame:
         return self._table("stg_products", lambda: materialize(
@@ -130,7 +140,7 @@ class Warehouse:
 
     def holdings(self) -> DataFrame:
         return self._table("holdings", lambda: self._by_customer(
-            model.portfolio(self.staging_products(), self.cfg.product_names), "holdings"))
+            model.portfolio(self.staging_products(), self.cfg.product_names), "holdings", grouped=True))
 
     def churn_analysis(self) -> DataFrame:
         return self._table("churn_analysis", lambda: materialize(

@@ -62,31 +62,33 @@ def _table_name(path: str) -> str:
     return "churnkit_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
 
 
-def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int, grouped: bool = False) -> DataFrame:
     """Write ``df`` as a table bucketed and sorted by ``key``; return a scan of it.
 
     Tables bucketed the same way on the same key join and aggregate on it
     without a shuffle. Rows are first hash-partitioned into ``buckets``
-    partitions (the bucketing hash), so each task writes one file per bucket.
+    partitions (the bucketing hash), so each bucket is one file.
+
+    ``grouped`` says that ``df`` comes out of an aggregation by ``key``. That
+    aggregation's own shuffle is then the hash partitioning: it is run with
+    ``buckets`` partitions, and there is no second one. (Were its partitions
+    others, a bucket would be several files, with the same rows.)
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = _table_name(path)
-    (
-        df.repartition(buckets, key)
-        .write.mode("overwrite")
-        .bucketBy(buckets, key)
-        .sortBy(key)
-        .option("path", path)
-        .saveAsTable(table)
-    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if grouped:
+        spark.conf.set("spark.sql.shuffle.partitions", str(buckets))
+    else:
+        df = df.repartition(buckets, key)
+    try:
+        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.table(table)
 
 
-def default_buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of it.
 

@@ -3,9 +3,10 @@
 Files have a header line, ``,`` separators, LF line ends and optionally
 quoted fields. Every column is read as a string under a declared schema
 (no inference, which would need an extra pass over the data); an empty
-field becomes NULL and a malformed row keeps what parses rather than
-failing the load. Files are split across tasks, so the load scales with
-the number of files and their size.
+field becomes NULL and a row with too few or too many fields keeps what
+parses rather than failing the load; on request its text is kept as well,
+so that such rows can be counted (the quality log does). Files are split
+across tasks, so the load scales with the number of files and their size.
 """
 
 from __future__ import annotations
@@ -13,27 +14,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from churnkit.sources.schemas import RAW_SCHEMAS
+MALFORMED = "_malformed"
+#: How the exports are written, for batch and streaming reads.
+CSV_FORMAT = {
+    "header": True, "sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", ",")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", False)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False,
+                 malformed: str | None = None) -> DataFrame:
+    """The rows of ``path``; ``malformed`` names a further column with the text of rows of the wrong shape.
 
-
-def load_raw(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """Load ``customers``, ``products`` and ``activity`` from their CSV paths."""
-    return {name: read_raw_csv(spark, paths[name], RAW_SCHEMAS[name]) for name in RAW_SCHEMAS}
+    A quoted field that holds a line break becomes two malformed rows unless
+    ``multi_line`` is set, which gives up splitting files.
+    """
+    reader = spark.read
+    if malformed:
+        schema = T.StructType([*schema.fields, T.StructField(malformed, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", malformed)
+    return reader.schema(schema).options(**CSV_FORMAT, multiLine=multi_line).csv(path)
 
 
 def write_raw_csv(df: DataFrame, path: str) -> None:

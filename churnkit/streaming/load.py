@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from churnkit.sources.csv import CSV_FORMAT
+
 
 def stream_raw_csv(
     spark: SparkSession,
@@ -25,16 +27,7 @@ def stream_raw_csv(
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    reader = (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("sep", ",")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-    )
+    reader = spark.readStream.schema(schema).options(**CSV_FORMAT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     writer = (

@@ -56,6 +56,33 @@ def test_ntile_fewer_rows_than_tiles(spark):
     assert got == [(i, 7 - i) for i in range(7)]
 
 
+@pytest.mark.parametrize("k", [1, 4, 10])
+def test_ntile_sums_match_a_plain_window(spark, k):
+    """A third of the values equal, a tenth NULL: edges fall inside ties and among the NULLs."""
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 == 3, None).when(F.col("id") % 3 == 0, 7.0)
+                                  .otherwise(((F.col("id") * 7919) % 5003 - 900) / 8).cast("double").alias("v"))
+    got = {r["tile"]: (r["n"], r["total"]) for r in ordering.ntile_sums(df, "v", "id", k).collect()}
+    order = Window.orderBy(F.col("v").desc_nulls_last(), "id")
+    ref = df.withColumn("t", F.ntile(k).over(order)).groupBy("t").agg(F.count("id").alias("n"), F.sum("v").alias("s"))
+    assert got == {r["t"]: (r["n"], r["s"]) for r in ref.collect()}
+
+
+def test_ntile_sums_of_few_or_no_rows(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, 6.0)], "id long, v double")
+    got = sorted((r["tile"], r["n"], r["total"]) for r in ordering.ntile_sums(df, "v", "id", 10).collect())
+    assert got == [(1, 1, 6.0), (2, 1, 5.0), (3, 1, None)]
+    assert ordering.ntile_sums(df.filter("id > 3"), "v", "id", 10).count() == 0
+
+
+def test_ntile_sums_rank_only_rows_near_an_edge(spark, monkeypatch):
+    ranked = []
+    real = ordering.rank_rows
+    monkeypatch.setattr(ordering, "rank_rows", lambda d, *a, **k: ranked.append(d.count()) or real(d, *a, **k))
+    df = spark.range(1_000_000).select("id", F.xxhash64("id").cast("double").alias("v"))
+    assert ordering.ntile_sums(df, "v", "id", 10).agg(F.sum("n")).first()[0] == 1_000_000
+    assert sum(ranked) < 2_000
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "id long, v double")
     assert rank_rows(df, [F.col("v")]).count() == 0

@@ -3,7 +3,7 @@
 import pytest
 
 from churnkit.session import scratch_path
-from churnkit.sources.csv import read_raw_csv, write_raw_csv
+from churnkit.sources.csv import MALFORMED, read_raw_csv, write_raw_csv
 from churnkit.sources.schemas import RAW_PRODUCTS
 from churnkit.streaming import stream_raw_csv
 
@@ -35,6 +35,20 @@ def test_reader_keeps_malformed_values_as_strings(spark, tmp_path):
     assert rows[1]["product_name"] is None and rows[1]["product_status"] is None
 
 
+def test_rows_of_the_wrong_shape_are_counted(spark, tmp_path):
+    p = tmp_path / "products.csv"
+    p.write_text("customer_id,product_name,open_date,product_status\n"
+                 "C1,Home Loan,2020-01-01,Active\n"
+                 "C2,Short\n"
+                 "C3,Home Loan,2020-01-01,Active,extra\n"
+                 'C4,"Home\nLoan",2020-01-01,Active\n')
+    rows = read_raw_csv(spark, str(p), RAW_PRODUCTS, malformed=MALFORMED).cache()
+    assert rows.count() == 5 and rows.filter(f"{MALFORMED} IS NOT NULL").count() == 4
+    whole = read_raw_csv(spark, str(p), RAW_PRODUCTS, multi_line=True, malformed=MALFORMED).cache()
+    assert {r["customer_id"] for r in whole.filter(f"{MALFORMED} IS NOT NULL").collect()} == {"C2", "C3"}
+    assert whole.filter("customer_id = 'C4'").first()["product_name"] == "Home\nLoan"
+
+
 def test_streaming_load_is_exactly_once(spark):
     src = scratch_path(spark, "stream-src")
     out = scratch_path(spark, "stream-out")
@@ -83,6 +97,8 @@ def test_command_line_run_over_csv_exports(spark, capsys):
     assert "eda_01_overall_rate" in capsys.readouterr().out
     rate = spark.read.parquet(f"{out}/reports/eda_01_overall_rate").first()
     assert rate["total_customers"] == spark.read.parquet(f"{out}/staging.churn_analysis").count()
+    counts = [r["count"] for r in spark.read.parquet(f"{out}/reports/v_02_province_counts").collect()]
+    assert len(counts) > 1 and counts == sorted(counts, reverse=True)
     log = spark.read.parquet(f"{out}/reports/dq_00_quality_log")
     assert log.filter("check_id = 'DQ-13'").first()["severity"] == "Critical"
 
