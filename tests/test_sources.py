@@ -97,7 +97,7 @@ def test_command_line_run_over_csv_exports(spark, capsys):
     assert "eda_01_overall_rate" in capsys.readouterr().out
     rate = spark.read.parquet(f"{out}/reports/eda_01_overall_rate").first()
     assert rate["total_customers"] == spark.read.parquet(f"{out}/staging.churn_analysis").count()
-    counts = [r["count"] for r in spark.read.parquet(f"{out}/reports/v_02_province_counts").collect()]
+    counts = [r["count"] for r in spark.read.parquet(f"{out}/reports/dq_10_product_variants").collect()]
     assert len(counts) > 1 and counts == sorted(counts, reverse=True)
     log = spark.read.parquet(f"{out}/reports/dq_00_quality_log")
     assert log.filter("check_id = 'DQ-13'").first()["severity"] == "Critical"
