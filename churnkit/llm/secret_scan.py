@@ -9,8 +9,9 @@ present), secrets (32 to 64 key characters of high entropy) and endpoints
 then reported, and so is an endpoint within the scope of a linked secret.
 Base access identifiers count as identifiers.
 
-The join is an equi-join on (document, scope-sized bin), the second side in
-its own and the two neighbouring bins, and a distance test, so its cost is
+The join is an equi-join on (document, scope-sized bin) and a distance test:
+the earlier part of a pair stands in the bin of its end and in the next, the
+later part in the bin of its start, however long they are, so the cost is
 bound by the parts that fit in a scope. Only parts are shuffled, never texts,
 and only from texts that hold both an identifier and a secret.
 
@@ -93,14 +94,24 @@ def _scan(batches):
 
 
 def _near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
-    """Pairs of parts of one text with at most ``scope`` code points between them."""
-    doc = ["doc_id", "mark"]
-    one = left.select(*doc, F.floor(F.col("start") / scope).alias("bin"), *(F.col(c).alias(f"l_{c}") for c in ("kind", "start", "end", "new")))
-    other = right.select(*doc, F.explode(F.array(*(F.floor(F.col("start") / scope) + i for i in (-1, 0, 1)))).alias("bin"),
-                         *(F.col(c).alias(f"r_{c}") for c in ("kind", "start", "end", "new")))
-    gap = F.greatest(F.col("l_start") - F.col("r_end"), F.col("r_start") - F.col("l_end"))
-    same = one["doc_id"].eqNullSafe(other["doc_id"]) & (one["mark"] == other["mark"]) & (one["bin"] == other["bin"])
-    return one.join(other, same & (gap <= scope) & (gap >= 0)).select(one["doc_id"], one["mark"], *(F.col(f"{s}_{c}") for s in "lr" for c in ("kind", "start", "end", "new")))
+    """Pairs of parts of one text with at most ``scope`` code points between them, each pair once.
+
+    The later part starts between the end of the earlier one and ``scope`` beyond it, so in the bin of that end or in the next.
+    """
+    doc, columns = ["doc_id", "mark"], ("kind", "start", "end", "new")
+    after = F.floor(F.col("end") / scope)
+
+    def placed(parts: DataFrame, side: str, earlier: bool) -> DataFrame:
+        """A part in both roles: ``earlier`` is the value of ``left_first`` in which it is the earlier one."""
+        as_earlier = [F.struct(F.lit(earlier).alias("left_first"), (after + i).alias("bin")) for i in (0, 1)]
+        as_later = F.struct(F.lit(not earlier).alias("left_first"), F.floor(F.col("start") / scope).alias("bin"))
+        places = parts.select(*doc, *columns, F.explode(F.array(*as_earlier, as_later)).alias("place"))
+        return places.select(*doc, "place.*", *(F.col(c).alias(f"{side}_{c}") for c in columns))
+
+    one, other = placed(left, "l", True), placed(right, "r", False)
+    gap = F.when(one["left_first"], F.col("r_start") - F.col("l_end")).otherwise(F.col("l_start") - F.col("r_end"))
+    same = one["doc_id"].eqNullSafe(other["doc_id"]) & (one["mark"] == other["mark"]) & (one["left_first"] == other["left_first"]) & (one["bin"] == other["bin"])
+    return one.join(other, same & (gap <= scope) & (gap >= 0)).select(one["doc_id"], one["mark"], *(F.col(f"{s}_{c}") for s in "lr" for c in columns))
 
 
 def _side(pairs: DataFrame, side: str) -> DataFrame:

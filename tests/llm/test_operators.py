@@ -133,6 +133,21 @@ def test_secret_scan(spark, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_secret_parts_link_at_every_offset(spark):
+    """Every place of a part in its bin, gaps about the scope, short and long parts, either order."""
+    ident, secret, scope = "ABCDEFGH12345678", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1", 200
+    pairs = [(ident, secret), (secret, ident), ("AKIA" + "Q7" * 250, secret), (secret, "AKIA" + "Q7" * 250)]
+    rows = [(n * 10_000 + offset * 10 + g, " " * offset + a + " " * gap + b)
+            for n, (a, b) in enumerate(pairs) for offset in range(scope) for g, gap in enumerate((1, 105, 181, 200, 201))]
+    url = "https://s3.example.com/" + "a/" * 90
+    rows += [(90_000 + offset, " " * offset + url + " " * 105 + secret + " " + ident) for offset in range(scope)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = _sorted(secret_scan.digest(secret_scan.find_secrets(table, scope)).collect())
+    assert found == _sorted(secret_scan.brute_force(rows, scope))
+    assert all(("weak_secret" in r[-1]) == (r[0] >= 90_000 or r[0] % 10 < 4) for r in found)
+    assert all("endpoint" in r[-1] for r in found if r[0] >= 90_000)
+
+
 def test_base_secrets_are_the_contract_patterns():
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     rnd = random.Random(1)
