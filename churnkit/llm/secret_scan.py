@@ -45,10 +45,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # AKIA and a run of at least 16: the
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
-KEY = "A-Za-z0-9+/=_-"
+KEY = "A-Za-z0-9+/_-"
 WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
-WEAK_SECRET = re.compile(rf"(?<![{KEY}])[{KEY}]{{32,64}}(?![{KEY}])")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,200}")
+WEAK_SECRET = re.compile(rf"(?<![{KEY}])([{KEY}]{{26,}}+)(?:={{1,6}}+(?![{KEY}]))?")  # with its padding 32 at least
+NAME = re.compile(r"(?:[A-Z]+[0-9]{0,2}(?:[_-]+[A-Z]+[0-9]{0,2})+|[a-z]+[0-9]{0,2}(?:[_-]+[a-z]+[0-9]{0,2})+)")
+ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,}")
 ENTROPY = 3.6
 
 
@@ -65,7 +66,8 @@ def entropy(text: str) -> float:
 
 def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool]]:
     """Parts (kind, start, end, new) of a text that has an identifier and a secret, else none; new: apart from all base spans."""
-    secrets = [m.span() for m in WEAK_SECRET.finditer(text) if entropy(m[0]) >= ENTROPY and not m[0].isalpha()]
+    secrets = [m.span() for m in WEAK_SECRET.finditer(text) if len(m[0]) >= 32 and entropy(m[0]) >= ENTROPY and not m[0].isalpha()
+               and not (text.startswith("=", m.end(1)) and NAME.fullmatch(m[1]))]
     if not secrets:
         return []
     ids = [s[1:] for s in base if s[0] == "access"] + [m.span() for m in WEAK_ID.finditer(text)]
@@ -93,25 +95,26 @@ def _scan(batches):
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def _near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
-    """Pairs of parts of one text with at most ``scope`` code points between them, each pair once.
+def _near(left: DataFrame, right: DataFrame, scope: int, overlap: bool = False) -> DataFrame:
+    """Pairs of parts of one text with at most ``scope`` code points between them, each pair once; with ``overlap`` also overlapping parts.
 
-    The later part starts between the end of the earlier one and ``scope`` beyond it, so in the bin of that end or in the next.
+    The later part starts between the end of the earlier one (its start, if they may overlap) and ``scope`` beyond that end, so in one of the bins between.
     """
     doc, columns = ["doc_id", "mark"], ("kind", "start", "end", "new")
-    after = F.floor(F.col("end") / scope)
 
     def placed(parts: DataFrame, side: str, earlier: bool) -> DataFrame:
         """A part in both roles: ``earlier`` is the value of ``left_first`` in which it is the earlier one."""
-        as_earlier = [F.struct(F.lit(earlier).alias("left_first"), (after + i).alias("bin")) for i in (0, 1)]
-        as_later = F.struct(F.lit(not earlier).alias("left_first"), F.floor(F.col("start") / scope).alias("bin"))
-        places = parts.select(*doc, *columns, F.explode(F.array(*as_earlier, as_later)).alias("place"))
+        first, last = F.floor(F.col("start" if overlap else "end") / scope), F.floor(F.col("end") / scope) + 1
+        as_earlier = F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(earlier).alias("left_first"), b.alias("bin")))
+        as_later = F.array(F.struct(F.lit(not earlier).alias("left_first"), F.floor(F.col("start") / scope).alias("bin")))
+        places = parts.select(*doc, *columns, F.explode(F.concat(as_earlier, as_later)).alias("place"))
         return places.select(*doc, "place.*", *(F.col(c).alias(f"{side}_{c}") for c in columns))
 
     one, other = placed(left, "l", True), placed(right, "r", False)
     gap = F.when(one["left_first"], F.col("r_start") - F.col("l_end")).otherwise(F.col("l_start") - F.col("r_end"))
+    in_order = F.when(one["left_first"], F.col("r_start") >= F.col("l_start")).otherwise(F.col("l_start") > F.col("r_start")) if overlap else gap >= 0
     same = one["doc_id"].eqNullSafe(other["doc_id"]) & (one["mark"] == other["mark"]) & (one["left_first"] == other["left_first"]) & (one["bin"] == other["bin"])
-    return one.join(other, same & (gap <= scope) & (gap >= 0)).select(one["doc_id"], one["mark"], *(F.col(f"{s}_{c}") for s in "lr" for c in columns))
+    return one.join(other, same & (gap <= scope) & in_order).select(one["doc_id"], one["mark"], *(F.col(f"{s}_{c}") for s in "lr" for c in columns))
 
 
 def _side(pairs: DataFrame, side: str) -> DataFrame:
@@ -126,7 +129,7 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     ids, secrets, ends = (parts.filter(F.col("kind") == k) for k in ("weak_id", "weak_secret", "endpoint"))
     pairs = materialize(_near(ids, secrets, scope), "linked")
     linked = _side(pairs, "r").distinct()
-    added = _side(pairs, "l").unionByName(linked).unionByName(_side(_near(linked, ends, scope), "r"))
+    added = _side(pairs, "l").unionByName(linked).unionByName(_side(_near(linked, ends, scope, overlap=True), "r"))
     spans = added.filter("new").select("doc_id", "mark", F.struct("start", "kind", "end").alias("s")).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("s")).alias("added"))
     joined = scanned.join(spans, scanned["doc_id"].eqNullSafe(spans["doc_id"]) & (scanned["mark"] == spans["mark"]), "left")
     shaped = F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -155,13 +158,13 @@ def brute_force(rows: list[tuple], scope: int = 200) -> list[tuple]:
         base = base_spans(text or "")
         parts = weak_parts(text or "", base)
 
-        def near(a, b):
-            return 0 <= max(a[1] - b[2], b[1] - a[2]) <= scope
+        def near(a, b, least=0):
+            return least <= max(a[1] - b[2], b[1] - a[2]) <= scope
 
         kind = {k: [p for p in parts if p[0] == k] for k in KINDS}
         ids = {i for i in kind["weak_id"] for s in kind["weak_secret"] if near(i, s)}
         secrets = {s for i in kind["weak_id"] for s in kind["weak_secret"] if near(i, s)}
-        ends = {e for e in kind["endpoint"] for s in secrets if near(e, s)}
+        ends = {e for e in kind["endpoint"] for s in secrets if near(e, s, -math.inf)}
         every = sorted([s[:3] for s in ids | secrets | ends if s[3]] + base, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
         named = [",".join(f"{k}:{a}:{z}" for k, a, z in spans) for spans in (base, every)]
         out.append((doc_id, *(sum(s[0] == k for s in base) for k in KINDS[:3]), hashlib.sha256(named[0].encode()).hexdigest(), named[1]))
