@@ -2,7 +2,10 @@
 
 Patterns propose spans (code points, end excluded). Validators confirm them:
 number ranges for IPv4 addresses, Luhn for cards, digit counts for phones,
-mod 97 for IBANs. Words near a span raise its score. The kinds of ``BASE``
+mod 97 for IBANs. An IBAN is tried at every place it can start at, and up to
+every space of the hit as well as to its end, as words in capitals or numbers
+may follow; of the valid ends the one of the country's length counts, else the
+longest. Words near a span raise its score. The kinds of ``BASE``
 are always reported once confirmed; the added kinds only when their score
 reaches ``threshold``: an IBAN by its checksum, a phone without a country
 code or an identity number (ddd-dd-dddd) only with a context word nearby.
@@ -67,6 +70,30 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(turned, F.lit("[0-9A-Z]"), F.lit(0)), F.lit(0), step)
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban(hit: Column) -> Column:
+    """The valid IBAN at the start of a hit, else NULL."""
+    lengths = F.create_map(*(F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)))
+    words = F.split(hit, " ")
+
+    def ending(n: Column) -> Column:
+        joined = F.array_join(F.slice(words, 1, n), "")
+        fits = F.length(joined).eqNullSafe(F.try_element_at(lengths, F.substring(hit, 1, 2)))
+        return F.struct(fits.alias("fits"), n.alias("words"), joined.alias("iban"))
+
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), ending)
+    best = F.array_max(F.filter(ends, lambda e: (F.length(e["iban"]) >= 12) & (mod97(e["iban"]) == 1)))
+    return F.when(hit.isNotNull(), F.array_join(F.slice(words, 1, best["words"]), " "))
+
+
 def _phone(hit: Column) -> Column:
     return F.length(_digits(hit)).between(8, 15)
 
@@ -79,11 +106,13 @@ BASE: list[tuple[str, str, Check, float]] = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.6),
 ]
 ADDED: list[tuple[str, str, Check, float]] = [
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-     lambda h: mod97(F.replace(h, F.lit(" "), F.lit(""))) == 1, 0.9),
+    ("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])))[A-Z]",
+     lambda h: F.lit(True), 0.9),
     ("local_phone", r"(?<![0-9A-Za-z+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", lambda h: F.lit(True), 0.4),
     ("id_number", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", lambda h: F.lit(True), 0.4),
 ]
+#: Kinds whose pattern matches one character at each place to try, the hit being its group 1, and the part of a hit that counts.
+TRIED: dict[str, Check] = {"iban": _iban}
 #: Cheap tests that a text can hold a kind at all.
 NEEDS = {"email": "@", "phone": "+", "ip": "."}
 CONTEXT = {
@@ -97,20 +126,23 @@ SPAN = "struct<kind:string,start:int,end:int,hit:string>"
 
 def _alternating(text: Column, kind: str, pattern: str) -> Column:
     """The matches of a pattern, each with the length of the gap before it."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.when(F.size(hits) > 0, F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit"))))
+    tried = TRIED.get(kind, lambda hit: hit)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind in TRIED)))
+    pairs = F.when(F.size(hits) > 0, F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), tried(hit).alias("hit"))))
     return F.when(F.contains(text, F.lit(NEEDS[kind])), pairs) if kind in NEEDS else pairs
 
 
 def _placed(pairs: Column, kind: str, check: Check) -> Column:
-    """Confirmed spans of alternating gaps and matches."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    """Confirmed spans of alternating gaps and matches, none beginning within the one before."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(held: Column, pair: Column) -> Column:
         begin = held["at"] + pair["gap"]
         end = begin + F.length(pair["hit"])
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(F.coalesce(pair["hit"].isNotNull() & check(pair["hit"]), F.lit(False)), F.concat(held["spans"], F.array(span))).otherwise(held["spans"]).alias("spans"))
+        fine = F.coalesce(pair["hit"].isNotNull() & check(pair["hit"]), F.lit(False)) & (begin >= held["free"])
+        return F.struct((begin + 1 if kind in TRIED else F.coalesce(end, begin)).alias("at"), F.when(fine, end).otherwise(held["free"]).alias("free"),
+                        F.when(fine, F.concat(held["spans"], F.array(span))).otherwise(held["spans"]).alias("spans"))
 
     return F.coalesce(F.aggregate(pairs, start, step, lambda held: held["spans"]), F.array().cast(f"array<{SPAN}>"))
 

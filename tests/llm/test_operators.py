@@ -226,6 +226,31 @@ def test_pii(spark):
     assert found[1004]["spans"] == "local_phone:5:17" and found[1005]["spans"] == ""
 
 
+def test_iban_ends_before_capitals_and_numbers(spark):
+    def valid(text):
+        return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+    ibans = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00"]
+    chance = next(w for w in (f"{n:03}" for n in range(1000)) if valid(ibans[2].replace(" ", "") + w))
+    cases = [[f"to {i}", after] for i in ibans for after in (", ok", " BIC", " EUR", " CAIXESBB", " EUROS 5", " 1250", " 12 EUR", " DATE 2024 X", "")]
+    cases += [[f"to {i.replace(' ', '')}", after] for i in ibans for after in ("", " BIC", " EUR 1250", " bic")]
+    cases += [["to " + ibans[2], " " + chance], ["AB12 " + ibans[2], ""], ["AB12 CD34 " + ibans[0], " BIC"]]
+    rows = [(n, "".join(c)) for n, c in enumerate(cases)]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "pii", pii.mask(F.col("text"), F.col("pii")).alias("m"))
+    for r in found.collect():
+        before, after = cases[r["doc_id"]]
+        start = next(before.index(i) for i in (*ibans, *(i.replace(" ", "") for i in ibans)) if i in before)
+        assert [(s["kind"], s["start"], s["end"]) for s in r["pii"]] == [("iban", start, len(before))], (before, after)
+        assert r["m"] == before[:start] + "<IBAN>" + after
+    row = " ".join(ibans)
+    many = pii.digest(pii.find_pii(spark.createDataFrame([(1, "é" + " é".join(ibans)), (2, row), (3, row.replace("ES91", "ES92"))], "doc_id long, text string"))).collect()
+    places = [(row.index(i), row.index(i) + len(i)) for i in ibans]
+    spans = {r["doc_id"]: r["spans"] for r in many}
+    assert spans[1] == ",".join(f"iban:{a + n + 1}:{z + n + 1}" for n, (a, z) in enumerate(places))
+    assert spans[2] == ",".join(f"iban:{a}:{z}" for a, z in places)
+    assert spans[3] == ",".join(f"iban:{a}:{z}" for a, z in places if not row.startswith("ES91", a))
+
+
 def test_mask(spark):
     table = spark.createDataFrame([(1, "é a@b.c, +1 555 123 4567."), (2, "none"), (3, "")], "doc_id long, text string")
     found = pii.find_pii(table).select("doc_id", pii.mask(F.col("text"), F.col("pii")).alias("m"))
