@@ -9,9 +9,11 @@ bytes, hashed; a text has a feature or not. Of the features seen in a
 training part, the ``kept`` with the largest chi-squared are used. Each model
 is a ridge logistic regression, fitted by Newton steps.
 
-Training reads at most ``sample`` labelled rows (those with the smallest
+Training reads at most ``sample`` labelled documents (those with the smallest
 hashed id, so the choice does not depend on the partitions); that bound is
-why the fit may run on the driver. Every document is scored, by one pass
+why the fit may run on the driver. Labels of ids that no document has take no
+place in it, and repeated labels of one id count as one: in each category the
+answer of most of them, NULLs left out, a tie as yes. Every document is scored, by one pass
 without a shuffle. The threshold maximises F1 on the out-of-fold predictions.
 
 Edge cases: NULL or empty text has no features; a NULL label leaves a row out
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnkit.session import materialize
+
 from ._words import U64, Words, chunks, rows_of, small_batches
 
 SPACE_BITS = 22
@@ -165,12 +169,16 @@ def _feature_task(batches):
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], sample: int = 6000, kept: int = 512) -> list[Link]:
     """categories: name -> (label column, value that means yes), in the order of the chain."""
-    chosen = (
+    present = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    answers = [f"y{i}" for i in range(len(categories))]
+    chosen = materialize(
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.when(F.col(c).isNotNull(), (F.col(c) == v).cast("double")).alias(f"y{i}") for i, (c, v) in enumerate(categories.values())))
-        .filter(F.col("doc_id").isNotNull())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *(f"y{i}" for i in range(len(categories))))
-        .limit(sample)
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(*((F.avg(y) >= 0.5).cast("double").alias(y) for y in answers))
+        .join(present, "doc_id", "left_semi")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(sample),
+        "labelled",
     )
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     seen = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_feature_task, "doc_id long, features binary").dropDuplicates(["doc_id"])

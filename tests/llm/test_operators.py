@@ -355,6 +355,22 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
+def test_toxicity_sample_holds_distinct_present_documents(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} " + ("idiot" if i % 3 == 0 else "fine")) for i in range(60)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(60)] * 5 + [(i, 0, 1) for i in range(1000, 3000)]
+    labels += [(0, 1, 0)] * 2 + [(1, None, 1)] * 5 + [(2, 1, 1)] * 4 + [(90, None, None)]
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit_chain", lambda *a: seen.update(fold=a[2], answers=a[3]) or [])
+    docs = spark.createDataFrame([*rows, (90, "none")], "doc_id long, text string")
+    for sample, n in ((100, 61), (40, 40)):
+        toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(3), toxicity.CATEGORIES, sample=sample)
+        assert len(seen["fold"]) == n
+        if n == 61:  # by id: most say yes, a tie is yes, most say no, no answer
+            toxic = seen["answers"]["toxic"]
+            assert toxic[:4].tolist() == [1, 1, 0, 1] and np.isnan(toxic[60]) and np.isnan(seen["answers"]["low_quality"][60])
+            assert toxic[3:60].tolist() == [float(i % 3 == 0) for i in range(3, 60)]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
