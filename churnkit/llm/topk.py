@@ -14,8 +14,8 @@ The work is |queries| x |candidates| in blocks, as the stated query set
 implies; what travels is each vector once per block of the other side.
 
 Edge cases: vectors that are NULL or hold a NULL or non-finite component take
-no part, and only vectors of equal length meet. Equal rows are separate
-candidates, but a query that occurs twice is searched once. Fewer than k
+no part, and only vectors of equal length meet; empty vectors meet each other,
+with score 0. Equal rows are separate candidates, but a query that occurs twice is searched once. Fewer than k
 candidates: all of them. Empty table: no rows. Extra columns are ignored.
 """
 
@@ -84,7 +84,7 @@ def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.n
 
 def _numbers(table: pa.Table, dim: int) -> np.ndarray:
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, dim)
+    return flat.reshape(table.num_rows, dim)
 
 
 def _kind(a: np.ndarray, b: np.ndarray, dim: int):

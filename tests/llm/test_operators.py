@@ -292,6 +292,13 @@ def test_topk(spark):
     assert topk.top_k(ints.limit(0), ints.limit(0)).count() == 0
 
 
+def test_topk_of_empty_vectors(spark):
+    rows = [(0, []), (3, []), (50, []), (51, [1.0]), (100, [2.0]), (101, None)]
+    ints = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    found = topk.top_k(ints, ints.filter("vec_id % 50 = 0"), k=5).select("query_id", "rank", "vec_id", "score")
+    assert _sorted(found.collect()) == [(0, 1, 3, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0), (100, 1, 51, 131072)]
+
+
 def test_lm(docs, empty):
     for order in (1, 2, 3):
         found, want = _sorted(lm.score(docs, order=order, block_bytes=20_000).collect()), _sorted(lm.brute_force(ROWS, order=order))
