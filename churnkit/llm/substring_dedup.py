@@ -188,8 +188,8 @@ def _in_bucket(window: int):
         parts = [_unpack(b) for b in table.column("packed").to_pylist()]
         lows = np.concatenate([p[0] for p in parts])
         _, inverse, times = np.unique(lows, return_inverse=True, return_counts=True)
-        span = np.concatenate([p[2] - p[1] for p in parts])
-        some = np.bincount(inverse, span > 0)[inverse] > 0
+        several = np.concatenate([p[2] != p[1] for p in parts])  # held by more than one id; a difference could overflow
+        some = np.bincount(inverse, several)[inverse] > 0
         wanted = (times[inverse] > 1) | some
         strings: dict[bytes, list[int]] = {}
         done = 0

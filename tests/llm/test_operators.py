@@ -64,6 +64,15 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_a_negative_and_a_null_id(spark):
+    """Combined in one map task, with minimisers that occur nowhere else."""
+    text = " ".join(f"v{i}" for i in range(80))
+    for ids in ((-5, None), (-(1 << 63), None), (-(1 << 63), 7)):
+        rows = [(i, text) for i in ids]
+        table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert _sorted(substring_dedup.digest(substring_dedup.remove_repeats(table)).collect()) == _sorted(substring_dedup.brute_force(rows))
+
+
 def test_frequent_grams_change_only_the_meeting_place(docs):
     grams = substring_dedup._grams(substring_dedup.Words([(t or "").encode() for _, t in ROWS]), 12)
     words = substring_dedup.Words([(t or "").encode() for _, t in ROWS])
