@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lm, pii, secret_scan, simhash, substring_dedup, topk, toxicity
+from . import bpe, chat, decontaminate, fim, fingerprints, hard_negatives, lm, pii, secret_scan, simhash, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(ids, vocabulary))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_successor(_table(spark, sf_dir, "documents"))
+    return fingerprints.digest(rows.join(fingerprints.near_groups(rows), "fingerprint"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepare(rows.withColumn("label", label)), F.col("vec_id") % 100 == 0)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.digest(fim.restore(fim.transform(docs).drop("text")))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_substring_dedup, op4_simhash, op5_secret_scan, op6_toxicity, op7_exact_topk, op8_lm_score,
-                                  op9_decontamination, op10_bpe)}
+                                  op9_decontamination, op10_bpe, op11_fingerprints, op12_hard_negatives, op13_fill_in_middle)}
