@@ -63,7 +63,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.with_successor(_table(spark, sf_dir, "documents"))
-    return fingerprints.digest(rows.join(fingerprints.near_groups(rows), "fingerprint"))
+    grouped = rows.join(fingerprints.near_groups(rows), "fingerprint", "left")
+    return fingerprints.digest(grouped.withColumn("group_id", F.coalesce("group_id", "doc_id")))
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
