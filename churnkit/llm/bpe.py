@@ -10,9 +10,9 @@ Spark ships to the executors (``addFile``) and tasks map into memory.
 
 A text is first split at single spaces, where a word always begins, so that
 only the distinct units between them are cut into words by the pattern. A task
-looks up the distinct words of a few MB of text by walking all of them through
-the automaton together; words it does not hold are merged exactly,
-also side by side (a heap of pairs takes over for words of more than 64
+looks up the new distinct words of a few MB of text by walking all of them
+through the automaton together; words it does not hold are merged exactly, also
+side by side, and kept for the task's next texts up to a bound (a heap of pairs takes over for words of more than 64
 bytes, where it is the faster one). Texts never leave their task; the only
 shuffle is that of the word counts.
 
@@ -37,7 +37,7 @@ import tempfile
 import uuid
 from collections import Counter, defaultdict
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,9 @@ class Vocabulary:
             of_byte[b] = ids[letter]
         return Vocabulary(of_byte, pair[order], order.astype(np.int32), made[order], text, added)
 
+    def fields(self) -> tuple:
+        return self.of_byte, self.pair, self.rank, self.made, self.text, self.added
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place in ``pair`` and rank of each pair of ids; an id below 0 pairs with nothing."""
         want = left.astype(np.int64) << 32 | np.maximum(right, 0)
@@ -338,7 +341,7 @@ def words_of(unit: Unit) -> list[str]:
     return [unit[0]] if len(unit) == 2 else WORD.findall(unit[0])
 
 
-def word_counts(docs: DataFrame, added: dict[str, int], column: str = "text", flush: int = 100_000) -> DataFrame:
+def word_counts(docs: DataFrame, added: dict[str, int], column: str = "text", flush: int = 300_000) -> DataFrame:
     """(word as bytes, n) over all texts."""
     cut = _cutter(added)
 
@@ -371,7 +374,7 @@ def frequent_words(docs: DataFrame, added: dict[str, int], lexicon: int) -> list
     return sorted({bytes(r["word"]) for r in rows} - {t.encode() for t in added} - {b""})
 
 
-def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon: int = 1 << 19) -> str:
+def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon: int = 1 << 21) -> str:
     """Compile the lexicon of ``docs`` and send it to the executors; the name under which tasks find it."""
     words = frequent_words(docs, vocabulary.added, lexicon)
     name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
@@ -386,42 +389,77 @@ def ship_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon: int = 1 << 19
     return name
 
 
-def encode_texts(texts: list[str | None], v: Vocabulary, lexicon: Lexicon, cut) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, where each text's ids begin, one entry more)."""
-    unit_index: defaultdict[Unit, int] = defaultdict(count().__next__)  # numbers the distinct units
-    used, lengths = [np.empty(0, np.int64)], []
-    for text in texts:
-        own = units(text or "", v.added, cut)
-        used.append(np.fromiter(map(unit_index.__getitem__, own), np.int64, len(own)))
-        lengths.append(len(own))
-    index: defaultdict[str, int] = defaultdict(count().__next__)  # numbers their distinct words
-    in_units, words_per_unit = [], []
-    for unit in unit_index:
-        own = words_of(unit)
-        in_units += map(index.__getitem__, own)
-        words_per_unit.append(len(own))
-    words = [w.encode() for w in index]
-    number = lexicon.find(words)
-    for token, i in v.added.items():
-        if token in index:
-            number[index[token]] = -2 - i
-    unseen = np.flatnonzero(number == -1)
-    merged, merged_size = merge(v, [words[i] for i in unseen.tolist()])
-    # All sources in a row: the lexicon's ids, the merged ids, the ids 0, 1, ... that added tokens are.
-    known, added = np.flatnonzero(number >= 0), np.flatnonzero(number < -1)
-    begin, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-    begin[known], size[known] = lexicon.begin[number[known]], np.diff(lexicon.begin)[number[known]]
-    begin[unseen], size[unseen] = len(lexicon.ids) + np.cumsum(merged_size) - merged_size, merged_size
-    begin[added], size[added] = len(lexicon.ids) + len(merged) - 2 - number[added], 1
-    source = np.concatenate((lexicon.ids, merged, np.arange(len(v.text), dtype=np.int32)))
-    # The ids of all distinct units in a row, then those of the texts.
-    in_units = np.array(in_units, np.int64)
-    source = source[_spots(begin[in_units], size[in_units])]
-    word_end = np.concatenate(([0], np.cumsum(size[in_units])))
-    unit_end = word_end[np.concatenate(([0], np.cumsum(np.array(words_per_unit, np.int64))))]
-    unit_size, used = np.diff(unit_end), np.concatenate(used)
-    end = np.concatenate(([0], np.cumsum(unit_size[used])))
-    return source[_spots(unit_end[used], unit_size[used])], end[np.concatenate(([0], np.cumsum(np.array(lengths, np.int64))))]
+class Encoder:
+    """Encodes lists of texts, keeping the ids of the distinct units and words it has met.
+
+    What it keeps is bounded: with more than ``keep`` units, or ``keep_ids`` ids of
+    units and words, it begins anew before the next list.
+    """
+
+    def __init__(self, v: Vocabulary, lexicon: Lexicon, keep: int = 400_000, keep_ids: int = 4_000_000):
+        self.v, self.lexicon, self.keep, self.keep_ids = v, lexicon, keep, keep_ids
+        self.cut = _cutter(v.added)
+        self.clear()
+
+    def clear(self) -> None:
+        self.unit_index: defaultdict[Unit, int] = defaultdict(count().__next__)  # numbers the distinct units
+        self.word_index: defaultdict[str, int] = defaultdict(count().__next__)  # numbers their distinct words
+        self.word_ids, self.word_end = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.unit_ids, self.unit_end = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Append the ids of words, numbered in this order, from the lexicon or by merging."""
+        words = [w.encode() for w in new]
+        number = self.lexicon.find(words)
+        if self.v.added:
+            for i, w in enumerate(new):
+                if w in self.v.added:
+                    number[i] = -2 - self.v.added[w]
+        unseen = np.flatnonzero(number == -1)
+        merged, merged_size = merge(self.v, [words[i] for i in unseen.tolist()])
+        # All sources in a row: the lexicon's ids, the merged ids, the ids 0, 1, ... that added tokens are.
+        lexicon, known, added = self.lexicon, np.flatnonzero(number >= 0), np.flatnonzero(number < -1)
+        begin, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[known], size[known] = lexicon.begin[number[known]], lexicon.begin[number[known] + 1] - lexicon.begin[number[known]]
+        begin[unseen], size[unseen] = np.cumsum(merged_size) - merged_size, merged_size
+        begin[added], size[added] = -2 - number[added], 1
+        ids = np.empty(size.sum(), np.int32)
+        end = np.cumsum(size)
+        for at, source in ((known, lexicon.ids), (unseen, merged), (added, np.arange(len(self.v.text), dtype=np.int32))):
+            ids[_spots(end[at] - size[at], size[at])] = source[_spots(begin[at], size[at])]
+        self.word_ids, self.word_end = np.concatenate((self.word_ids, ids)), np.concatenate((self.word_end, self.word_end[-1] + end))
+
+    def _learn_units(self, new: list[Unit]) -> None:
+        in_units, words_per_unit, known = [], [], len(self.word_index)
+        for unit in new:
+            own = words_of(unit)
+            in_units += map(self.word_index.__getitem__, own)
+            words_per_unit.append(len(own))
+        self._learn_words(list(islice(self.word_index, known, None)))
+        in_units = np.array(in_units, np.int64)
+        size = np.diff(self.word_end)[in_units]
+        ids = self.word_ids[_spots(self.word_end[in_units], size)]
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(np.array(words_per_unit, np.int64))]
+        self.unit_ids, self.unit_end = np.concatenate((self.unit_ids, ids)), np.concatenate((self.unit_end, self.unit_end[-1] + ends))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids begin, one entry more)."""
+        if len(self.unit_index) > self.keep or len(self.unit_ids) + len(self.word_ids) > self.keep_ids:
+            self.clear()
+        known, used, lengths = len(self.unit_index), [np.empty(0, np.int64)], []
+        for text in texts:
+            own = units(text or "", self.v.added, self.cut)
+            used.append(np.fromiter(map(self.unit_index.__getitem__, own), np.int64, len(own)))
+            lengths.append(len(own))
+        self._learn_units(list(islice(self.unit_index, known, None)))
+        used = np.concatenate(used)
+        size = np.diff(self.unit_end)[used]
+        end = np.concatenate(([0], np.cumsum(size)))
+        return self.unit_ids[_spots(self.unit_end[used], size)], end[np.concatenate(([0], np.cumsum(np.array(lengths, np.int64))))]
+
+
+def encode_texts(texts: list[str | None], v: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    return Encoder(v, lexicon).encode(texts)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: str = "text", keep_text: bool = True) -> DataFrame:
@@ -429,16 +467,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon_name: str, column: s
     kept = small_batches(docs).drop("ids")
     stay = [f for f in kept.schema.fields if keep_text or f.name != column]
     schema = T.StructType([*stay, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary.fields())  # plain values: workers need not be able to import the class
 
     def run(batches):
-        v, lexicon = shipped.value, Lexicon.open(SparkFiles.get(lexicon_name))
-        cut = _cutter(v.added)
+        encoder = Encoder(Vocabulary(*shipped.value), Lexicon.open(SparkFiles.get(lexicon_name)))
         for batch in batches:
             texts, rest = (t.as_py() for t in batch.column(column)), batch.select([f.name for f in stay])
             at = 0
             for part in chunks(texts, lambda t: len(t or "") + 64):
-                ids, begin = encode_texts(part, v, lexicon, cut)
+                ids, begin = encoder.encode(part)
                 yield rest.slice(at, len(part)).append_column("ids", pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())))
                 at += len(part)
 

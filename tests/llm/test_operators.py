@@ -1,8 +1,11 @@
 """Each operator against brute force, on rows that hold the awkward cases."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -15,6 +18,7 @@ from churnkit.llm import bpe, chat, components, decontaminate, lm, pii, secret_s
 from churnkit.llm.oracle import ORACLE_SQL
 from churnkit.llm.queries import QUERIES
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, fp long, pii string, ids string, leaks int, id int, mark int, block int, toxic string"
 
@@ -410,7 +414,7 @@ def test_bpe_on_every_letter(vocabulary):
     letters = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000]
     texts = ["".join(letters[i:i + 300]) for i in range(0, len(letters), 300)]
     texts += ["".join(rnd.choice(" \n\t'sdlvetABé½1٣_- \xa0\x85\x1c漢") for _ in range(200)) for _ in range(1000)]
-    ids, begin = bpe.encode_texts(texts, vocabulary, bpe.Lexicon(bpe.Lexicon.compile([], *bpe.merge(vocabulary, []))), bpe._cutter(vocabulary.added))
+    ids, begin = bpe.encode_texts(texts, vocabulary, bpe.Lexicon(bpe.Lexicon.compile([], *bpe.merge(vocabulary, []))))
     assert [ids[a:z].tolist() for a, z in zip(begin[:-1], begin[1:], strict=True)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -423,11 +427,55 @@ def test_bpe_units_change_no_word(vocabulary):
     draw = random.Random(5)
     texts = ["".join(draw.choices(pieces, k=draw.randrange(12))) for _ in range(5000)]
     lexicon = bpe.Lexicon(bpe.Lexicon.compile([], *bpe.merge(vocabulary, [])))
-    ids, begin = bpe.encode_texts(texts, vocabulary, lexicon, bpe._cutter(vocabulary.added))
+    ids, begin = bpe.encode_texts(texts, vocabulary, lexicon)
     want = library.encode_batch(texts, add_special_tokens=False)
     assert [ids[a:z].tolist() for a, z in zip(begin[:-1], begin[1:], strict=True)] == [w.ids for w in want]
 
 
+def test_bpe_encoder_begins_anew_within_its_bounds(vocabulary):
+    plain, rnd = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    words = [w.encode() for w in (" known", " words")]
+    lexicon = bpe.Lexicon(bpe.Lexicon.compile(words, *bpe.merge(vocabulary, words)))
+    encoder, cleared = bpe.Encoder(vocabulary, lexicon, keep=50, keep_ids=400), 0
+    for _ in range(40):
+        texts = [" ".join(rnd.choice(["known", "words", "<|endoftext|>", "x" * rnd.randrange(90), str(rnd.random()), "é" * 3]) for _ in range(12)) for _ in range(2)] + [None, ""]
+        before = len(encoder.unit_index)
+        ids, begin = encoder.encode(texts)
+        cleared += len(encoder.unit_index) < before
+        assert [ids[a:z].tolist() for a, z in zip(begin[:-1], begin[1:], strict=True)] == [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert cleared > 2
+
+
+def test_tasks_need_no_package(spark, tmp_path):
+    """Operators that ship objects to tasks, from a session whose workers can't import this package."""
+    script = tmp_path / "elsewhere.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+import public_tokenizers
+from churnkit.llm import bpe, fim, fingerprints, hard_negatives
+from churnkit.session import local_session
+from pyspark.sql import functions as F
+spark = local_session(2, shuffle_partitions=2)
+def importable(batches):
+    import importlib.util
+    for b in batches:
+        yield __import__("pyarrow").RecordBatch.from_pydict({{"found": [importlib.util.find_spec("churnkit") is not None]}})
+assert not any(r.found for r in spark.range(2).mapInArrow(importable, "found boolean").collect())
+docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+v = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
+assert [r.decoded for r in bpe.decode(bpe.encode(docs, v, bpe.ship_lexicon(docs, v)), v).orderBy("doc_id").collect()] == ["some words", ""]
+assert fim.restore(fim.transform(docs)).count() == 2
+assert fingerprints.with_successor(docs).count() == 2
+rows = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(30)], "vec_id long, label int, embedding array<float>")
+assert hard_negatives.mine(hard_negatives.prepare(rows), F.col("vec_id") == 3).count() > 0
+print("fine")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-3000:]
+
+
 def test_lexicon_is_minimal_and_exact(vocabulary):
     words = sorted({f"{a}{b}ing".encode() for a in "abcdef" for b in ("", "x", "yy")} | {b"a", b"ab"})
     lexicon = bpe.Lexicon(bpe.Lexicon.compile(words, *bpe.merge(vocabulary, words)))
