@@ -4,8 +4,8 @@
         --out ROOT [--reference-date 2024-12-31] [--inception-date 2015-01-01] \\
         [--buckets N] [--show eda_02_rate_by_province ...]
 
-Loads the three CSV exports, builds every layer, writes the finished tables
-under ``--out`` (replacing earlier versions) and the quality log and every
+Loads the three CSV exports, builds every layer, publishes the finished tables
+under ``--out`` as one version (``sinks.read_published`` reads the current one) and writes the quality log and every
 analysis result, sorted for reading, under ``--out/reports/<query>``. ``--show`` prints the named
 results as well. Intermediate tables go to the session's
 ``spark.checkpoint.dir``.
@@ -50,6 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     for name in args.show:
         print(f"== {name}")
         listing(wh, name).show(50, truncate=False)
+    wh.close()
     return 0
 
 

@@ -2,7 +2,7 @@
 distributed ordering, segment analyses and the reporting model."""
 
 from churnkit.operators.dedupe import dedupe_first
-from churnkit.operators.joins import hot_keys, skew_join
+from churnkit.operators.joins import HotKeys, hot_keys, skew_join
 from churnkit.operators.ordering import ntile, percentile_exact, rank_rows
 from churnkit.operators.quality import (
     before_anchor,
@@ -32,7 +32,7 @@ from churnkit.operators.segments import (
 )
 
 __all__ = [
-    "before_anchor", "count_where", "counts_by", "dedupe_first", "distinct_count", "duplicate_keys", "hot_keys",
+    "before_anchor", "count_where", "counts_by", "dedupe_first", "distinct_count", "duplicate_keys", "HotKeys", "hot_keys",
     "ntile", "ntile_share", "null_profile", "orphans", "outlier_sensitivity", "pair_check", "percentile_exact",
     "period_change", "range_check",
     "quality_log", "rank_rows", "rate_by", "row_count", "row_counts", "share_of_total", "skew_gap", "skew_join",

@@ -24,7 +24,7 @@ from churnkit.functions.dates import (
     year_month,
 )
 from churnkit.functions.metrics import pct
-from churnkit.operators.joins import skew_join
+from churnkit.operators.joins import HotKeys, skew_join
 from churnkit.operators.ordering import rank_rows
 
 CUSTOMER_ATTRIBUTES = (
@@ -56,7 +56,8 @@ def portfolio(products: DataFrame, product_names: Sequence[str]) -> DataFrame:
     )
 
 
-def wide_table(customers: DataFrame, activity: DataFrame, holdings: DataFrame, product_names: Sequence[str]) -> DataFrame:
+def wide_table(customers: DataFrame, activity: DataFrame, holdings: DataFrame, product_names: Sequence[str],
+               hot: HotKeys | None = None) -> DataFrame:
     """One row per customer (per activity row): attributes, portfolio, activity, churn dates.
 
     Customers without products are kept, with NULL portfolio columns.
@@ -66,7 +67,7 @@ def wide_table(customers: DataFrame, activity: DataFrame, holdings: DataFrame, p
     # customers and holdings have one row per customer (and share bucketing);
     # activity may hold many rows for one customer
     known = customers.join(holdings, "customer_id", "left")
-    joined = skew_join(activity, known, "customer_id", "inner")
+    joined = skew_join(activity, known, "customer_id", "inner", hot)
     return joined.select(
         *CUSTOMER_ATTRIBUTES,
         *PORTFOLIO_COUNTS,
@@ -133,10 +134,13 @@ FACT_COLUMNS = (
 )
 
 
-def fact_churn(activity: DataFrame, customers_dim: DataFrame, products_dim: DataFrame) -> DataFrame:
+def fact_churn(activity: DataFrame, customers_dim: DataFrame, products_dim: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Churn fact: one row per activity row with a customer and a product holding.
 
-    ``churn_fact_key`` = row number by ``customer_id``. Date keys are NULL
+    ``churn_fact_key`` = row number by ``customer_id``, then by a hash of the
+    row: the order rests on the content alone, so a task that is run again
+    gives the same keys and no copy of the joined rows is needed. Rows
+    equal in every column may take each other's number. Date keys are NULL
     for an invalid join date or a missing churn date. The customer
     dimension carries every customer attribute, so one join serves both
     the key and the attributes.
@@ -150,7 +154,7 @@ def fact_churn(activity: DataFrame, customers_dim: DataFrame, products_dim: Data
         "income_tier", "tenure_band", "age_band",
     )
     p = products_dim.select("customer_id", "product_key")
-    joined = skew_join(a, c.join(p, "customer_id"), "customer_id")
+    joined = skew_join(a, c.join(p, "customer_id"), "customer_id", hot=hot)
     rows = joined.select(
         "customer_key",
         "product_key",
@@ -164,12 +168,28 @@ def fact_churn(activity: DataFrame, customers_dim: DataFrame, products_dim: Data
         F.col("is_valid_join_date").cast("int").alias("is_valid_join_date"),
         "balance_tier", "credit_band", "income_tier", "tenure_band", "age_band",
     )
-    ranked = rank_rows(rows, [F.col("customer_id").asc()], name="churn_fact_key")
+    content = F.xxhash64(*[F.col(c) for c in rows.columns])
+    ranked = rank_rows(rows, [F.col("customer_id").asc(), content.asc()], name="churn_fact_key", unique_order=True)
     return ranked.select(*FACT_COLUMNS)
 
 
+def calendar_use(fact: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Per day that a fact refers to: its calendar attributes, and the rows that joined and that churned on it.
+
+    The fact's two date keys become one column in one pass, counted map-side;
+    the calendar (days of the configured window, so of bounded size) is
+    broadcast to the counted days. A day outside the window has NULL attributes.
+    """
+    uses = F.array(*[F.struct(F.col(f"{u}_date_key").alias("date_key"), F.lit(u).alias("_use")) for u in ("join", "churn")])
+    days = fact.select(F.explode(uses).alias("_u")).select("_u.date_key", "_u._use").filter(F.col("date_key").isNotNull())
+    counts = days.groupBy("date_key").agg(
+        F.count(F.when(F.col("_use") == "join", F.lit(1))).alias("joined_rows"),
+        F.count(F.when(F.col("_use") == "churn", F.lit(1))).alias("churned_rows"))
+    return counts.join(F.broadcast(calendar), "date_key", "left").select(*calendar.columns, "joined_rows", "churned_rows")
+
+
 def unmatched_keys(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, name: str,
-                   skip_null: bool = False, small_dim: bool = False) -> DataFrame:
+                   skip_null: bool = False, small_dim: bool = False, hot: HotKeys | None = None) -> DataFrame:
     """Fact rows whose key has no dimension row (``NOT EXISTS``), counted.
 
     A NULL key never matches, so it counts as unmatched unless
@@ -183,7 +203,7 @@ def unmatched_keys(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     if small_dim:
         missing = rows.join(F.broadcast(keys), fact_key, "left_anti")
     else:
-        missing = skew_join(rows, keys, fact_key, "left_anti")
+        missing = skew_join(rows, keys, fact_key, "left_anti", hot)
     return missing.agg(F.count(F.lit(1)).alias(name))
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit.functions.text import as_col
-from churnkit.operators.joins import skew_join
+from churnkit.operators.joins import HotKeys, skew_join
 
 def row_count(df: DataFrame, name: str = "total_rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
@@ -82,14 +82,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "occurrence_c
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1)
 
 
-def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+def orphans(child: DataFrame, parent: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
     """Child rows whose key has no parent row (a NULL key never matches).
 
     The parent side is reduced to its distinct keys first, so a parent key
     repeated many times is one row per task before the shuffle.
     """
     parent_keys = parent.select(key).distinct()
-    return skew_join(child, parent_keys, key, "left_anti")
+    return skew_join(child, parent_keys, key, "left_anti", hot)
 
 
 Metric = tuple[str, str, str, Column]  # check id, severity, metric name, aggregate expression
@@ -108,15 +108,17 @@ def _log_rows(row: DataFrame, labels: Sequence[tuple[str, str, str]]) -> DataFra
 def quality_log(
     scans: Sequence[tuple[DataFrame, Sequence[Metric]]] = (),
     frames: Sequence[tuple[str, str, DataFrame]] = (),
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """One table of findings: ``check_id, severity, metric, value``.
 
     ``scans`` pairs a table with aggregate metrics over it: all metrics of a
     table are computed in one pass (one scan per table, not one per check).
     ``frames`` are checks already computed as one-row frames of counts
-    (joins, distinct counts); each column becomes a metric.
+    (joins, distinct counts); each column becomes a metric. ``known`` are rows
+    that are there already (``known_metrics``).
     """
-    parts = []
+    parts = [] if known is None else [known]
     for df, metrics in scans:
         row = df.agg(*[expr.alias(f"_m{i}") for i, (_, _, _, expr) in enumerate(metrics)])
         parts.append(_log_rows(row, [(cid, sev, name) for cid, sev, name, _ in metrics]))
@@ -128,6 +130,16 @@ def quality_log(
     return out
 
 
+def known_metrics(spark: SparkSession, rows: Sequence[tuple[str, str, str, int | None]]) -> DataFrame:
+    """Log rows of counts that were observed while a table was loaded."""
+    return spark.createDataFrame(list(rows), "check_id string, severity string, metric string, value long")
+
+
+def known_row(spark: SparkSession, values: Mapping[str, int | None]) -> DataFrame:
+    """One row of observed counts, a column each."""
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"`{n}` long" for n in values))
+
+
 def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
     """Number of distinct values of ``column``, NULL counted as one value."""
     return df.groupBy(column).agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias(name))
@@ -140,10 +152,11 @@ def before_anchor(
     key: str,
     anchor_col: str,
     name: str,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Count child rows dated before their key's anchor date (inner join).
 
     ``anchors`` holds one row per key.
     """
-    joined = skew_join(child.withColumn("_d", child_date), anchors, key, "inner")
+    joined = skew_join(child.withColumn("_d", child_date), anchors, key, "inner", hot)
     return joined.filter(F.col("_d") < F.col(anchor_col)).agg(F.count(F.lit(1)).alias(name))

@@ -45,6 +45,33 @@ def rate_by(
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
+def rate_sets(df: DataFrame, keys: Mapping[str, Column], flag: str = "churned") -> DataFrame:
+    """Rows and flagged rows by each of several keys, each key for itself, from one pass (grouping sets).
+
+    One row per key and value: ``_set``, the key's name; the key's own column
+    with the value (NULL is a value); ``_n`` and ``_flagged``. ``rate_of`` reads one key's rates.
+    """
+    rows = df.select(*[c.alias(k) for k, c in keys.items()], F.col(flag).cast("int").alias("_flag"))
+    by = F.lit(None).cast("string")
+    for k in keys:
+        by = F.when(F.grouping(k) == 0, F.lit(k)).otherwise(by)
+    return rows.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(
+        by.alias("_set"), F.count(F.lit(1)).alias("_n"), F.sum("_flag").alias("_flagged"))
+
+
+def rate_of(sets: DataFrame, key: str | None, by: str, where: Column | None = None,
+            names: Sequence[str] = ("total_customers", "churned", "retained", "churn_rate_pct")) -> DataFrame:
+    """``rate_by`` of ``key`` read from ``rate_sets``; with no key, over all rows (summed over the values of ``by``)."""
+    total, flagged, rest, rate = names
+    own = sets.filter(F.col("_set") == (key or by))
+    if where is not None:
+        own = own.filter(where)
+    if key is None:
+        own = own.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.sum("_flagged").alias("_flagged"))
+    n, s = F.col("_n"), F.col("_flagged")
+    return own.select(*([key] if key else []), n.alias(total), s.alias(flagged), (n - s).alias(rest), pct(s, n).alias(rate))
+
+
 def with_share(counts: DataFrame, count_name: str, pct_name: str) -> DataFrame:
     """Add each row's percentage of the column total.
 
@@ -76,6 +103,7 @@ def summary_by(
     names: Mapping[str, str],
     where: Column | None = None,
     stable_input: bool = False,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """Count, min, max, mean, sample stdev and exact median of ``value`` per key.
 
@@ -96,7 +124,7 @@ def summary_by(
         F.round(F.stddev_samp(v), digits).alias(names["stdev"]),
     )
     # both sides hold one row per group; AQE picks the join from their measured sizes
-    medians = percentile_exact(df, value, 0.5, by=keys, name="_median", stable_input=stable_input)
+    medians = percentile_exact(df, value, 0.5, by=keys, name="_median", stable_input=stable_input, sketch=sketch)
     out = stats.join(medians, list(keys), "left")
     return out.withColumn(names["median"], F.round(F.col("_median"), digits)).drop("_median")
 
@@ -139,13 +167,14 @@ def ntile_share(
     total_name: str,
     pct_name: str,
     stable_input: bool = False,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """Rows, rounded total and share of the grand total per ``k``-tile.
 
     Tiles are ``ntile(k)`` over ``value`` descending (NULLs last), ties
     broken by ``tiebreak``; only rows near a tile's edge are ordered.
     """
-    sums = ntile_sums(df, value, tiebreak, k, tile_name, count_name, "_sum", stable_input=stable_input)
+    sums = ntile_sums(df, value, tiebreak, k, tile_name, count_name, "_sum", stable_input=stable_input, sketch=sketch)
     grand = F.sum("_sum").over(Window.partitionBy(F.lit(0)))
     return sums.select(
         tile_name,
@@ -155,13 +184,13 @@ def ntile_share(
     )
 
 
-def _scalar_percentile(df: DataFrame, value: str, p: float, stable_input: bool):
-    row = percentile_exact(df, value, p, stable_input=stable_input).first()
+def _scalar_percentile(df: DataFrame, value: str, p: float, stable_input: bool, sketch: DataFrame | None):
+    row = percentile_exact(df, value, p, stable_input=stable_input, sketch=sketch).first()
     return None if row is None else row[0]
 
 
 def skew_gap(df: DataFrame, measures: Sequence[tuple[str, int, str]], where: Column | None = None,
-             stable_input: bool = False) -> DataFrame:
+             stable_input: bool = False, sketches: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Mean, exact median and their gap for each measure, in one row.
 
     ``measures`` are ``(column, digits, suffix)``; output columns are
@@ -175,9 +204,13 @@ def skew_gap(df: DataFrame, measures: Sequence[tuple[str, int, str]], where: Col
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(column).alias("_measure"), F.col(column).cast("double").alias("_value"))
         for column, _, _ in measures])).alias("_s")).select("_s._measure", "_s._value")
+    sketch = None
+    for column, _, _ in measures if sketches else ():
+        own = sketches[column].withColumn("_measure", F.lit(column))
+        sketch = own if sketch is None else sketch.unionByName(own)
     medians = {r["_measure"]: r["_median"] for r in
                percentile_exact(stacked, "_value", 0.5, by=["_measure"], name="_median",
-                                stable_input=stable_input).collect()}
+                                stable_input=stable_input, sketch=sketch).collect()}
     cols = []
     for column, digits, suffix in measures:
         median = medians.get(column)
@@ -196,13 +229,14 @@ def outlier_sensitivity(
     labels: tuple[str, str],
     names: Sequence[str] = ("dataset", "customer_count", "mean_balance", "churn_rate_pct"),
     stable_input: bool = False,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """Count, mean and flag rate with all rows, and with rows below the p-th percentile.
 
     Rows at or above the cut-off are dropped, and so are rows whose value is
     NULL (the comparison is unknown for them).
     """
-    cut = _scalar_percentile(df, value, p, stable_input)
+    cut = _scalar_percentile(df, value, p, stable_input, sketch)
     label_col, count_name, mean_name, rate_name = names
 
     def summary(label: str, rows: Column) -> Column:

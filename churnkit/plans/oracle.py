@@ -646,6 +646,21 @@ FROM churn_analysis WHERE churn_date IS NOT NULL""", "churn_analysis")
 
 oracle("ss_1_dim_customer", "SELECT * FROM dim_customer", "dim_customer")
 oracle("ss_2_dim_product", "SELECT * FROM dim_product", "dim_product")
+# Week numbers from strftime's Sunday weeks, in which the days before the year's first Sunday are week 0.
+oracle("ss_3_calendar_use", f"""
+SELECT CAST(u.day AS INTEGER) AS date_key, d AS full_date, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month_number,
+  monthname(d) AS month_name, CAST(quarter(d) AS INTEGER) AS quarter, 'Q' || quarter(d) || ' ' || year(d) AS quarter_label,
+  strftime(d, '%Y-%m') AS year_month,
+  CAST(strftime(d, '%U') AS INTEGER) + CASE WHEN dayofweek(make_date(year(d), 1, 1)) = 0 THEN 0 ELSE 1 END AS week_number,
+  CAST(isodow(d) % 7 + 1 AS INTEGER) AS day_of_week_number, dayname(d) AS day_of_week_name, CAST(day(d) AS INTEGER) AS day_of_month,
+  CAST(isodow(d) >= 6 AS INTEGER) AS is_weekend, CAST(month(d + INTERVAL 1 DAY) <> month(d) AS INTEGER) AS is_month_end, u.joined_rows, u.churned_rows
+FROM (
+  SELECT day, count(*) FILTER (use = 'join') AS joined_rows, count(*) FILTER (use = 'churn') AS churned_rows
+  FROM (SELECT join_date_key AS day, 'join' AS use FROM fact_churn UNION ALL SELECT churn_date_key, 'churn' FROM fact_churn)
+  WHERE day IS NOT NULL GROUP BY day
+) u LEFT JOIN (
+  SELECT CAST(x AS DATE) AS d FROM range(TIMESTAMP '{C.FIXTURE.calendar_start}', TIMESTAMP '{C.FIXTURE.calendar_end}' + INTERVAL 1 DAY, INTERVAL 1 DAY) t(x)
+) c ON CAST(strftime(c.d, '%Y%m%d') AS INTEGER) = u.day""", "fact_churn")
 oracle("ss_4_fact_churn", "SELECT * FROM fact_churn", "fact_churn")
 oracle("v_14_star_row_counts", _rows([("staging.dim_customer", "dim_customer"),
                                       ("staging.dim_product", "dim_product"),

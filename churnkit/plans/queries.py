@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnkit import config as C
@@ -18,10 +18,10 @@ from churnkit.functions.bands import zero_then_band
 from churnkit.functions.metrics import pct
 from churnkit.operators import model, quality, segments
 from churnkit.operators.joins import skew_join
-from churnkit.operators.ordering import rank_rows
+from churnkit.operators.ordering import merged_sketch, rank_rows
 from churnkit.plans import staging
+from churnkit.plans.profile import CHECKS
 from churnkit.plans.warehouse import Warehouse
-from churnkit.sources.csv import MALFORMED
 
 QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {}
 
@@ -45,6 +45,7 @@ LISTING_ORDER: dict[str, list[str]] = {
     "dq_03b_duplicate_rows": ["customer_id", "row_num"],
     **_counts_first("dq_04_gender_variants", "dq_05_province_variants", "dq_10_product_variants",
                     "v_02_province_counts", "v_03_gender_counts", "v_04_product_counts"),
+    "ss_3_calendar_use": ["date_key"],
     "v_06_active_member_counts": ["is_active_member"],
     "v_07_churned_counts": ["churned"],
     "eda_02_rate_by_province": ["-churn_rate_pct"],
@@ -102,7 +103,8 @@ def load_activity(wh: Warehouse) -> DataFrame:
 
 @query("l_04_raw_row_counts")
 def raw_row_counts(wh: Warehouse) -> DataFrame:
-    return quality.row_counts({f"raw.{t}": wh.raw(t) for t in ("customers", "products", "activity")})
+    counts = [(f"raw.{t}", wh.profile(t)[f"{check}.total_rows"]) for t, check in (("customers", "DQ-01"), ("products", "DQ-09"), ("activity", "DQ-14"))]
+    return wh.spark.createDataFrame(counts, "table_name string, row_count long")
 
 
 # ------------------------------------------------------------- profile (S02)
@@ -110,24 +112,18 @@ def raw_row_counts(wh: Warehouse) -> DataFrame:
 
 @query("dq_01_customer_rows")
 def dq_customer_rows(wh: Warehouse) -> DataFrame:
-    return quality.row_count(wh.raw("customers"))
+    return _observed(wh, "customers", "DQ-01")
 
 
-CUSTOMER_NULLS = {
-    "null_customer_id": "customer_id", "null_dob": "date_of_birth", "null_gender": "gender",
-    "null_province": "province", "null_join_date": "join_date", "null_account_status": "account_status",
-    "null_monthly_income": "monthly_income",
-}
-ACTIVITY_NULLS = {
-    "null_customer_id": "customer_id", "null_balance": "avg_monthly_balance", "null_credit_score": "credit_score",
-    "null_txn_count": "num_transactions_3m", "null_active_member": "is_active_member",
-    "null_last_txn": "last_txn_date", "null_churned": "churned", "null_churn_date": "churn_date",
-}
+def _observed(wh: Warehouse, table: str, check: str) -> DataFrame:
+    """A check's counts in one row, as they were observed while the table was loaded."""
+    seen = wh.profile(table)
+    return quality.known_row(wh.spark, {metric: seen[f"{check}.{metric}"] for metric in CHECKS[table][check]})
 
 
 @query("dq_02_customer_nulls")
 def dq_customer_nulls(wh: Warehouse) -> DataFrame:
-    return quality.null_profile(wh.raw("customers"), CUSTOMER_NULLS)
+    return _observed(wh, "customers", "DQ-02")
 
 
 @query("dq_03a_duplicate_ids")
@@ -140,7 +136,7 @@ def dq_duplicate_rows(wh: Warehouse) -> DataFrame:
     """Every raw row of a duplicated id, numbered by parsed income (NULL first)."""
     raw = wh.raw("customers")
     dup_ids = quality.duplicate_keys(raw, ["customer_id"]).select("customer_id")
-    rows = skew_join(raw, dup_ids, "customer_id", "left_semi").withColumn("_income", to_float("monthly_income"))
+    rows = skew_join(raw, dup_ids, "customer_id", "left_semi", wh.raw_hot("customers")).withColumn("_income", to_float("monthly_income"))
     numbered = rank_rows(rows, [F.col("_income").asc_nulls_first()], by=["customer_id"], name="row_num")
     return numbered.select(*raw.columns, F.col("row_num"))
 
@@ -157,27 +153,22 @@ def dq_province_variants(wh: Warehouse) -> DataFrame:
 
 @query("dq_06_future_join_dates")
 def dq_future_join_dates(wh: Warehouse) -> DataFrame:
-    jd = to_date("join_date")
-    return quality.row_count(wh.raw("customers").filter(jd > date_lit(wh.cfg.reference_date)), "future_join_dates")
+    return _observed(wh, "customers", "DQ-06")
 
 
 @query("dq_07_income_validity")
 def dq_income_validity(wh: Warehouse) -> DataFrame:
-    inc = to_float("monthly_income")
-    return quality.count_where(wh.raw("customers"), {
-        "unparseable_income_value": inc.isNull(),
-        "zero_or_negative_income": inc <= 0,
-    })
+    return _observed(wh, "customers", "DQ-07")
 
 
 @query("dq_08_null_account_status")
 def dq_null_account_status(wh: Warehouse) -> DataFrame:
-    return quality.count_where(wh.raw("customers"), {"null_account_status": F.col("account_status").isNull()})
+    return _observed(wh, "customers", "DQ-08")
 
 
 @query("dq_09_product_rows")
 def dq_product_rows(wh: Warehouse) -> DataFrame:
-    return quality.row_count(wh.raw("products"))
+    return _observed(wh, "products", "DQ-09")
 
 
 @query("dq_10_product_variants")
@@ -187,13 +178,12 @@ def dq_product_variants(wh: Warehouse) -> DataFrame:
 
 @query("dq_11_null_product_status")
 def dq_null_product_status(wh: Warehouse) -> DataFrame:
-    return quality.count_where(wh.raw("products"), {"null_product_status": F.col("product_status").isNull()})
+    return _observed(wh, "products", "DQ-11")
 
 
 @query("dq_12_open_before_inception")
 def dq_open_before_inception(wh: Warehouse) -> DataFrame:
-    od = to_date("open_date")
-    return quality.row_count(wh.raw("products").filter(od < date_lit(wh.cfg.inception_date)), "suspect_open_dates")
+    return _observed(wh, "products", "DQ-12")
 
 
 def _earliest_join(wh: Warehouse) -> DataFrame:
@@ -206,88 +196,53 @@ def _earliest_join(wh: Warehouse) -> DataFrame:
 @query("dq_13_open_before_join")
 def dq_open_before_join(wh: Warehouse) -> DataFrame:
     return quality.before_anchor(wh.raw("products"), to_date("open_date"), _earliest_join(wh), "customer_id",
-                                 "first_join_date", "open_before_join")
+                                 "first_join_date", "open_before_join", wh.raw_hot("products"))
 
 
 @query("dq_14_activity_rows")
 def dq_activity_rows(wh: Warehouse) -> DataFrame:
-    return quality.row_count(wh.raw("activity"))
+    return _observed(wh, "activity", "DQ-14")
 
 
 @query("dq_15_activity_nulls")
 def dq_activity_nulls(wh: Warehouse) -> DataFrame:
-    return quality.null_profile(wh.raw("activity"), ACTIVITY_NULLS)
+    return _observed(wh, "activity", "DQ-15")
 
 
 @query("dq_16_orphan_activity")
 def dq_orphan_activity(wh: Warehouse) -> DataFrame:
-    return quality.row_count(quality.orphans(wh.raw("activity"), wh.raw("customers"), "customer_id"), "orphan_records")
+    return quality.row_count(quality.orphans(wh.raw("activity"), wh.raw("customers"), "customer_id", wh.raw_hot("activity")),
+                             "orphan_records")
 
 
 @query("dq_17_txn_before_join")
 def dq_txn_before_join(wh: Warehouse) -> DataFrame:
     return quality.before_anchor(wh.raw("activity"), to_date("last_txn_date"), _earliest_join(wh), "customer_id",
-                                 "first_join_date", "txn_before_join")
+                                 "first_join_date", "txn_before_join", wh.raw_hot("activity"))
 
 
 @query("dq_18_churn_date_integrity")
 def dq_churn_date_integrity(wh: Warehouse) -> DataFrame:
-    return quality.pair_check(wh.raw("activity"), F.col("churned"), F.col("churn_date"))
+    return _observed(wh, "activity", "DQ-18")
 
 
 @query("dq_19_credit_score_range")
 def dq_credit_score_range(wh: Warehouse) -> DataFrame:
-    return quality.range_check(wh.raw("activity"), to_int_via_float("credit_score"), C.CREDIT_SCORE_MIN,
-                               C.CREDIT_SCORE_MAX, where=to_float("credit_score").isNotNull())
+    return _observed(wh, "activity", "DQ-19")
 
 
 @query("dq_00_quality_log")
 def dq_quality_log(wh: Warehouse) -> DataFrame:
     """Every profiling check as rows of ``check_id, severity, metric, value``.
 
-    Checks that list values (duplicate ids, spelling variants) contribute
-    their number of rows.
+    Counts of rows were observed while the tables were loaded; only duplicate
+    ids, spelling variants (which contribute their number of rows) and the checks across
+    tables read anything.
     """
-    sev = C.CHECK_SEVERITY
+    sev = C.CHECK_SEVERITY | {"L-04": C.MALFORMED_SEVERITY}
     customers, products = wh.raw("customers"), wh.raw("products")
-    rows = F.count(F.lit(1))
-
-    def nulls(cid, names):
-        return [(cid, sev[cid], n, F.sum(F.when(F.col(c).isNull(), 1).otherwise(0))) for n, c in names.items()]
-
-    def where(cond):
-        return F.count(F.when(cond, F.lit(1)))
-
-    inc = to_float("monthly_income")
-    ch, cd = F.col("churned"), F.col("churn_date")
-    score_known = to_float("credit_score").isNotNull()
-    score = to_int_via_float("credit_score")
-    def malformed(table):
-        return [("L-04", C.MALFORMED_SEVERITY, f"malformed_{table}_rows", F.count(MALFORMED))]
-
-    scans = [
-        (wh.loaded("customers"), malformed("customers")
-         + [("DQ-01", sev["DQ-01"], "total_rows", rows)]
-         + nulls("DQ-02", CUSTOMER_NULLS)
-         + [("DQ-06", sev["DQ-06"], "future_join_dates", where(to_date("join_date") > date_lit(wh.cfg.reference_date))),
-            ("DQ-07", sev["DQ-07"], "unparseable_income_value", where(inc.isNull())),
-            ("DQ-07", sev["DQ-07"], "zero_or_negative_income", where(inc <= 0)),
-            ("DQ-08", sev["DQ-08"], "null_account_status", where(F.col("account_status").isNull()))]),
-        (wh.loaded("products"), malformed("products")
-         + [("DQ-09", sev["DQ-09"], "total_rows", rows),
-                    ("DQ-11", sev["DQ-11"], "null_product_status", where(F.col("product_status").isNull())),
-                    ("DQ-12", sev["DQ-12"], "suspect_open_dates",
-                     where(to_date("open_date") < date_lit(wh.cfg.inception_date)))]),
-        (wh.loaded("activity"), malformed("activity")
-         + [("DQ-14", sev["DQ-14"], "total_rows", rows)]
-         + nulls("DQ-15", ACTIVITY_NULLS)
-         + [("DQ-18", sev["DQ-18"], "churned_with_date", where((ch == "1") & cd.isNotNull())),
-            ("DQ-18", sev["DQ-18"], "not_churned_without_date", where((ch == "0") & cd.isNull())),
-            ("DQ-18", sev["DQ-18"], "churned_missing_date", where((ch == "1") & cd.isNull())),
-            ("DQ-18", sev["DQ-18"], "not_churned_has_date", where((ch == "0") & cd.isNotNull())),
-            ("DQ-19", sev["DQ-19"], "below_minimum", where(score_known & (score < C.CREDIT_SCORE_MIN))),
-            ("DQ-19", sev["DQ-19"], "above_maximum", where(score_known & (score > C.CREDIT_SCORE_MAX)))]),
-    ]
+    known = [(check, sev[check], metric, wh.profile(table)[f"{check}.{metric}"])
+             for table, checks in CHECKS.items() for check, metrics in checks.items() for metric in metrics]
     frames = [
         ("DQ-03", sev["DQ-03"], quality.row_count(dq_duplicate_ids(wh), "duplicate_ids")),
         ("DQ-04", sev["DQ-04"], quality.distinct_count(customers, "gender", "gender_variants")),
@@ -297,7 +252,7 @@ def dq_quality_log(wh: Warehouse) -> DataFrame:
         ("DQ-16", sev["DQ-16"], dq_orphan_activity(wh)),
         ("DQ-17", sev["DQ-17"], dq_txn_before_join(wh)),
     ]
-    return quality.quality_log(scans, frames)
+    return quality.quality_log(frames=frames, known=quality.known_metrics(wh.spark, known))
 
 
 # ------------------------------------------------------------- staging (S03)
@@ -305,7 +260,7 @@ def dq_quality_log(wh: Warehouse) -> DataFrame:
 
 @query("st_01_dedupe_customers")
 def st_dedupe_customers(wh: Warehouse) -> DataFrame:
-    return staging.dedupe_customers(wh.raw("customers")).filter(F.col("customer_id").isNotNull())
+    return staging.dedupe_customers(wh.raw("customers"), wh.raw_hot("customers")).filter(F.col("customer_id").isNotNull())
 
 
 @query("st_11_staging_customers")
@@ -370,24 +325,36 @@ def eda_base(wh: Warehouse) -> DataFrame:
     return wh.base()
 
 
+def _rate(wh: Warehouse, key: str, where: Column | None = None) -> DataFrame:
+    """Churn rates by one key, read from the grouping sets that one pass over the base made."""
+    return segments.rate_of(wh.rates(), key, key, where)
+
+
+def _sketch(wh: Warehouse, value: str, by: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+    """The stored quantile sketches of the base merged for one query's groups and rows."""
+    own = wh.quantiles() if where is None else wh.quantiles().filter(where)
+    return merged_sketch(own, value, by)
+
+
 @query("eda_01_overall_rate")
 def eda_overall_rate(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), names=("total_customers", "total_churned", "total_retained", "churn_rate_pct"))
+    return segments.rate_of(wh.rates(), None, "province",
+                            names=("total_customers", "total_churned", "total_retained", "churn_rate_pct"))
 
 
 @query("eda_02_rate_by_province")
 def eda_rate_by_province(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), ["province"])
+    return _rate(wh, "province")
 
 
 @query("eda_03_rate_by_gender")
 def eda_rate_by_gender(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), ["gender"])
+    return _rate(wh, "gender")
 
 
 @query("eda_04_rate_by_age_band")
 def eda_rate_by_age_band(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), ["age_band"], where=F.col("age_band") != C.UNKNOWN)
+    return _rate(wh, "age_band", F.col("age_band") != C.UNKNOWN)
 
 
 @query("eda_05_account_status_share")
@@ -413,12 +380,13 @@ def eda_income_summary(wh: Warehouse) -> DataFrame:
     return segments.summary_by(
         wh.base(), ["income_tier", "churned"], "monthly_income", 0, _summary_names("customer_count", "income"),
         where=F.col("monthly_income").isNotNull() & (F.col("income_tier") != C.UNKNOWN), stable_input=True,
+        sketch=_sketch(wh, "monthly_income", ("income_tier", "churned"), F.col("income_tier") != C.UNKNOWN),
     )
 
 
 @query("eda_08_rate_by_income_tier")
 def eda_rate_by_income_tier(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), ["income_tier"], where=F.col("income_tier") != C.UNKNOWN)
+    return _rate(wh, "income_tier", F.col("income_tier") != C.UNKNOWN)
 
 
 def _product_counts(wh: Warehouse, keys: list[str]) -> DataFrame:
@@ -429,13 +397,14 @@ def _product_counts(wh: Warehouse, keys: list[str]) -> DataFrame:
 @query("eda_09_product_status_share")
 def eda_product_status_share(wh: Warehouse) -> DataFrame:
     per = _product_counts(wh, ["product_status"])
-    joined = skew_join(wh.base().select("customer_id"), per, "customer_id")
+    joined = skew_join(wh.base().select("customer_id"), per, "customer_id", hot=wh.base_hot())
     counts = joined.groupBy("product_status").agg(F.sum("_n").alias("total_products"))
     return segments.with_share(counts, "total_products", "pct_of_total")
 
 
 def _products_per_customer(wh: Warehouse, keys: list[str]) -> DataFrame:
-    joined = skew_join(wh.base().select("customer_id", *keys), _product_counts(wh, []), "customer_id")
+    joined = skew_join(wh.base().select("customer_id", *keys), _product_counts(wh, []), "customer_id",
+                       hot=wh.base_hot())
     return joined.groupBy("customer_id", *keys).agg(F.sum("_n").alias("product_count"))
 
 
@@ -470,12 +439,13 @@ def eda_rate_by_product(wh: Warehouse) -> DataFrame:
 @query("eda_13_balance_summary")
 def eda_balance_summary(wh: Warehouse) -> DataFrame:
     return segments.summary_by(wh.base(), ["balance_tier", "churned"], "avg_monthly_balance", 2,
-                               _summary_names("customer_count", "balance"), stable_input=True)
+                               _summary_names("customer_count", "balance"), stable_input=True,
+                               sketch=_sketch(wh, "avg_monthly_balance", ("balance_tier", "churned")))
 
 
 @query("eda_14_rate_by_balance_tier")
 def eda_rate_by_balance_tier(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), ["balance_tier"])
+    return _rate(wh, "balance_tier")
 
 
 @query("eda_15_credit_summary")
@@ -483,30 +453,28 @@ def eda_credit_summary(wh: Warehouse) -> DataFrame:
     return segments.summary_by(
         wh.base(), ["credit_band", "churned"], "credit_score", 0, _summary_names("customer_count", "score"),
         where=F.col("credit_score").isNotNull() & (F.col("credit_band") != C.UNKNOWN), stable_input=True,
+        sketch=_sketch(wh, "credit_score", ("credit_band", "churned"), F.col("credit_band") != C.UNKNOWN),
     )
 
 
 @query("eda_16_rate_by_credit_band")
 def eda_rate_by_credit_band(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), ["credit_band"], where=F.col("credit_band") != C.UNKNOWN)
+    return _rate(wh, "credit_band", F.col("credit_band") != C.UNKNOWN)
 
 
 @query("eda_17_rate_by_active_member")
 def eda_rate_by_active_member(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), ["is_active_member"])
+    return _rate(wh, "is_active_member")
 
 
 @query("eda_18_rate_by_txn_band")
 def eda_rate_by_txn_band(wh: Warehouse) -> DataFrame:
-    txn = F.col("num_transactions_3m")
-    txn_band = zero_then_band(txn, C.TXN_ZERO_LABEL, C.TXN_BANDS, C.TXN_TOP)
-    rows = wh.base().filter(txn.isNotNull()).select("churned", txn_band.alias("txn_band"))
-    return segments.rate_by(rows, ["txn_band"])
+    return _rate(wh, "txn_band", F.col("txn_band").isNotNull())
 
 
 @query("eda_19_rate_by_tenure_band")
 def eda_rate_by_tenure_band(wh: Warehouse) -> DataFrame:
-    return segments.rate_by(wh.base(), ["tenure_band"], where=F.col("tenure_band") != C.UNKNOWN)
+    return _rate(wh, "tenure_band", F.col("tenure_band") != C.UNKNOWN)
 
 
 @query("eda_20_top_at_risk")
@@ -554,20 +522,23 @@ def eda_churn_by_month_of_year(wh: Warehouse) -> DataFrame:
 @query("eda_25_mean_median_gap")
 def eda_mean_median_gap(wh: Warehouse) -> DataFrame:
     return segments.skew_gap(wh.base(), [("monthly_income", 0, "income"), ("avg_monthly_balance", 2, "balance")],
-                             where=F.col("monthly_income").isNotNull(), stable_input=True)
+                             where=F.col("monthly_income").isNotNull(), stable_input=True,
+                             sketches={m: _sketch(wh, m, where=F.col("income_known")) for m in ("monthly_income", "avg_monthly_balance")})
 
 
 @query("eda_26_balance_deciles")
 def eda_balance_deciles(wh: Warehouse) -> DataFrame:
     rows = wh.base().filter(F.col("is_outlier_balance") == 0)
     return segments.ntile_share(rows, "avg_monthly_balance", "customer_id", 10, "balance_decile", "customer_count",
-                                "total_balance", "pct_of_total_balance", stable_input=True)
+                                "total_balance", "pct_of_total_balance", stable_input=True,
+                                sketch=_sketch(wh, "avg_monthly_balance", where=F.col("is_outlier_balance") == 0))
 
 
 @query("eda_27_outlier_sensitivity")
 def eda_outlier_sensitivity(wh: Warehouse) -> DataFrame:
     return segments.outlier_sensitivity(wh.base(), "avg_monthly_balance", "churned", 0.99,
-                                        ("Including top 1%", "Excluding top 1%"), stable_input=True)
+                                        ("Including top 1%", "Excluding top 1%"), stable_input=True,
+                                        sketch=_sketch(wh, "avg_monthly_balance"))
 
 
 # ---------------------------------------------------------- wide table (S05)
@@ -627,6 +598,12 @@ def ss_dim_product(wh: Warehouse) -> DataFrame:
     return wh.dim_product()
 
 
+@query("ss_3_calendar_use")
+def ss_calendar_use(wh: Warehouse) -> DataFrame:
+    """The calendar (all its attributes) on the days that facts refer to."""
+    return model.calendar_use(wh.fact_churn(), wh.dim_date())
+
+
 @query("ss_4_fact_churn")
 def ss_fact_churn(wh: Warehouse) -> DataFrame:
     return wh.fact_churn()
@@ -655,13 +632,13 @@ def v_wide_rows_star(wh: Warehouse) -> DataFrame:
 @query("v_17_unmatched_customer_keys")
 def v_unmatched_customer_keys(wh: Warehouse) -> DataFrame:
     return model.unmatched_keys(wh.fact_churn(), wh.dim_customer(), "customer_key", "customer_key",
-                                "unmatched_customer_keys")
+                                "unmatched_customer_keys", hot=wh.fact_hot("customer_key"))
 
 
 @query("v_18_unmatched_product_keys")
 def v_unmatched_product_keys(wh: Warehouse) -> DataFrame:
     return model.unmatched_keys(wh.fact_churn(), wh.dim_product(), "product_key", "product_key",
-                                "unmatched_product_keys")
+                                "unmatched_product_keys", hot=wh.fact_hot("product_key"))
 
 
 @query("v_19_unmatched_join_date_keys")

@@ -9,7 +9,7 @@ for one customer, so they are joined with ``skew_join``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnkit import config as C
@@ -27,8 +27,9 @@ from churnkit.functions import (
     to_int_via_float,
     year_diff,
 )
+from churnkit.functions.bands import zero_then_band
 from churnkit.operators.dedupe import dedupe_first
-from churnkit.operators.joins import skew_join
+from churnkit.operators.joins import HotKeys, skew_join
 
 STAGING_CUSTOMER_COLUMNS = (
     "customer_id", "first_name", "last_name", "date_of_birth", "gender", "province", "branch_code",
@@ -44,13 +45,31 @@ BASE_COLUMNS = (
 )
 
 
-def dedupe_customers(raw_customers: DataFrame) -> DataFrame:
+#: Measures of the base with stored quantile sketches.
+SKETCHED = ("monthly_income", "avg_monthly_balance", "credit_score")
+
+
+def rate_keys() -> dict[str, Column]:
+    """Keys of the rate queries over the base, and what they group."""
+    txn = F.col("num_transactions_3m")
+    plain = ("province", "gender", "age_band", "income_tier", "balance_tier", "credit_band", "is_active_member", "tenure_band")
+    return {**{k: F.col(k) for k in plain},
+            "txn_band": F.when(txn.isNotNull(), zero_then_band(txn, C.TXN_ZERO_LABEL, C.TXN_BANDS, C.TXN_TOP))}
+
+
+def sketch_keys() -> dict[str, Column]:
+    """Keys by which the quantile queries group or select; every combination has a sketch of each measure."""
+    return {**{k: F.col(k) for k in ("income_tier", "balance_tier", "credit_band", "churned", "is_outlier_balance")},
+            "income_known": F.col("monthly_income").isNotNull()}
+
+
+def dedupe_customers(raw_customers: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """One raw row per customer id: the one with the lowest parsed income.
 
     An unparseable or missing income sorts first and wins. A NULL id is
     one group here and is dropped by the staging build.
     """
-    return dedupe_first(raw_customers, ["customer_id"], [to_float("monthly_income")])
+    return dedupe_first(raw_customers, ["customer_id"], [to_float("monthly_income")], hot)
 
 
 def join_anchors(raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
@@ -69,9 +88,9 @@ def join_anchors(raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
     )
 
 
-def stage_customers(raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
+def stage_customers(raw_customers: DataFrame, cfg: ChurnConfig, hot: HotKeys | None = None) -> DataFrame:
     ref = date_lit(cfg.reference_date)
-    d = dedupe_customers(raw_customers).filter(F.col("customer_id").isNotNull())
+    d = dedupe_customers(raw_customers, hot).filter(F.col("customer_id").isNotNull())
     jd = to_date("join_date")
     typed = d.select(
         "customer_id",
@@ -102,7 +121,7 @@ def stage_customers(raw_customers: DataFrame, cfg: ChurnConfig) -> DataFrame:
 
 
 def stage_products(raw_products: DataFrame, raw_customers: DataFrame, cfg: ChurnConfig,
-                   anchors: DataFrame | None = None) -> DataFrame:
+                   anchors: DataFrame | None = None, hot: HotKeys | None = None) -> DataFrame:
     """Clean product names, parse open dates, flag impossible ones, impute status.
 
     Raw products are kept as they are: no deduplication, no orphan filter.
@@ -112,7 +131,7 @@ def stage_products(raw_products: DataFrame, raw_customers: DataFrame, cfg: Churn
     od = to_date("open_date")
     first = (anchors if anchors is not None else join_anchors(raw_customers, cfg)).select(
         "customer_id", "first_join_date")
-    p = skew_join(raw_products, first, "customer_id", "left")
+    p = skew_join(raw_products, first, "customer_id", "left", hot)
     valid = (
         F.when(od.isNull(), F.lit(0))
         .when(od < date_lit(cfg.inception_date), F.lit(0))
@@ -129,7 +148,7 @@ def stage_products(raw_products: DataFrame, raw_customers: DataFrame, cfg: Churn
 
 
 def stage_activity(raw_activity: DataFrame, raw_customers: DataFrame, cfg: ChurnConfig,
-                   anchors: DataFrame | None = None) -> DataFrame:
+                   anchors: DataFrame | None = None, hot: HotKeys | None = None) -> DataFrame:
     """Typed activity of known customers, with bands and validity flags.
 
     Tiers use the unrounded balance; the stored balance is rounded to 2.
@@ -142,7 +161,7 @@ def stage_activity(raw_activity: DataFrame, raw_customers: DataFrame, cfg: Churn
     first = (anchors if anchors is not None else join_anchors(raw_customers, cfg)).select(
         "customer_id", "first_join_date")
     # Inner join with one row per known id = EXISTS filter + date lookup.
-    a = skew_join(raw_activity, first, "customer_id", "inner")
+    a = skew_join(raw_activity, first, "customer_id", "inner", hot)
     return a.select(
         "customer_id",
         F.round(bal, 2).alias("avg_monthly_balance"),
@@ -160,9 +179,9 @@ def stage_activity(raw_activity: DataFrame, raw_customers: DataFrame, cfg: Churn
     )
 
 
-def analysis_base(customers: DataFrame, activity: DataFrame) -> DataFrame:
+def analysis_base(customers: DataFrame, activity: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Customers joined to their activity: the base of every analysis query."""
     c = customers.select(*[x for x in BASE_COLUMNS if x in customers.columns])
     a = activity.select("customer_id", *[x for x in BASE_COLUMNS if x in activity.columns and x != "customer_id"])
-    return skew_join(a, c, "customer_id", "inner").select(*BASE_COLUMNS)
+    return skew_join(a, c, "customer_id", "inner", hot).select(*BASE_COLUMNS)
 

@@ -17,24 +17,29 @@ among them read co-located buckets without a shuffle. Tables that may hold
 many rows for one customer (activity, products, and what is built from
 them) are written unbucketed: a hot customer would make one bucket, and
 every later task reading it, hold that customer's share of the table.
-Their joins go through ``skew_join`` instead.
+Their joins go through ``skew_join`` instead, with the hot keys that were
+observed while the layer was written. The counting checks of the raw tables are
+observed in the same way while the exports are loaded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit.config import FIXTURE, ChurnConfig
-from churnkit.operators import model
+from churnkit.operators import model, segments
+from churnkit.operators.joins import HotKeys, key_metrics, observed_keys
+from churnkit.operators.ordering import quantile_sketches
 from churnkit.plans import staging
-from churnkit.session import materialize, materialize_bucketed, scratch_path
+from churnkit.plans.profile import profile_metrics
+from churnkit.session import materialize, materialize_bucketed, materialize_observed, recorded, remove_scratch, Scratch, scratch_path
 from churnkit.sources.csv import MALFORMED, read_raw_csv, write_raw_csv
 from churnkit.sources.fixtures import raw_tables
 from churnkit.sources.schemas import RAW_SCHEMAS
-from churnkit.sources.sinks import write_table
+from churnkit.sources.sinks import publish_tables
 
 
 class Warehouse:
@@ -46,6 +51,9 @@ class Warehouse:
         self.raw_paths = dict(raw_paths)
         self._buckets = buckets
         self._tables: dict[str, DataFrame] = {}
+        self._hot: dict[str, dict[str, HotKeys]] = {}
+        self._seen: dict[str, dict] = {}
+        self._made = Scratch()
 
     # -- construction -----------------------------------------------------
 
@@ -67,7 +75,9 @@ class Warehouse:
         for name, df in raw_tables(spark, sf_dir).items():
             paths[name] = f"{root}/{name}"
             write_raw_csv(df, paths[name])
-        return cls(spark, paths, cfg, buckets)
+        out = cls(spark, paths, cfg, buckets)
+        out._made.folders.append(root)  # the export is made for this warehouse
+        return out
 
     # Raw customer export per bucket of the one-row-per-customer tables.
     BUCKET_SOURCE_BYTES = 512 * 1024 * 1024
@@ -86,9 +96,26 @@ class Warehouse:
             self._buckets = max(1, -(-size // self.BUCKET_SOURCE_BYTES))
         return self._buckets
 
+    # -- layers, and what was observed while they were written --------------------
+
+    def _stored(self, name: str, df: DataFrame, keys: tuple[str, ...] = (), metrics: dict[str, Column] | None = None) -> DataFrame:
+        """Write a layer once; the hot values of ``keys`` and ``metrics`` are taken in the same pass."""
+        wanted = dict(metrics or {})
+        for key in keys:
+            wanted |= key_metrics(self.spark, key)
+        table, seen = materialize_observed(df, name, wanted)
+        self._hot[name] = {key: observed_keys(self.spark, seen, key) for key in keys}
+        self._seen[name] = seen
+        return table
+
+    def hot(self, name: str, key: str = "customer_id") -> HotKeys:
+        """The hot values of a stored layer's column."""
+        return self._hot[name][key]
+
     def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = build()
+            with recorded(self._made):
+                self._tables[name] = build()
         return self._tables[name]
 
     # -- raw ----------------------------------------------------------------
@@ -100,8 +127,17 @@ class Warehouse:
         Profiling checks and staging builds then read only the columns they
         use, instead of parsing the whole CSV again for each of them.
         """
-        return self._table(f"raw_{name}", lambda: materialize(
-            read_raw_csv(self.spark, self.raw_paths[name], RAW_SCHEMAS[name], self.multi_line, MALFORMED), f"raw-{name}"))
+        return self._table(f"raw_{name}", lambda: self._stored(f"raw-{name}", read_raw_csv(
+            self.spark, self.raw_paths[name], RAW_SCHEMAS[name], self.multi_line, MALFORMED), ("customer_id",), profile_metrics(name, self.cfg)))
+
+    def profile(self, name: str) -> dict[str, int | None]:
+        """The counts of ``profile_metrics``, taken while the table was loaded."""
+        self.loaded(name)
+        return {metric: self._seen[f"raw-{name}"][metric] for metric in profile_metrics(name, self.cfg)}
+
+    def raw_hot(self, name: str) -> HotKeys:
+        self.loaded(name)
+        return self.hot(f"raw-{name}")
 
     def raw(self, name: str) -> DataFrame:
         """The loaded raw table's own columns."""
@@ -109,43 +145,60 @@ class Warehouse:
 
     # -- staging -------------------------------------------------------------
 
-    def _by_customer(self, df: DataFrame, name: str, grouped: bool = False) -> DataFrame:
+    def _by_customer(self, df: DataFrame, name: str) -> DataFrame:
         """A table with one row per customer, bucketed by ``customer_id``."""
-        return materialize_bucketed(df, name, "customer_id", self.buckets, grouped)
+        return materialize_bucketed(df, name, "customer_id", self.buckets)
 
     def join_anchors(self) -> DataFrame:
         """Every raw customer id with its earliest join dates (one row per id)."""
         return self._table("join_anchors", lambda: self._by_customer(
-            staging.join_anchors(self.raw("customers"), self.cfg), "join-anchors", grouped=True))
+            staging.join_anchors(self.raw("customers"), self.cfg), "join-anchors"))
 
     def staging_customers(self) -> DataFrame:
         return self._table("stg_customers", lambda: self._by_customer(
-            staging.stage_customers(self.raw("customers"), self.cfg), "staging-customers", grouped=True))
+            staging.stage_customers(self.raw("customers"), self.cfg, self.raw_hot("customers")), "staging-customers"))
 
     def staging_products(self) -> DataFrame:
         return self._table("stg_products", lambda: materialize(
-            staging.stage_products(self.raw("products"), self.raw("customers"), self.cfg, self.join_anchors()),
+            staging.stage_products(self.raw("products"), self.raw("customers"), self.cfg, self.join_anchors(), self.raw_hot("products")),
             "staging-products"))
 
     def staging_activity(self) -> DataFrame:
-        return self._table("stg_activity", lambda: materialize(
-            staging.stage_activity(self.raw("activity"), self.raw("customers"), self.cfg, self.join_anchors()),
-            "staging-activity"))
+        return self._table("stg_activity", lambda: self._stored(
+            "staging-activity", staging.stage_activity(self.raw("activity"), self.raw("customers"), self.cfg, self.join_anchors(), self.raw_hot("activity")),
+            ("customer_id",)))
+
+    def activity_hot(self) -> HotKeys:
+        self.staging_activity()
+        return self.hot("staging-activity")
 
     def base(self) -> DataFrame:
-        return self._table("base", lambda: materialize(
-            staging.analysis_base(self.staging_customers(), self.staging_activity()), "base"))
+        return self._table("base", lambda: self._stored(
+            "base", staging.analysis_base(self.staging_customers(), self.staging_activity(), self.activity_hot()), ("customer_id",)))
+
+    def base_hot(self) -> HotKeys:
+        self.base()
+        return self.hot("base")
+
+    def rates(self) -> DataFrame:
+        """Rows and churned rows of the base by every key of the rate queries (``segments.rate_sets``), in one pass."""
+        return self._table("rates", lambda: materialize(segments.rate_sets(self.base(), staging.rate_keys()), "rates"))
+
+    def quantiles(self) -> DataFrame:
+        """Mergeable quantile sketches of the base's measures, in one pass (``ordering.quantile_sketches``)."""
+        return self._table("quantiles", lambda: materialize(quantile_sketches(
+            self.base(), staging.sketch_keys(), staging.SKETCHED), "quantiles"))
 
     # -- reporting model -------------------------------------------------------
 
     def holdings(self) -> DataFrame:
         return self._table("holdings", lambda: self._by_customer(
-            model.portfolio(self.staging_products(), self.cfg.product_names), "holdings", grouped=True))
+            model.portfolio(self.staging_products(), self.cfg.product_names), "holdings"))
 
     def churn_analysis(self) -> DataFrame:
         return self._table("churn_analysis", lambda: materialize(
             model.wide_table(self.staging_customers(), self.staging_activity(), self.holdings(),
-                             self.cfg.product_names), "churn-analysis"))
+                             self.cfg.product_names, self.activity_hot()), "churn-analysis"))
 
     def dim_customer(self) -> DataFrame:
         return self._table("dim_customer", lambda: self._by_customer(
@@ -160,9 +213,13 @@ class Warehouse:
             self.spark, self.cfg.calendar_start, self.cfg.calendar_end))
 
     def fact_churn(self) -> DataFrame:
-        return self._table("fact_churn", lambda: materialize(
-            model.fact_churn(self.staging_activity(), self.dim_customer(), self.dim_product()), "fact-churn"))
+        return self._table("fact_churn", lambda: self._stored(
+            "fact-churn", model.fact_churn(self.staging_activity(), self.dim_customer(), self.dim_product(), self.activity_hot()),
+            ("customer_key", "product_key")))
 
+    def fact_hot(self, key: str) -> HotKeys:
+        self.fact_churn()
+        return self.hot("fact-churn", key)
 
     # -- publishing ------------------------------------------------------------
 
@@ -177,10 +234,19 @@ class Warehouse:
         "staging.fact_churn": "fact_churn",
     }
 
-    def publish(self, root: str, fmt: str = "parquet") -> dict[str, str]:
-        """Write every finished table under ``root`` (one folder per table), replacing old versions."""
-        root = root.rstrip("/")
-        return {name: write_table(getattr(self, attr)(), f"{root}/{name}", fmt) for name, attr in self.PUBLISHED.items()}
+    def publish(self, root: str, fmt: str = "parquet", keep: int = 2) -> dict[str, str]:
+        """Write every finished table under ``root`` as one version and make it the current one (``sinks.publish_tables``)."""
+        return publish_tables(self.spark, {name: getattr(self, attr) for name, attr in self.PUBLISHED.items()}, root, fmt, keep)
+
+    def close(self) -> None:
+        """Forget the layers, and remove the catalog tables and folders that were made for them.
+
+        Published tables stay. Frames made from the layers can't be read any more.
+        """
+        self._tables.clear()
+        for key in [k for k, wh in _WAREHOUSES.items() if wh is self]:
+            del _WAREHOUSES[key]
+        remove_scratch(self.spark, self._made)
 
 
 _WAREHOUSES: dict[tuple, Warehouse] = {}

@@ -14,8 +14,13 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+from churnkit.sources.sinks import remove_folder
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -39,6 +44,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+@dataclass(eq=False)
+class Scratch:
+    """Intermediate tables: names of bucketed ones in the catalog, and folders."""
+
+    tables: list[str] = field(default_factory=list)
+    folders: list[str] = field(default_factory=list)
+
+
+_RECORDERS: list[Scratch] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of this application (a shared path on a cluster)."""
     sc = spark.sparkContext
@@ -55,38 +71,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/churnkit/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/churnkit/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _RECORDERS:
+        made.folders.append(path)
+    return path
 
 
 def _table_name(path: str) -> str:
     return "churnkit_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
 
 
-def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int, grouped: bool = False) -> DataFrame:
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Write ``df`` as a table bucketed and sorted by ``key``; return a scan of it.
 
     Tables bucketed the same way on the same key join and aggregate on it
     without a shuffle. Rows are first hash-partitioned into ``buckets``
     partitions (the bucketing hash), so each bucket is one file.
-
-    ``grouped`` says that ``df`` comes out of an aggregation by ``key``. That
-    aggregation's own shuffle is then the hash partitioning: it is run with
-    ``buckets`` partitions, and there is no second one. (Were its partitions
-    others, a bucket would be several files, with the same rows.)
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = _table_name(path)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    if grouped:
-        spark.conf.set("spark.sql.shuffle.partitions", str(buckets))
-    else:
-        df = df.repartition(buckets, key)
+    rows = df.repartition(buckets, key)
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    for made in _RECORDERS:
+        made.tables.append(table)
+    return spark.table(table)
+
+
+@contextmanager
+def recorded(into: Scratch) -> Iterator[None]:
+    """Note in ``into`` which intermediate tables are made meanwhile."""
+    _RECORDERS.append(into)
     try:
-        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        yield
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    return spark.table(table)
+        _RECORDERS.remove(into)
+
+
+def remove_scratch(spark: SparkSession, made: Scratch) -> None:
+    """Remove recorded tables from the catalog, and the folders of all that was recorded."""
+    while made.tables:
+        spark.sql(f"DROP TABLE IF EXISTS {made.tables.pop()}")
+    while made.folders:
+        remove_folder(spark, made.folders.pop())
+
+
+def materialize_observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``materialize``, with aggregates over the rows taken while they are written (no further pass)."""
+    seen = Observation()
+    return materialize(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name), seen.get
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

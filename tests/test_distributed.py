@@ -1,7 +1,7 @@
 """The correctness gate once more on the paths of large tables: many sort partitions, hot keys split off.
 
 At test size Spark would merge every sort into one partition, and no key is
-hot. Here merging is off and 400 keys of every ``skew_join`` count as hot.
+hot. Here merging is off and every key that a layer's sketch names counts as hot.
 """
 
 from collections import Counter
@@ -28,12 +28,11 @@ def forced(spark):
     conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k, None) for k in conf}
     seen = {"splits": 0, "partitions": []}
-    real_ordered, real_keys = ordering._ordered, joins.hot_keys
+    real_ordered, real_table, settings = ordering._ordered, joins.HotKeys.table, (joins.HOT_PER_PARTITION, joins.HOT_MIN_ROWS)
 
-    def hot_keys(df, key, **_):
-        keys = df.select(key).filter(f"{key} IS NOT NULL").distinct().orderBy(key).limit(400).collect()
-        seen["splits"] += bool(keys)
-        return [r[0] for r in keys]
+    def table(self, *args):
+        seen["splits"] += 1
+        return real_table(self, *args)
 
     def ordered(*args, **kwargs):
         out = real_ordered(*args, **kwargs)
@@ -42,9 +41,11 @@ def forced(spark):
 
     for k, v in conf.items():
         spark.conf.set(k, v)
-    joins.hot_keys, ordering._ordered = hot_keys, ordered
+    joins.HotKeys.table, ordering._ordered = table, ordered
+    joins.HOT_PER_PARTITION, joins.HOT_MIN_ROWS = 10_000, 0  # so every key the sketch names is hot
     yield Warehouse.from_fixtures(spark, SF, FIXTURE, buckets=4), seen
-    joins.hot_keys, ordering._ordered = real_keys, real_ordered
+    joins.HotKeys.table, ordering._ordered = real_table, real_ordered
+    joins.HOT_PER_PARTITION, joins.HOT_MIN_ROWS = settings
     for k, v in before.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 

@@ -78,7 +78,7 @@ def test_one_row_per_customer_tables_join_without_shuffle(spark, wh):
 
 
 def test_skew_join_equals_plain_join_and_broadcasts_hot_keys(spark):
-    from churnkit.operators.joins import hot_keys, skew_join
+    from churnkit.operators.joins import HotKeys, hot_keys, skew_join
 
     big = spark.range(0, 6000).select(
         F.when(F.col("id") % 3 == 0, F.lit("HOT")).when(F.col("id") % 7 == 0, F.lit(None))
@@ -87,15 +87,35 @@ def test_skew_join_equals_plain_join_and_broadcasts_hot_keys(spark):
     other = spark.range(0, 600).select(
         F.when(F.col("id") == 0, F.lit("HOT")).otherwise(F.concat(F.lit("K"), F.col("id").cast("string"))).alias("k"),
         (F.col("id") * 10).alias("w"))
-    assert hot_keys(big, "k", fraction=1.0, min_count=1000) == ["HOT"]
+    hot = hot_keys(big, "k", min_rows=1000)
+    assert [k for k, _ in hot.rows] == ["HOT"]
     for how in ("inner", "left", "left_semi", "left_anti"):
-        got = skew_join(big, other, "k", how, fraction=1.0, min_count=1000)
+        got = skew_join(big, other, "k", how, hot)
         want = big.join(other, "k", how)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
-    p = plan(skew_join(big, other, "k", "inner", hot=["HOT"]))
-    assert "BroadcastHashJoin" in p and "Union" in p
+    p = plan(skew_join(big, other, "k", "inner", hot=HotKeys((("HOT", 4),))))
+    assert "BroadcastHashJoin" in p and "Union" not in p
 
 
 def test_dedupe_combines_before_the_shuffle(wh):
-    p = plan(staging.dedupe_customers(wh.raw("customers")))
-    assert p.index("partial_min") > p.index("Exchange hashpartitioning(customer_id")
+    """All rows meet one hash aggregate of the ids; only rows of repeated ids are ordered, the best of each task first."""
+    p = plan(staging.dedupe_customers(wh.raw("customers"), wh.raw_hot("customers")))
+    assert "partial_count" in p and "HashAggregate" in p and "SortAggregate" not in p
+    assert p.count("WindowGroupLimit") == 2  # before the shuffle and after it
+
+
+def test_rates_come_from_one_pass_over_the_base(wh):
+    from churnkit.plans import staging as st
+    from churnkit.operators import segments
+
+    p = plan(segments.rate_sets(wh.base(), st.rate_keys()))
+    assert p.count("FileScan parquet") == 1 and "Expand" in p
+
+
+def test_counting_checks_read_nothing_after_the_load(wh):
+    from churnkit.plans.queries import QUERIES
+
+    for name in ("l_04_raw_row_counts", "dq_01_customer_rows", "dq_02_customer_nulls", "dq_06_future_join_dates", "dq_07_income_validity", "dq_08_null_account_status",
+                 "dq_09_product_rows", "dq_11_null_product_status", "dq_12_open_before_inception", "dq_14_activity_rows", "dq_15_activity_nulls",
+                 "dq_18_churn_date_integrity", "dq_19_credit_score_range"):
+        assert "FileScan" not in plan(QUERIES[name](wh)), name

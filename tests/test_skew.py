@@ -42,13 +42,11 @@ def _pipeline(spark):
 
 
 def test_hot_customer_results_match_plain_joins(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_MIN_SAMPLE_COUNT", 10**9)  # hot-key path off
-    plain = _pipeline(spark)
-    monkeypatch.setattr(joins, "HOT_SAMPLE_FRACTION", 1.0)
-    monkeypatch.setattr(joins, "HOT_MIN_SAMPLE_COUNT", 30)  # C0 is hot in activity and products
+    plain = _pipeline(spark)  # far too few rows for a hot key
+    monkeypatch.setattr(joins, "HOT_MIN_ROWS", 30)  # C0 is hot in activity and products
     rc, rp, ra = _raw(spark)
-    assert joins.hot_keys(ra, "customer_id") == ["C0"]
-    assert joins.hot_keys(rp, "customer_id") == ["C0"]
+    assert [k for k, _ in joins.hot_keys(ra, "customer_id").rows] == ["C0"]
+    assert [k for k, _ in joins.hot_keys(rp, "customer_id").rows] == ["C0"]
     split = _pipeline(spark)
     assert split == plain
     assert len(plain["activity"]) == 100 and len(plain["base"]) == 100
@@ -67,6 +65,41 @@ def test_dedupe_of_a_hot_key_keeps_the_lowest_income(spark):
 def test_skew_join_keeps_null_keys_like_a_plain_join(spark, how):
     big = spark.createDataFrame([("H", 1)] * 50 + [(None, 2), ("A", 3)], "k string, v int")
     other = spark.createDataFrame([("H", 10), ("A", 30), (None, 99)], "k string, w int")
-    got = sorted(map(tuple, joins.skew_join(big, other, "k", how, hot=["H"]).collect()), key=str)
+    got = sorted(map(tuple, joins.skew_join(big, other, "k", how, hot=joins.HotKeys((("H", 3),))).collect()), key=str)
     want = sorted(map(tuple, big.join(other, "k", how).collect()), key=str)
     assert got == want
+
+
+def test_a_stored_layer_observes_its_hot_keys_in_the_same_pass(spark):
+    from churnkit.session import materialize_observed
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("H")).when(F.col("id") % 3 == 1, F.concat(F.lit("K"), "id")).alias("k"))
+    table, seen = materialize_observed(rows, "observed", {**joins.key_metrics(spark, "k"), "n": F.count(F.lit(1))})
+    assert table.count() == seen["n"] == 60_000
+    (hot,) = joins.observed_keys(spark, seen, "k").rows
+    assert hot[0] == "H" and hot[1] >= 4  # 20,000 of 40,000 rows over 8 partitions
+    (same,) = joins.hot_keys(table, "k").rows
+    assert same == hot
+
+
+@pytest.mark.parametrize("hot", [None, "K"])
+def test_dedupe_in_two_phases_matches_a_window(spark, hot):
+    from pyspark.sql import Window
+
+    rows = [("K", i % 7, str(i)) for i in range(300)] + [(f"A{i}", i, "x") for i in range(50)] + [(None, 3, "c"), (None, None, "b"), ("Z", None, "q"), ("Z", None, "p"), ("Z", 1, "a")]
+    rows += [("E", 1, "same")] * 3
+    df = spark.createDataFrame(rows, "k string, v int, w string").repartition(5)
+    w = Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first(), F.col("w").asc_nulls_first())
+    want = df.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    got = dedupe_first(df, ["k"], [F.col("v")], joins.HotKeys(((hot, 4),)) if hot else None)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_join_with_a_hot_key_reads_each_side_once(spark, tmp_path):
+    spark.range(5000).selectExpr("if(id % 2 = 0, 'H', concat('K', id)) AS k", "id").write.parquet(str(tmp_path / "big"))
+    spark.range(600).selectExpr("if(id = 0, 'H', concat('K', id)) AS k", "id * 10 AS w").write.parquet(str(tmp_path / "other"))
+    big, other = (spark.read.parquet(str(tmp_path / n)) for n in ("big", "other"))
+    joined = joins.skew_join(big, other.groupBy("k").agg(F.sum("w").alias("w")), "k", hot=joins.HotKeys((("H", 5),)))
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "Union" not in plan
+    assert joined.count() == big.join(other, "k").count()

@@ -1,5 +1,7 @@
 """Raw CSV layer: exact round trip of blanks, quotes and NULLs; streaming load."""
 
+import os
+
 import pytest
 
 from churnkit.session import scratch_path
@@ -120,3 +122,42 @@ def test_every_query_runs_on_empty_exports(spark):
     assert counts["eda_01_overall_rate"] == 1  # a global aggregate over no rows is one row
     assert counts["eda_26_balance_deciles"] == 0
     assert counts["eda_27_outlier_sensitivity"] == 2
+
+
+def test_a_publish_that_fails_half_way_leaves_the_old_set(spark, tmp_path):
+    from churnkit.sources.sinks import manifest, publish_tables, read_published
+
+    root = str(tmp_path / "published")
+
+    def both(n):
+        return {name: lambda n=n: spark.range(n) for name in ("a", "b")}
+
+    def fails():
+        raise RuntimeError("half way")
+
+    assert manifest(spark, root) is None
+    publish_tables(spark, both(3), root)
+    before = manifest(spark, root)
+    with pytest.raises(RuntimeError):
+        publish_tables(spark, both(5) | {"b": fails}, root)
+    assert manifest(spark, root) == before
+    assert [read_published(spark, root, n).count() for n in ("a", "b")] == [3, 3]
+    for n in (6, 7, 8):
+        publish_tables(spark, both(n), root)
+        assert [read_published(spark, root, t).count() for t in ("a", "b")] == [n, n]
+    assert len(list((tmp_path / "published" / "versions").iterdir())) == 2  # the current one and the one before it
+
+
+def test_close_leaves_no_table_or_layer_behind(spark):
+    from churnkit.config import FIXTURE
+    from churnkit.plans.warehouse import Warehouse, fixture_warehouse
+
+    other = fixture_warehouse(spark, "/root/testdata/sf0.001").staging_customers()
+    wh = Warehouse.from_fixtures(spark, "/root/testdata/sf0.001", FIXTURE)
+    wh.dim_customer()
+    tables, folders = list(wh._made.tables), [f.removeprefix("file:") for f in wh._made.folders]
+    assert tables and all(spark.catalog.tableExists(t) for t in tables) and all(os.path.exists(f) for f in folders)
+    wh.close()
+    assert not any(spark.catalog.tableExists(t) for t in tables)
+    assert not any(os.path.exists(f) for f in folders)
+    assert other.count() > 0  # another warehouse's layers stay
