@@ -89,6 +89,7 @@ def test_publish_writes_every_finished_table(spark):
 def test_command_line_run_over_csv_exports(spark, capsys):
     from churnkit.__main__ import main
     from churnkit.plans.warehouse import Warehouse
+    from churnkit.sources.sinks import read_published
 
     fx = Warehouse.from_fixtures(spark, "/root/testdata/sf0.001")  # writes the three CSV exports
     out = scratch_path(spark, "cli-out")
@@ -98,7 +99,7 @@ def test_command_line_run_over_csv_exports(spark, capsys):
                  "--show", "eda_01_overall_rate"]) == 0
     assert "eda_01_overall_rate" in capsys.readouterr().out
     rate = spark.read.parquet(f"{out}/reports/eda_01_overall_rate").first()
-    assert rate["total_customers"] == spark.read.parquet(f"{out}/staging.churn_analysis").count()
+    assert rate["total_customers"] == read_published(spark, out, "staging.churn_analysis").count()
     counts = [r["count"] for r in spark.read.parquet(f"{out}/reports/dq_10_product_variants").collect()]
     assert len(counts) > 1 and counts == sorted(counts, reverse=True)
     log = spark.read.parquet(f"{out}/reports/dq_00_quality_log")
