@@ -52,8 +52,8 @@ def _partitions(spark: SparkSession) -> int:
 
 def key_metrics(spark: SparkSession, key: str) -> dict[str, Column]:
     """Aggregates that find the hot values of ``key``, for ``DataFrame.observe`` or ``agg``; bounded in memory."""
-    most = min(HOT_PER_PARTITION * _partitions(spark), 1 << 16)
-    tracked = min(max(1024, 16 * most), 1 << 20)
+    most = min(HOT_PER_PARTITION * _partitions(spark), 50_000)
+    tracked = min(max(1024, 16 * most), 1_000_000)  # the most that approx_top_k takes
     return {f"rows_with_{key}": F.count(key), f"hot_{key}": F.expr(f"approx_top_k(`{key}`, {most}, {tracked})")}
 
 

@@ -42,7 +42,7 @@ def forced(spark):
     for k, v in conf.items():
         spark.conf.set(k, v)
     joins.HotKeys.table, ordering._ordered = table, ordered
-    joins.HOT_PER_PARTITION, joins.HOT_MIN_ROWS = 10_000, 0  # so every key the sketch names is hot
+    joins.HOT_PER_PARTITION, joins.HOT_MIN_ROWS = 400, 0  # so every key the sketch names is hot
     yield Warehouse.from_fixtures(spark, SF, FIXTURE, buckets=4), seen
     joins.HotKeys.table, ordering._ordered = real_table, real_ordered
     joins.HOT_PER_PARTITION, joins.HOT_MIN_ROWS = settings
