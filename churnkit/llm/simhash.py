@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnkit.session import materialize
@@ -211,13 +211,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id (then the smallest hash of the text)."""
+    """``docs`` with one row of each component, that of the smallest doc_id (then the smallest hash of the text).
+
+    The helper column is longer than every name of ``docs``, so it clashes with none.
+    """
+    row = "row" + "_" * max(len(c) for c in docs.columns)
     found = near_duplicates(docs, shingle, distance)
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    chosen = found.groupBy("root").agg(F.min(F.struct(ident.alias("_id"), F.col("mark").alias("_mark"))).alias("row")).select("row.*")
-    marked = docs.withColumns({"_id": ident, "_mark": F.xxhash64("text")}).join(chosen.distinct(), ["_id", "_mark"], "left_semi")
-    again = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("_mark"))  # equal rows
-    return marked.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+
+    def place(mark: Column) -> Column:
+        return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), mark.alias("mark"))
+
+    chosen = found.groupBy("root").agg(F.min(place(F.col("mark"))).alias(row)).select(row).distinct()
+    marked = docs.withColumn(row, place(F.xxhash64("text"))).join(chosen, row, "left_semi")
+    again = F.row_number().over(Window.partitionBy(row).orderBy(row))  # equal rows
+    return marked.select(*docs.columns, F.struct(again.alias("again")).alias(row)).filter(F.col(row)["again"] == 1).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

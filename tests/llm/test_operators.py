@@ -129,6 +129,14 @@ def test_one_of_each(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    names = ["_id", "_mark", "_again", "row", "root", "id", "mark", "component_id", "fp"]
+    rows = [(1, "some words of a text", *range(77, 86)), (1, "some words of a text", *range(77, 86)), (2, "quite other things in here", *range(90, 99)), (3, "some words of a text", *range(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)).repartition(3)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and _sorted(kept.collect()) == [rows[0], rows[2]]
+
+
 def test_secret_scan(spark, empty):
     extra = [
         (7001, "id ABCDEFGH12345678 key wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1 at https://s3.example.com/x token=secret=abcdefgh token=token:abcdefg"),
