@@ -313,6 +313,21 @@ def test_topk(spark):
     assert topk.top_k(ints.limit(0), ints.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_ids(spark):
+    """Every row is a query and a candidate of its own, whatever its id."""
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.integers(-3, 4, 4).tolist()) for i in (*range(0, 40), 0, 0, 50, 50, 50, 7, 7)]
+    rows += [(50, [2, 2, 2, 2])] * 9 + [(0, rows[0][1])] + [(3, [3, 3, 3, 3])] * 200
+    ints = topk.integer_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>").repartition(3))
+    found = topk.top_k(ints, ints.filter("vec_id % 50 = 0"), k=5, block_rows=8, group_rows=3).select("query_id", "rank", "vec_id", "score")
+    want = []
+    for q, (own, a) in enumerate(rows):
+        if own % 50 == 0:
+            scores = sorted((-65536 * sum(x * y for x, y in zip(a, b, strict=True)), i) for c, (i, b) in enumerate(rows) if c != q)
+            want += [(own, r + 1, i, -score) for r, (score, i) in enumerate(scores[:5])]
+    assert _sorted(found.collect()) == sorted(want)
+
+
 def test_topk_of_empty_vectors(spark):
     rows = [(0, []), (3, []), (50, []), (51, [1.0]), (100, [2.0]), (101, None)]
     ints = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
