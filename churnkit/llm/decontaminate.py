@@ -12,18 +12,22 @@ covered. A document is contaminated by an item when its tiles cover at least
 
 The seeds join is a hash join against the benchmark's seed index. The
 benchmark is a stated test set, but its size is still checked: it is taken in
-blocks of at most about ``block_bytes``, one pass over the documents each,
-so a large benchmark costs passes, not memory. Documents are never shuffled.
+blocks of about ``block_bytes``, at least one item. Each block is one pass over
+the documents whose finds are written before the next one is read, so a large
+benchmark costs passes, and memory for one block. Texts are shuffled only to
+bring the finds of several blocks back to their rows.
 
 Edge cases: NULL or empty text shares nothing; an item of fewer than
-``shortest`` words is no evidence and matches nothing; equal items are judged
-each. Columns of the input stay; a column named ``leaks`` is replaced.
+``shortest`` words is matched whole, as a run of its own length; one without
+words matches nothing; equal items are judged
+each. Columns of the input stay, whatever their names; a column named ``leaks`` is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnkit.session import materialize
+
 from ._words import U64, Words, chunks, rolling, small_batches
 
 PUNCTUATION = bytes(32 if not (chr(c).isalnum() or c >= 128) else c for c in range(256))
@@ -59,6 +65,12 @@ class Index:
     item: np.ndarray
     place: np.ndarray
 
+    @staticmethod
+    def by_length(items: list[tuple[int, bytes | None]], shortest: int) -> list[Index]:
+        """One index of the items of ``shortest`` words or more, and one for each smaller number of words."""
+        sizes = np.minimum(np.diff(_words([t for _, t in items]).first), shortest)
+        return [Index.of([items[i] for i in np.flatnonzero(sizes == n).tolist()], int(n)) for n in np.unique(sizes[sizes > 0])]
+
     @staticmethod
     def of(items: list[tuple[int, bytes | None]], shortest: int) -> Index:
         words = _words([t for _, t in items])
@@ -139,31 +151,78 @@ def leaks_of(index: Index, texts: list[bytes | None], coverage: float) -> list[l
     return out
 
 
+LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.LongType())]))
+
+
+def _search(indexes: list[Index], coverage: float, text: str, into: str):
+    """Batches with the column ``into`` filled with the leaks of the column ``text``."""
+
+    def run(batches):
+        for batch in batches:
+            texts = (t.as_py() for t in batch.column(text).cast(pa.binary()))
+            found = []
+            for part in chunks(texts, lambda t: len(t or b"") + 64):
+                found += [sum(several, []) for several in zip(*(leaks_of(index, part, coverage) for index in indexes), strict=True)] if indexes else [[] for _ in part]
+            yield batch.append_column(into, pa.array(found, pa.list_(LEAK)))
+
+    return run
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, shortest: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with ``leaks``: array of (item_id, coverage, tiles) of the items that contaminate a document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.LongType())]))
-    kept = small_batches(docs).drop("leaks")
-    out = kept.withColumn("leaks", F.array().cast(kind))
-    schema = T.StructType([*kept.schema.fields, T.StructField("leaks", kind)])
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        index = Index.of([(r["item_id"], r["text"]) for r in block], shortest)
 
-        def run(batches, index=index):
-            for batch in batches:
-                texts = (t.as_py() for t in batch.column("text").cast(pa.binary()))
-                found = [x for part in chunks(texts, lambda t: len(t or b"") + 64) for x in leaks_of(index, part, coverage)]
-                at = batch.schema.get_field_index("leaks")
-                before = batch.column(at).to_pylist()
-                yield batch.set_column(at, "leaks", pa.array([x + y for x, y in zip(before, found, strict=True)], pa.list_(LEAK)))
+    def indexes(b: int) -> list[Index]:
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        return Index.by_length([(r["item_id"], r["text"]) for r in block], shortest)
 
-        out = out.mapInArrow(run, schema)
-    return out
+    kept = small_batches(docs).drop("leaks")
+    if blocks == 1:
+        return kept.mapInArrow(_search(indexes(0), coverage, "text", "leaks"), T.StructType([*kept.schema.fields, T.StructField("leaks", LEAKS)]))
+    row = "row" + "_" * max(len(c) for c in docs.columns)  # longer than every name of the documents
+    numbered = materialize(kept.withColumn(row, F.monotonically_increasing_id()), "leaks-documents")
+    texts = small_batches(numbered.select(row, F.col("text").alias("text")))
+    found = [
+        materialize(texts.mapInArrow(_search(indexes(b), coverage, "text", "leaks"), f"{row} long, text string, leaks {LEAKS.simpleString()}").filter(F.size("leaks") > 0).select(row, "leaks"), f"leaks-{b}")
+        for b in range(blocks)
+    ]
+    every = reduce(DataFrame.unionByName, found).groupBy(row).agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    return numbered.join(every, row, "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS))).drop(row)
 
 
 def digest(found: DataFrame) -> DataFrame:
     """One row per contaminated document and item."""
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def brute_force(rows: list[tuple], items: list[tuple], coverage: float = 0.8, shortest: int = 5) -> list[tuple]:
+    """(doc_id, item_id, coverage) of the greedy tiling done by its definition, for tests."""
+
+    def words(text: str | None) -> list[bytes]:
+        return bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode().translate(PUNCTUATION)).split()
+
+    out = []
+    for doc_id, text in rows:
+        b = words(text)
+        for item_id, item in items:
+            a = words(item)
+            least = min(shortest, len(a))
+            used_a, used_b = set(), set()
+            while a:
+                n, i, j = 0, 0, 0
+                for x in range(len(a)):
+                    for y in range(len(b)):
+                        size = 0
+                        while x + size < len(a) and y + size < len(b) and a[x + size] == b[y + size] and x + size not in used_a and y + size not in used_b:
+                            size += 1
+                        if size > n:
+                            n, i, j = size, x, y
+                if n < least:
+                    break
+                used_a |= set(range(i, i + n))
+                used_b |= set(range(j, j + n))
+            if a and len(used_a) >= coverage * len(a):
+                out.append((doc_id, item_id, len(used_a) / len(a)))
+    return out

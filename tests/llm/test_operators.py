@@ -365,7 +365,7 @@ def test_decontamination(spark, empty):
     noise = [f"n{rnd.randint(0, 50)}" for _ in range(2000)]
     rows = [(1, " ".join(noise[:50] + item + noise[50:90])), (2, " ".join(noise + moved)), (3, " ".join(holes)), (4, " ".join(noise)), (5, None), (6, ""),
             (7, " ".join(item).upper().replace(" ", ", ")), (1, " ".join(item)), (None, " ".join(item)), (8, " ".join(item[:30]))]
-    items = spark.createDataFrame([(11, " ".join(item)), (12, "too short"), (13, None), (14, " ".join(item))], "item_id long, text string")
+    items = spark.createDataFrame([(11, " ".join(item)), (12, "too short"), (13, None), (15, " ."), (14, " ".join(item))], "item_id long, text string")
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, leaks int").repartition(3)
     want = sorted([(d, i) for d in (1, 1, 2, 7, 9999) for i in (11, 14)])
     for block_bytes in (1 << 20, 100):
@@ -376,6 +376,22 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_leaks(empty, items).count() == 0
 
 
+def test_decontamination_is_the_greedy_tiling(spark):
+    """Against the tiling by its definition: short items, repeated words, moved passages, several blocks, clashing names."""
+    rnd = random.Random(12)
+    vocabulary = ["a", "b", "c", "d", "Ünï"]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice((1, 2, 4, 5, 9, 25))))) for i in range(24)] + [(90, ""), (91, None), (92, "?!"), (93, "a " * 30)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice((0, 3, 20, 60))))) for i in range(25)]
+    rows += [(100 + i, f"x {items[i][1]} y, {items[i + 1][1].upper()}. z") for i in range(20)] + [(200, None), (201, "a " * 70), (3, rows[3][1])]
+    docs = spark.createDataFrame([(*r, "i", 5) for r in rows], "doc_id long, text string, item_id string, row int").repartition(3)
+    want = _sorted(decontaminate.brute_force(rows, items))
+    assert len({i for _, i, _ in want if i < 24}) > 12
+    for block_bytes in (1 << 20, 700):
+        found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+        assert found.columns == [*docs.columns, "leaks"] and found.count() == len(rows)
+        assert _sorted(decontaminate.digest(found).select("doc_id", "item_id", "coverage").collect()) == want
+
+
 def test_toxicity(spark):
     rnd = random.Random(8)
     bad, rows, labels = ["idiot", "loser", "moron"], [], []
