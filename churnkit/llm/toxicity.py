@@ -10,8 +10,10 @@ training part, the ``kept`` with the largest chi-squared are used. Each model
 is a ridge logistic regression, fitted by Newton steps.
 
 Training reads at most ``sample`` labelled documents (those with the smallest
-hashed id, so the choice does not depend on the partitions); that bound is
-why the fit may run on the driver. Labels of ids that no document has take no
+hashed id, so the choice does not depend on the partitions). Their features are
+counted and chosen by Spark; the driver gets only the chosen ones, at most
+``kept`` for each category and training part, however long the documents are.
+Labels of ids that no document has take no
 place in it, and repeated labels of one id count as one: in each category the
 answer of most of them, NULLs left out, a tie as yes. Every document is scored, by one pass
 without a shuffle. The threshold maximises F1 on the out-of-fold predictions.
@@ -26,10 +28,11 @@ names of the results are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,36 +91,26 @@ def _dense(rows: np.ndarray, ids: np.ndarray, n: int, chosen: np.ndarray) -> np.
     return x
 
 
-def _choose(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, use: np.ndarray, kept: int) -> np.ndarray:
-    on = use[rows]
-    found, inverse = np.unique(ids[on], return_inverse=True)
-    n, positive = use.sum(), y[use].sum()
-    total = np.bincount(inverse, minlength=len(found)).astype(float)
-    with_label = np.bincount(inverse, y[rows[on]], minlength=len(found))
-    expected = total * positive / n
-    chi = (with_label - expected) ** 2 / np.maximum(expected * (1 - total / n) * (1 - positive / n), 1e-9)
-    chi[(total < 3) | (chi < LEAST_CHI)] = 0
-    best = np.argsort(-chi, kind="stable")[:kept]
-    return np.sort(found[best[chi[best] > 0]])
-
-
 def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def fit_chain(rows: np.ndarray, ids: np.ndarray, fold: np.ndarray, labels: dict[str, np.ndarray], kept: int) -> list[Link]:
-    """rows, ids: (row, feature) pairs; fold: of each row; labels: 0, 1 or NaN of each row, in the order of the chain."""
+def fit_chain(rows: np.ndarray, ids: np.ndarray, fold: np.ndarray, labels: dict[str, np.ndarray], chosen_of: dict[tuple[str, int], np.ndarray]) -> list[Link]:
+    """rows, ids: (row, feature) pairs; fold: of each row; labels: 0, 1 or NaN of each row, in the order of the chain.
+
+    chosen_of: sorted features by category and the fold left out (``FOLDS``: none).
+    """
     n, chain = len(fold), []
     earlier = np.zeros((n, 0))
     for name, y in labels.items():
         known = ~np.isnan(y)
         y = np.nan_to_num(y)
 
-        def fit(use):
+        def fit(use, left_out):
             if use.sum() == 0 or y[use].min() == y[use].max():
                 rate = (y[use].sum() + 0.5) / (use.sum() + 1)
                 return np.empty(0, np.int64), np.concatenate((np.zeros(earlier.shape[1]), [np.log(rate / (1 - rate))]))
-            chosen = _choose(rows, ids, y, use, kept)
+            chosen = chosen_of[name, left_out]
             return chosen, fit_logistic(np.column_stack([_dense(rows, ids, n, chosen), earlier])[use], y[use])
 
         def predict(chosen, w):
@@ -125,8 +118,8 @@ def fit_chain(rows: np.ndarray, ids: np.ndarray, fold: np.ndarray, labels: dict[
 
         outside = np.zeros(n)
         for k in range(FOLDS):
-            outside[fold == k] = predict(*fit(known & (fold != k)))[fold == k]
-        chosen, w = fit(known)
+            outside[fold == k] = predict(*fit(known & (fold != k), k))[fold == k]
+        chosen, w = fit(known, FOLDS)
         p = 1 / (1 + np.exp(-outside[known]))
         order = np.argsort(-p, kind="stable")
         hits = np.cumsum(y[known][order])
@@ -159,12 +152,45 @@ def apply_chain(chain: list[Link], texts: list[bytes | None]) -> list[np.ndarray
 
 
 def _feature_task(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.int32()))])
     for batch in batches:
         for part in chunks(rows_of(batch, "doc_id", "text"), lambda r: len(r[1] or b"") + 64):
             rows, ids = features([r[1] for r in part])
-            cut = np.searchsorted(rows, np.arange(1, len(part)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([x.astype(np.int32).tobytes() for x in np.split(ids, cut)])], schema=schema)
+            begin = np.searchsorted(rows, np.arange(len(part) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), lists], schema=schema)
+
+
+def choose(seen: DataFrame, answers: list[str], kept: int) -> dict[tuple[int, int], np.ndarray]:
+    """By number of the category and fold left out (``FOLDS``: none): the ``kept`` features of largest chi-squared in the rest, sorted.
+
+    seen: fold, features and the columns ``answers`` of the training rows.
+    """
+    cells = [(i, y, f) for i, y in enumerate(answers) for f in range(FOLDS)]
+
+    def counts() -> list[Column]:
+        inside = [(i, f, (F.col("fold") == f) & F.col(y).isNotNull(), F.col(y)) for i, y, f in cells]
+        return [F.count(F.when(on, 1)).alias(f"n{i}_{f}") for i, f, on, _ in inside] + [F.count(F.when(on & (y == 1), 1)).alias(f"p{i}_{f}") for i, f, on, y in inside]
+
+    whole = seen.agg(*counts()).first()
+    by_feature = materialize(seen.select("fold", *answers, F.explode("features").alias("feature")).groupBy("feature").agg(*counts()), "feature-counts")
+    best = []
+    for i in range(len(answers)):
+        for left_out in range(FOLDS + 1):
+            used = [f for f in range(FOLDS) if f != left_out]
+            n, positive = (sum(whole[f"{c}{i}_{f}"] for f in used) for c in "np")
+            if not 0 < positive < n:
+                continue  # no class to tell apart
+            total, with_label = (sum((F.col(f"{c}{i}_{f}") for f in used), F.lit(0)).cast("double") for c in "np")
+            expected = total * float(positive) / float(n)
+            spread = F.greatest(expected * (1 - total / float(n)) * (1 - positive / n), F.lit(1e-9))
+            chi = (with_label - expected) * (with_label - expected) / spread
+            scored = by_feature.select("feature", total.alias("total"), chi.alias("chi")).filter((F.col("total") >= 3) & (F.col("chi") >= LEAST_CHI))
+            best.append(scored.orderBy(F.desc("chi"), "feature").limit(kept).select(F.lit(i).alias("category"), F.lit(left_out).alias("left_out"), "feature"))
+    found: dict[tuple[int, int], list[int]] = {(i, f): [] for i in range(len(answers)) for f in range(FOLDS + 1)}
+    for r in reduce(DataFrame.unionByName, best).collect() if best else []:  # at most kept * categories * (FOLDS + 1) rows
+        found[r["category"], r["left_out"]].append(r["feature"])
+    return {part: np.sort(np.array(ids, np.int64)) for part, ids in found.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], sample: int = 6000, kept: int = 512) -> list[Link]:
@@ -181,15 +207,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
         "labelled",
     )
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    seen = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_feature_task, "doc_id long, features binary").dropDuplicates(["doc_id"])
-    rows = sorted(seen.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).collect(), key=lambda r: r["doc_id"])
-    ids = [np.frombuffer(r["features"], np.int32) for r in rows]
+    seen = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_feature_task, "doc_id long, features array<int>").dropDuplicates(["doc_id"])
+    seen = materialize(seen.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))), "toxicity-sample")
+    best = choose(seen, answers, kept)
+    wanted = np.unique(np.concatenate(list(best.values())))
+    some = F.array(*map(F.lit, wanted.tolist())).cast("array<int>")
+    rows = sorted(seen.withColumn("features", F.array_intersect("features", some)).collect(), key=lambda r: r["doc_id"])
+    ids = [np.array(r["features"], np.int64) for r in rows]
     return fit_chain(
         np.repeat(np.arange(len(rows)), [len(i) for i in ids]) if rows else np.empty(0, np.int64),
-        np.concatenate(ids).astype(np.int64) if rows else np.empty(0, np.int64),
+        np.concatenate(ids) if rows else np.empty(0, np.int64),
         np.array([r["fold"] for r in rows], np.int64),
         {name: np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] for r in rows], float) for i, name in enumerate(categories)},
-        kept,
+        {(name, f): best[i, f] for i, name in enumerate(categories) for f in range(FOLDS + 1)},
     )
 
 

@@ -414,6 +414,36 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
+def test_chain_is_the_one_fitted_by_hand(spark):
+    """Feature choice and scores against plain dictionaries and loops."""
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice(["vile", "nasty"] if i % 4 == 0 and rnd.random() < 0.7 else [f"w{rnd.randint(0, 60)}" for _ in range(3)]) for _ in range(rnd.randint(1, 40)))) for i in range(400)]
+    labels = [(i, int(len(t) > 60), int(i % 4 == 0) if i % 9 else None) for i, t in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = 20
+    chain = toxicity.train(docs, marks, toxicity.CATEGORIES, kept=kept)
+    own = {i: set(toxicity.features([t.encode()])[1].tolist()) for i, t in rows}
+    for link, answer in zip(chain, ({i: 1 - q for i, q, _ in labels}, {i: t for i, _, t in labels if t is not None}), strict=True):
+        n, positive, chi = len(answer), sum(answer.values()), {}
+        for f in set().union(*(own[i] for i in answer)):
+            total = sum(f in own[i] for i in answer)
+            expected = total * positive / n
+            value = (sum(answer[i] for i in answer if f in own[i]) - expected) ** 2 / max(expected * (1 - total / n) * (1 - positive / n), 1e-9)
+            if total >= 3 and value >= toxicity.LEAST_CHI:
+                chi[f] = value
+        assert len(link.features) == min(kept, len(chi)) > 0
+        least = min(chi[f] for f in link.features.tolist())
+        assert all(v <= least * (1 + 1e-9) for f, v in chi.items() if f not in set(link.features.tolist()))
+    for r in toxicity.score(docs, chain).collect():
+        logits = []
+        for link in chain:
+            weight = dict(zip(link.features.tolist(), link.weights.tolist(), strict=False))
+            value = link.weights[-1] + sum(weight.get(f, 0) for f in own[r["doc_id"]]) + sum(a * b for a, b in zip(logits, link.weights[len(link.features):-1], strict=True))
+            logits.append(min(30, max(-30, value)))
+            p = 1 / (1 + np.exp(-logits[-1]))
+            assert abs(r[f"p_{link.name}"] - p) < 1e-9 and (r[link.name] == (p >= link.threshold) or abs(p - link.threshold) < 1e-9)
+
+
 def test_toxicity_sample_holds_distinct_present_documents(spark, monkeypatch):
     rows = [(i, f"w{i % 7} " + ("idiot" if i % 3 == 0 else "fine")) for i in range(60)]
     labels = [(i, 1, int(i % 3 == 0)) for i in range(60)] * 5 + [(i, 0, 1) for i in range(1000, 3000)]
