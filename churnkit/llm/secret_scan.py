@@ -2,7 +2,7 @@
 
 Base spans (code points, end excluded) come from three patterns: assigned
 passwords and keys, access identifiers, long hex strings. Weaker parts are
-collected beside them: identifiers (16 to 32 capitals and digits, both
+collected beside them: identifiers (16 or more capitals and digits, both
 present), secrets (32 to 64 key characters of high entropy) and endpoints
 (URLs). On its own a weak part is no finding. An interval join looks, within
 ``scope`` code points of one text, for an identifier and a secret; both are
@@ -46,7 +46,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
 KEY = "A-Za-z0-9+/_-"
-WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
+WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}+(?![A-Za-z0-9])")
 WEAK_SECRET = re.compile(rf"(?<![{KEY}])([{KEY}]{{26,}}+)(?:={{1,6}}+(?![{KEY}]))?")  # with its padding 32 at least
 NAME = re.compile(r"(?:[A-Z]+[0-9]{0,2}(?:[_-]+[A-Z]+[0-9]{0,2})+|[a-z]+[0-9]{0,2}(?:[_-]+[a-z]+[0-9]{0,2})+)")
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,}")

@@ -169,6 +169,15 @@ def test_secret_parts_link_at_every_offset(spark):
     assert all("endpoint" in r[-1] for r in found if r[0] >= 90_000)
 
 
+def test_weak_identifiers_of_any_length(spark):
+    secret, rnd = "abcdefGHIJ0123456789klmnopQRSTUVWXYZ4567", random.Random(3)
+    ids = [("9Q" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)))[:n] for n in (15, 16, 32, 33, 64, 4000)]
+    rows = [(i, f"{ident} {secret}") for i, ident in enumerate(ids)]
+    found = _sorted(secret_scan.digest(secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
+    assert [f"weak_id:0:{len(ident)}" in r[-1] for r, ident in zip(found, ids, strict=True)] == [False, *[True] * 5]
+    assert found == _sorted(secret_scan.brute_force(rows))
+
+
 def test_long_secret_parts_are_whole(spark):
     rnd = random.Random(11)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
