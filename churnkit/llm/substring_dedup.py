@@ -22,6 +22,9 @@ they are ordered after all others. A gram is frequent when it makes up
 ``1 / frequent_share`` of a sample, hence at most ``frequent_share`` grams,
 whatever the input. The order decides where windows meet, never the result.
 
+A bucket is one task's group, so their number grows with the bytes of the
+texts (``BUCKET_BYTES`` each, and at least four to a shuffle partition).
+
 Edge cases: NULL text has no words. A NULL id counts as larger than every
 other id. Rows with the same id never remove each other's words. Fewer words
 than ``window``: nothing to remove. Extra columns are ignored.
@@ -46,6 +49,7 @@ from ._words import U64, Words, chunks, mix, rolling, rows_of, small_batches
 
 LAST_ID = (1 << 63) - 1
 FLUSH_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20  # of texts; their strings are a few times as large
 RARE = U64((1 << 63) - 1)
 
 
@@ -109,16 +113,15 @@ def _to_buckets(window: int, m: int, buckets: int, frequent: np.ndarray):
     schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 
     def run(batches):
-        held: list[dict] = [{} for _ in range(buckets)]
+        held: dict[int, dict] = {}
         size = 0
 
         def flush():
-            full = [b for b in range(buckets) if held[b]]
+            full = sorted(held)
             for part in range(0, len(full), 64):
                 own = full[part:part + 64]
                 yield pa.RecordBatch.from_pydict({"bucket": own, "packed": [_pack(held[b]) for b in own]}, schema=schema)
-            for b in full:
-                held[b] = {}
+            held.clear()
 
         for rows in _texts(batches):
             words = Words([r[1] for r in rows])
@@ -127,7 +130,7 @@ def _to_buckets(window: int, m: int, buckets: int, frequent: np.ndarray):
             a, z = words.offset[first], words.offset[first + count + window - 1] - 1
             text = words.text
             for a_, z_, low_, bucket, d in zip(a.tolist(), z.tolist(), low.tolist(), (mix(low) % U64(buckets)).tolist(), doc.tolist(), strict=True):
-                packed, own = text[a_:z_], held[bucket]
+                packed, own = text[a_:z_], held.setdefault(bucket, {})
                 ident = rows[d][0]
                 if (old := own.get(packed)) is None:
                     own[packed] = (low_, ident, ident)
@@ -298,10 +301,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, m: int = 12, buckets: int
                    sample_fraction: float = 0.05) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (UTF-8 bytes of the kept words, joined by one space)."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.col("text").cast("binary").alias("text"),
                         F.xxhash64("text").alias("mark"), F.col("doc_id").cast("long").alias("doc_id"))
     source = texts.select("id", "text", "mark")
+    if buckets is None:
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     frequent = frequent_grams(source, m, frequent_share, sample_fraction)
     repeats = (
         source.mapInArrow(_to_buckets(window, m, buckets, frequent), "bucket int, packed binary")
@@ -314,7 +319,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, m: int = 12, buckets: int
         places.join(repeats, ["k1", "k2"])
         .filter(F.exists("firsts", lambda f: f < F.col("id")))
         .groupBy("id", "mark")
-        .agg(F.collect_list(F.struct("first", "counts", "firsts")).alias("repeats"))
+        .agg(F.collect_set(F.struct("first", "counts", "firsts")).alias("repeats"))  # equal rows have equal places
     )
     return texts.join(found, ["id", "mark"], "left").mapInArrow(_cut(window), KEPT)
 
