@@ -24,6 +24,7 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +122,7 @@ CONTEXT = {
     "id_number": "ssn|social|identity|passport",
 }
 CONTEXT_CHARS, CONTEXT_GAIN = 40, 0.3
+CHUNK, BLOCK = 256, 512
 SPAN = "struct<kind:string,start:int,end:int,hit:string>"
 
 
@@ -132,55 +134,122 @@ def _alternating(text: Column, kind: str, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS[kind])), pairs) if kind in NEEDS else pairs
 
 
+def _scan(items: Column, zero: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]], kind: str) -> Column:
+    """What ``step`` puts out at each element in turn; it gets the state and the element, and gives the new state and an array to put out.
+
+    Appending to one array costs its length every time, so parts of ``CHUNK`` elements are gathered first. ``items`` is looked up element by element: let it be a column or a bound value.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def inner(held: Column, at: Column) -> Column:
+        state, out = step(held, F.get(items, at))
+        return F.struct(*(state[c].alias(c) for c in zero), F.concat(held["out"], out).alias("out"))
+
+    def outer(held: Column, part: Column) -> Column:
+        places = F.sequence(part * CHUNK, F.least((part + 1) * CHUNK, F.size(items)) - 1)
+        begin = F.struct(*(held[c].alias(c) for c in zero), empty.alias("out"))
+        return F.aggregate(places, begin, inner, lambda h: F.struct(*(h[c].alias(c) for c in zero), F.concat(held["parts"], F.array(h["out"])).alias("parts")))
+
+    start = F.struct(*(v.alias(c) for c, v in zero.items()), F.array().cast(f"array<array<{kind}>>").alias("parts"))
+    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    return F.coalesce(F.when(F.size(items) > 0, F.aggregate(parts, start, outer, lambda held: F.flatten(held["parts"]))), empty)
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(text: Column) -> Column:
+    """A text cut every ``BLOCK`` code points, so that any place in it is found at once."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, begin: Column, end: Column) -> Column:
+    """The code points from ``begin`` to ``end`` (exclusive; the end of the text, if that is less)."""
+    first, last = F.floor(begin / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    whole = F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(blocks, i)), "")
+    return F.when(end > begin, F.substr(whole, begin - first * BLOCK + 1, end - begin)).otherwise("")
+
+
 def _placed(pairs: Column, kind: str, check: Check) -> Column:
     """Confirmed spans of alternating gaps and matches, none beginning within the one before."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
-    def step(held: Column, pair: Column) -> Column:
+    def step(held: Column, pair: Column) -> tuple[dict[str, Column], Column]:
         begin = held["at"] + pair["gap"]
         end = begin + F.length(pair["hit"])
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
         fine = F.coalesce(pair["hit"].isNotNull() & check(pair["hit"]), F.lit(False)) & (begin >= held["free"])
-        return F.struct((begin + 1 if kind in TRIED else F.coalesce(end, begin)).alias("at"), F.when(fine, end).otherwise(held["free"]).alias("free"),
-                        F.when(fine, F.concat(held["spans"], F.array(span))).otherwise(held["spans"]).alias("spans"))
+        state = {"at": begin + 1 if kind in TRIED else F.coalesce(end, begin), "free": F.when(fine, end).otherwise(held["free"])}
+        return state, F.when(fine, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return _scan(pairs, {"at": F.lit(0), "free": F.lit(0)}, step, SPAN)
+
+
+def _apart(added: Column, base: Column) -> Column:
+    """The added spans that overlap no base span, in their order: one pass in each direction over all of them by start."""
+    kinds = F.array(*(F.lit(k) for k, _, _, _ in ADDED))
+    event = "struct<start:int,added:int,end:int,rank:int,kind:string,score:double,hit:boolean>"
+
+    def events(spans: Column, is_added: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_added).alias("added"), s["end"].alias("end"), F.array_position(kinds, s["kind"]).cast("int").alias("rank"),
+                                                     s["kind"].alias("kind"), s["score"].alias("score"), F.lit(False).alias("hit")))
 
-    return F.coalesce(F.aggregate(pairs, start, step, lambda held: held["spans"]), F.array().cast(f"array<{SPAN}>"))
+    def forward(held: Column, e: Column) -> tuple[dict[str, Column], Column]:
+        hit = (e["added"] == 1) & (held["end"] > e["start"])
+        return {"end": F.when(e["added"] == 0, F.greatest(held["end"], e["end"])).otherwise(held["end"])}, F.array(e.withField("hit", hit))
+
+    def backward(held: Column, e: Column) -> tuple[dict[str, Column], Column]:
+        free = (e["added"] == 1) & ~e["hit"] & (held["start"] >= e["end"])
+        return {"start": F.when(e["added"] == 0, e["start"]).otherwise(held["start"])}, F.when(free, F.array(e)).otherwise(F.array().cast(f"array<{event}>"))
+
+    sorted_events = F.array_sort(F.concat(events(base, 0), events(added, 1)))
+    seen = _bound(sorted_events, lambda all_: F.reverse(_scan(all_, {"end": F.lit(0)}, forward, event)))
+    free = _bound(seen, lambda all_: _scan(all_, {"start": F.lit(2**31 - 1)}, backward, event))
+    in_order = F.array_sort(F.transform(free, lambda e: F.struct(e["rank"].alias("rank"), e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"), e["score"].alias("score"))))
+    apart = F.transform(in_order, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score")))
+    return F.when((F.size(added) > 0) & (F.size(base) > 0), apart).otherwise(added)
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.6, column: str = "text") -> DataFrame:
     """``docs`` with ``pii``: array of (kind, start, end, score), by kind as listed, then start."""
     kinds = BASE + ADDED
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    docs = docs.drop("pii", "_pii_text", "_pii_base", "_pii_added", *(f"_pii_{k}" for k, _, _, _ in kinds))
+    docs = docs.drop("pii", "_pii_text", "_pii_blocks", "_pii_base", "_pii_added", *(f"_pii_{k}" for k, _, _, _ in kinds))
     names = docs.columns
     pairs = docs.select("*", text.alias("_pii_text"), *(_alternating(text, k, p).alias(f"_pii_{k}") for k, p, _, _ in kinds))
     placed = pairs.select(*names, "_pii_text", *(_placed(F.col(f"_pii_{k}"), k, check).alias(f"_pii_{k}") for k, _, check, _ in kinds))
+    some = reduce(Column.__or__, (F.size(f"_pii_{k}") > 0 for k, _, _, _ in kinds))
+    placed = placed.select(*names, F.when(some, _blocks(F.col("_pii_text"))).alias("_pii_blocks"), *(f"_pii_{k}" for k, _, _, _ in kinds))
 
     def scored(kind: str, base: float) -> Column:
         def one(span: Column) -> Column:
-            begin = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-            near = F.lower(F.substr(F.col("_pii_text"), begin + 1, span["end"] - begin + CONTEXT_CHARS))
+            near = F.lower(_cut(F.col("_pii_blocks"), F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)), span["end"] + CONTEXT_CHARS))
             gain = F.when(near.rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
             return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.least(F.lit(base) + gain, F.lit(1.0)).alias("score"))
 
         return F.transform(f"_pii_{kind}", one)
 
     found = placed.select(*names, F.concat(*(scored(k, s) for k, _, _, s in BASE)).alias("_pii_base"), F.concat(*(scored(k, s) for k, _, _, s in ADDED)).alias("_pii_added"))
-    added = F.filter("_pii_added", lambda a: (a["score"] >= threshold) & ~F.exists("_pii_base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return found.select(*names, F.concat("_pii_base", added).alias("pii"))
+    found = found.select(*names, "_pii_base", F.filter("_pii_added", lambda a: a["score"] >= threshold).alias("_pii_added"))
+    return found.select(*names, F.concat("_pii_base", _apart(F.col("_pii_added"), F.col("_pii_base"))).alias("pii"))
 
 
 def mask(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in angle brackets; where spans overlap, the first stands for all."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    piece = "struct<at:int,start:int,kind:string>"
 
-    def step(held: Column, span: Column) -> Column:
-        gap = F.substr(text, held["at"] + 1, F.greatest(span["start"] - held["at"], F.lit(0)))
-        label = F.when(span["start"] >= held["at"], F.concat(gap, F.lit("<"), F.upper(span["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.concat(held["out"], label).alias("out"), F.greatest(held["at"], span["end"]).alias("at"))
+    def step(held: Column, span: Column) -> tuple[dict[str, Column], Column]:
+        out = F.array(F.struct(held["at"].alias("at"), span["start"].alias("start"), span["kind"].alias("kind")))
+        return {"at": F.greatest(held["at"], span["end"])}, F.when(span["start"] >= held["at"], out).otherwise(F.array().cast(f"array<{piece}>"))
 
-    return F.aggregate(ordered, start, step, lambda held: F.concat(held["out"], F.substr(text, held["at"] + 1)))
+    def labelled(blocks: Column, ordered: Column) -> Column:
+        pieces = F.transform(_scan(ordered, {"at": F.lit(0)}, step, piece), lambda p: F.concat(_cut(blocks, p["at"], p["start"]), F.lit("<"), F.upper(p["kind"]), F.lit(">")))
+        rest = F.coalesce(F.array_max(F.transform(ordered, lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(pieces, ""), _cut(blocks, rest, F.length(text)))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return _bound(_blocks(text), lambda blocks: _bound(ordered, lambda spans: labelled(blocks, spans)))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 
 import duckdb
 import numpy as np
@@ -68,6 +69,16 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_buckets_grow_with_the_bytes_and_equal_rows_count_once(spark, monkeypatch):
+    used, plain = [], substring_dedup._to_buckets
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(substring_dedup, "_to_buckets", lambda window, m, buckets, frequent: used.append(buckets) or plain(window, m, buckets, frequent))
+    rows = [*ROWS, *[(7, ROWS[200 % len(ROWS)][1])] * 300, *[(900, ROWS[43][1])] * 300]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert _sorted(substring_dedup.digest(substring_dedup.remove_repeats(table)).collect()) == _sorted(substring_dedup.brute_force(rows))
+    assert used == [-(-sum(len((t or "").encode()) for _, t in rows) // 1000)] and used[0] > 32
+
+
 def test_repeats_of_a_negative_and_a_null_id(spark):
     """Combined in one map task, with minimisers that occur nowhere else."""
     text = " ".join(f"v{i}" for i in range(80))
@@ -281,6 +292,39 @@ def test_iban_ends_before_capitals_and_numbers(spark):
     assert spans[3] == ",".join(f"iban:{a}:{z}" for a, z in places if not row.startswith("ES91", a))
 
 
+def test_pii_in_a_text_of_100_000_addresses(spark):
+    """Positions, context and overlaps cost about the length of the text, not the square of its spans."""
+    parts, want, at = [], [], 0
+    for i in range(100_000):
+        hit = f"é{i} " if i % 5 == 4 else f"user{i}@example{i % 7}.org"
+        parts.append(hit + (" call 555-123-4567, " if i % 10 == 0 else " "))
+        if i % 5 != 4:
+            want.append(("email", at, at + len(hit)))
+        if i % 10 == 0:
+            want.append(("local_phone", at + len(hit) + 6, at + len(hit) + 18))
+        at += len(parts[-1])
+    text = "".join(parts)
+    found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("pii", pii.mask(F.col("text"), F.col("pii")).alias("masked"))
+    begin = time.time()
+    row = found.first()
+    assert time.time() - begin < 60
+    assert [(s["kind"], s["start"], s["end"]) for s in row["pii"]] == sorted(want, key=lambda s: (s[0] != "email", s[1]))
+    assert row["masked"] == re.sub(r"555-123-4567", "<LOCAL_PHONE>", re.sub(r"user\d+@example\d\.org", "<EMAIL>", text))
+
+
+def test_added_spans_give_way_to_base_spans(spark):
+    rnd = random.Random(17)
+    pieces = ["a@b.example", "+1 555 123 4567", "555-123-4567", "123-45-6789", "4111 1111 1111 1111", "10.0.0.1", "call", "ssn", "x", "123-45-6789@b.example", "GB82 WEST 1234 5698 7654 32", "phone"]
+    rows = [(i, " ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 600)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, every = ({r["doc_id"]: [tuple(s) for s in r["pii"]] for r in pii.find_pii(docs, threshold=t).collect()} for t in (0.6, 0.0))
+    base = [k for k, _, _, _ in pii.BASE]
+    for i, _ in rows:
+        own = [s for s in every[i] if s[0] in base]
+        added = [s for s in every[i] if s[0] not in base]
+        assert kept[i] == own + [s for s in added if s[3] >= 0.6] and not any(a[1] < b[2] and b[1] < a[2] for a in added for b in own)
+
+
 def test_mask(spark):
     table = spark.createDataFrame([(1, "é a@b.c, +1 555 123 4567."), (2, "none"), (3, "")], "doc_id long, text string")
     found = pii.find_pii(table).select("doc_id", pii.mask(F.col("text"), F.col("pii")).alias("m"))
