@@ -204,6 +204,18 @@ def test_likeness_follows_edits_not_positions():
     assert kept == 4000 and 0.5 < fingerprints.likeness(own, fingerprints.Walk(changed).fingerprint()) < 0.85
 
 
+def test_walks_side_by_side():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab \u4e16\U0001f600") for _ in range(rnd.choice((0, 1, 5, 300, 2000)))) for _ in range(3 * fingerprints.SIDE_BY_SIDE)]
+    chars = [fingerprints.characters(t) for t in texts]
+    walks = fingerprints.Walk.of_many([(c, None, 0) for c in chars])
+    alone = [fingerprints.Walk(c) for c in chars]
+    assert [w.reached.tolist() for w in walks] == [w.reached.tolist() for w in alone]
+    assert fingerprints.prints(walks) == [w.fingerprint() for w in alone]
+    edits = [fingerprints.edited(a, b) for a, b in zip(chars, chars[1:] + chars[:1], strict=True)]
+    again = fingerprints.Walk.of_many([(c, w, kept) for (c, kept), w in zip(edits, walks, strict=True)])
+    assert [w.reached.tolist() for w in again] == [fingerprints.Walk(c).reached.tolist() for c, _ in edits]
+    assert fingerprints.Walk.of_many([]) == [] and fingerprints.prints([]) == []
 
 
 def test_with_successor(docs, empty, spark):
