@@ -2,7 +2,7 @@
 
     python -m churnkit --customers PATH --products PATH --activity PATH \\
         --out ROOT [--reference-date 2024-12-31] [--inception-date 2015-01-01] \\
-        [--buckets N] [--show eda_02_rate_by_province ...]
+        [--buckets N] [--fold-text] [--show eda_02_rate_by_province ...]
 
 Loads the three CSV exports, builds every layer, publishes the finished tables
 under ``--out`` as one version (``sinks.read_published`` reads the current one) and writes the quality log and every
@@ -34,11 +34,14 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--reference-date", default=BANK.reference_date)
     ap.add_argument("--inception-date", default=BANK.inception_date)
     ap.add_argument("--buckets", type=int, default=None)
+    ap.add_argument("--fold-text", action="store_true", help="compare text without regard to case and trailing spaces")
     ap.add_argument("--show", nargs="*", default=[])
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("churnkit").getOrCreate()
     cfg = BANK.with_dates(args.reference_date, args.inception_date)
+    if args.fold_text:
+        cfg = cfg.with_folded_text()
     wh = Warehouse.from_csv(spark, {"customers": args.customers, "products": args.products,
                                     "activity": args.activity}, cfg, args.buckets)
     out = args.out.rstrip("/")

@@ -169,6 +169,8 @@ class ChurnConfig:
     product_variants: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(PRODUCT_VARIANTS))
     branch_expansions: dict[str, str] = field(default_factory=lambda: dict(BRANCH_EXPANSIONS))
     outlier_balance: float = OUTLIER_BALANCE
+    #: Text compares without regard to case and trailing spaces (``functions.text.folded``).
+    fold_text: bool = False
 
     @property
     def product_names(self) -> tuple[str, ...]:
@@ -183,6 +185,9 @@ class ChurnConfig:
             calendar_end=reference_date,
         )
 
+    def with_folded_text(self) -> "ChurnConfig":
+        return replace(self, fold_text=True)
+
 
 BANK = ChurnConfig()
 

@@ -17,14 +17,20 @@ def normalized(c) -> Column:
     return F.upper(F.trim(as_col(c)))
 
 
-def map_values(c, variants: Mapping[str, Sequence[str]], default=None) -> Column:
+def folded(c) -> Column:
+    """The key under which text compares without regard to case and trailing spaces: equal keys, equal text."""
+    return F.upper(F.rtrim(as_col(c)))
+
+
+def map_values(c, variants: Mapping[str, Sequence[str]], default=None, key=normalized) -> Column:
     """Map normalised variants to a clean value; first matching entry wins.
 
     ``variants`` maps each clean value to the normalised spellings that mean
     it. Unmatched values (and NULL) get ``default``: a literal, or a Column
-    (pass the input column to keep unmatched values as they are).
+    (pass the input column to keep unmatched values as they are). ``key`` is
+    how the input is normalised.
     """
-    key = normalized(c)
+    key = key(c)
     out = None
     for clean, spellings in variants.items():
         cond = key.isin(list(spellings))

@@ -24,6 +24,7 @@ from churnkit.functions.dates import (
     year_month,
 )
 from churnkit.functions.metrics import pct
+from churnkit.functions.text import folded, map_values
 from churnkit.operators.joins import HotKeys, skew_join
 from churnkit.operators.ordering import rank_rows
 
@@ -44,10 +45,12 @@ def holding_flag_name(product: str) -> str:
     return "has_" + product.lower().replace(" ", "_")
 
 
-def portfolio(products: DataFrame, product_names: Sequence[str]) -> DataFrame:
-    """Per customer: products held, active, closed, and a 0/1 flag per product."""
+def portfolio(products: DataFrame, product_names: Sequence[str], fold: bool = False) -> DataFrame:
+    """Per customer: products held, active, closed, and a 0/1 flag per product. ``fold``: see ``functions.text.folded``."""
     status = F.col("product_status")
     name = F.col("product_name")
+    if fold:
+        status = map_values("product_status", {s: (s.upper(),) for s in (PRODUCT_STATUS_ACTIVE, PRODUCT_STATUS_CLOSED)}, None, folded)
     return products.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_products"),
         F.count(F.when(status == PRODUCT_STATUS_ACTIVE, F.lit(1))).alias("active_products"),

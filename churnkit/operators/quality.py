@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnkit.functions.text import as_col
+from churnkit.functions.text import as_col, folded
 from churnkit.operators.joins import HotKeys, skew_join
 
 def row_count(df: DataFrame, name: str = "total_rows") -> DataFrame:
@@ -69,8 +69,18 @@ def pair_check(df: DataFrame, flag: Column, date: Column, on: str = "1", off: st
     })
 
 
-def value_counts(df: DataFrame, column: str | Column, name: str = "count", alias: str | None = None) -> DataFrame:
-    """Rows per distinct value (NULL is one value)."""
+def one_spelling(df: DataFrame, column: str, *aggs: Column, fold: bool = True) -> DataFrame:
+    """``aggs`` per distinct value of ``column``; with ``fold``, per folded value, shown in its smallest spelling."""
+    if not fold:
+        return df.groupBy(column).agg(*aggs)
+    groups = df.groupBy(folded(column).alias("_folded")).agg(F.min(column).alias(column), *aggs)
+    return groups.drop("_folded")
+
+
+def value_counts(df: DataFrame, column: str | Column, name: str = "count", alias: str | None = None, fold: bool = False) -> DataFrame:
+    """Rows per distinct value (NULL is one value); ``fold``, for a named column: see ``one_spelling``."""
+    if fold:
+        return one_spelling(df, column, F.count(F.lit(1)).alias(name))
     c = as_col(column)
     if alias:
         c = c.alias(alias)
@@ -140,9 +150,9 @@ def known_row(spark: SparkSession, values: Mapping[str, int | None]) -> DataFram
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"`{n}` long" for n in values))
 
 
-def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Number of distinct values of ``column``, NULL counted as one value."""
-    return df.groupBy(column).agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias(name))
+def distinct_count(df: DataFrame, column: str, name: str, fold: bool = False) -> DataFrame:
+    """Number of distinct values of ``column`` (with ``fold``, of folded values), NULL counted as one value."""
+    return df.groupBy(folded(column) if fold else F.col(column)).agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias(name))
 
 
 def before_anchor(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnkit import config as C
 from churnkit.config import ChurnConfig
-from churnkit.functions import date_lit, to_date, to_float, to_int_via_float
+from churnkit.functions import date_lit, folded, to_date, to_float, to_int_via_float
 from churnkit.sources.csv import MALFORMED
 
 CUSTOMER_NULLS = {
@@ -58,7 +58,7 @@ def profile_metrics(table: str, cfg: ChurnConfig) -> dict[str, Column]:
         return out | {"DQ-09.total_rows": rows} | _where(
             "DQ-11", {"null_product_status": F.col("product_status").isNull()}) | _where(
             "DQ-12", {"suspect_open_dates": to_date("open_date") < date_lit(cfg.inception_date)})
-    churned, date = F.col("churned"), F.col("churn_date")
+    churned, date = folded("churned") if cfg.fold_text else F.col("churned"), F.col("churn_date")
     known, score = to_float("credit_score").isNotNull(), to_int_via_float("credit_score")
     return out | {"DQ-14.total_rows": rows} | _nulls("DQ-15", ACTIVITY_NULLS) | _where("DQ-18", {
         "churned_with_date": (churned == "1") & date.isNotNull(), "not_churned_without_date": (churned == "0") & date.isNull(),

@@ -143,12 +143,12 @@ def dq_duplicate_rows(wh: Warehouse) -> DataFrame:
 
 @query("dq_04_gender_variants")
 def dq_gender_variants(wh: Warehouse) -> DataFrame:
-    return quality.value_counts(wh.raw("customers"), "gender")
+    return quality.value_counts(wh.raw("customers"), "gender", fold=wh.cfg.fold_text)
 
 
 @query("dq_05_province_variants")
 def dq_province_variants(wh: Warehouse) -> DataFrame:
-    return quality.value_counts(wh.raw("customers"), "province")
+    return quality.value_counts(wh.raw("customers"), "province", fold=wh.cfg.fold_text)
 
 
 @query("dq_06_future_join_dates")
@@ -173,7 +173,7 @@ def dq_product_rows(wh: Warehouse) -> DataFrame:
 
 @query("dq_10_product_variants")
 def dq_product_variants(wh: Warehouse) -> DataFrame:
-    return quality.value_counts(wh.raw("products"), "product_name")
+    return quality.value_counts(wh.raw("products"), "product_name", fold=wh.cfg.fold_text)
 
 
 @query("dq_11_null_product_status")
@@ -245,9 +245,9 @@ def dq_quality_log(wh: Warehouse) -> DataFrame:
              for table, checks in CHECKS.items() for check, metrics in checks.items() for metric in metrics]
     frames = [
         ("DQ-03", sev["DQ-03"], quality.row_count(dq_duplicate_ids(wh), "duplicate_ids")),
-        ("DQ-04", sev["DQ-04"], quality.distinct_count(customers, "gender", "gender_variants")),
-        ("DQ-05", sev["DQ-05"], quality.distinct_count(customers, "province", "province_variants")),
-        ("DQ-10", sev["DQ-10"], quality.distinct_count(products, "product_name", "product_name_variants")),
+        ("DQ-04", sev["DQ-04"], quality.distinct_count(customers, "gender", "gender_variants", wh.cfg.fold_text)),
+        ("DQ-05", sev["DQ-05"], quality.distinct_count(customers, "province", "province_variants", wh.cfg.fold_text)),
+        ("DQ-10", sev["DQ-10"], quality.distinct_count(products, "product_name", "product_name_variants", wh.cfg.fold_text)),
         ("DQ-13", sev["DQ-13"], dq_open_before_join(wh)),
         ("DQ-16", sev["DQ-16"], dq_orphan_activity(wh)),
         ("DQ-17", sev["DQ-17"], dq_txn_before_join(wh)),
@@ -359,7 +359,8 @@ def eda_rate_by_age_band(wh: Warehouse) -> DataFrame:
 
 @query("eda_05_account_status_share")
 def eda_account_status_share(wh: Warehouse) -> DataFrame:
-    return segments.share_of_total(wh.base(), ["account_status"], "total_customers")
+    counts = quality.value_counts(wh.base(), "account_status", "total_customers", fold=wh.cfg.fold_text)
+    return segments.with_share(counts, "total_customers", "pct_of_total")
 
 
 @query("eda_06_new_customers_by_year")
@@ -398,7 +399,7 @@ def _product_counts(wh: Warehouse, keys: list[str]) -> DataFrame:
 def eda_product_status_share(wh: Warehouse) -> DataFrame:
     per = _product_counts(wh, ["product_status"])
     joined = skew_join(wh.base().select("customer_id"), per, "customer_id", hot=wh.base_hot())
-    counts = joined.groupBy("product_status").agg(F.sum("_n").alias("total_products"))
+    counts = quality.one_spelling(joined, "product_status", F.sum("_n").alias("total_products"), fold=wh.cfg.fold_text)
     return segments.with_share(counts, "total_products", "pct_of_total")
 
 

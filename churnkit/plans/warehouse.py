@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit.config import FIXTURE, ChurnConfig
+from churnkit.functions import folded
 from churnkit.operators import model, segments
 from churnkit.operators.joins import HotKeys, key_metrics, observed_keys
 from churnkit.operators.ordering import quantile_sketches
@@ -42,6 +43,10 @@ from churnkit.sources.schemas import RAW_SCHEMAS
 from churnkit.sources.sinks import publish_tables
 
 
+#: The customer id as it was exported, in the raw tables of a warehouse that folds text.
+AS_LOADED = "_customer_id_as_loaded"
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, raw_paths: dict[str, str], cfg: ChurnConfig,
                  buckets: int | None = None, multi_line: bool = False):
@@ -126,9 +131,17 @@ class Warehouse:
         The CSV export is parsed once and stored as all-string Parquet.
         Profiling checks and staging builds then read only the columns they
         use, instead of parsing the whole CSV again for each of them.
+
+        With ``fold_text`` the customer id is stored folded, so that joins, groups,
+        hot keys and buckets of all layers are those of a plain string, and ``AS_LOADED`` keeps its spelling.
         """
-        return self._table(f"raw_{name}", lambda: self._stored(f"raw-{name}", read_raw_csv(
-            self.spark, self.raw_paths[name], RAW_SCHEMAS[name], self.multi_line, MALFORMED), ("customer_id",), profile_metrics(name, self.cfg)))
+        def build() -> DataFrame:
+            rows = read_raw_csv(self.spark, self.raw_paths[name], RAW_SCHEMAS[name], self.multi_line, MALFORMED)
+            if self.cfg.fold_text:
+                rows = rows.withColumns({AS_LOADED: F.col("customer_id"), "customer_id": folded("customer_id")})
+            return self._stored(f"raw-{name}", rows, ("customer_id",), profile_metrics(name, self.cfg))
+
+        return self._table(f"raw_{name}", build)
 
     def profile(self, name: str) -> dict[str, int | None]:
         """The counts of ``profile_metrics``, taken while the table was loaded."""
@@ -141,7 +154,7 @@ class Warehouse:
 
     def raw(self, name: str) -> DataFrame:
         """The loaded raw table's own columns."""
-        return self.loaded(name).drop(MALFORMED)
+        return self.loaded(name).drop(MALFORMED, AS_LOADED)
 
     # -- staging -------------------------------------------------------------
 
@@ -193,7 +206,7 @@ class Warehouse:
 
     def holdings(self) -> DataFrame:
         return self._table("holdings", lambda: self._by_customer(
-            model.portfolio(self.staging_products(), self.cfg.product_names), "holdings"))
+            model.portfolio(self.staging_products(), self.cfg.product_names, self.cfg.fold_text), "holdings"))
 
     def churn_analysis(self) -> DataFrame:
         return self._table("churn_analysis", lambda: materialize(

@@ -1,5 +1,5 @@
 """Streaming form of the raw load (the reference itself has no streams)."""
 
-from churnkit.streaming.load import stream_raw_csv
+from churnkit.streaming.load import load_counts, stream_raw_csv
 
-__all__ = ["stream_raw_csv"]
+__all__ = ["load_counts", "stream_raw_csv"]

@@ -7,7 +7,7 @@ import pytest
 from churnkit.session import scratch_path
 from churnkit.sources.csv import MALFORMED, read_raw_csv, write_raw_csv
 from churnkit.sources.schemas import RAW_PRODUCTS
-from churnkit.streaming import stream_raw_csv
+from churnkit.streaming import load_counts, stream_raw_csv
 
 ROWS = [
     ("C000000001", " CA", "2020-01-01", None),
@@ -65,6 +65,19 @@ def test_streaming_load_is_exactly_once(spark):
     assert spark.read.parquet(out).count() == 4
 
 
+def test_streaming_load_counts_rows_of_the_wrong_shape(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    out, ckpt = scratch_path(spark, "stream-bad"), scratch_path(spark, "stream-bad-ckpt")
+    head = "customer_id,product_name,open_date,product_status\n"
+    days = ["C1,Home Loan,2020-01-01,Active\nC2,Short\n", "C3,Home Loan,2020-01-01,Active,extra\nC4,Home Loan,,\n"]
+    for day, (text, want) in enumerate(zip(days, [(2, 1), (4, 2)])):
+        (tmp_path / "src" / f"day{day}.csv").write_text(head + text)
+        stream_raw_csv(spark, str(tmp_path / "src"), RAW_PRODUCTS, out, ckpt, malformed=MALFORMED).awaitTermination(120)
+        assert tuple(load_counts(spark, out, MALFORMED).first()) == want
+    batch = read_raw_csv(spark, str(tmp_path / "src"), RAW_PRODUCTS, malformed=MALFORMED).collect()
+    assert sorted(map(str, batch)) == sorted(map(str, spark.read.parquet(out).collect()))
+
+
 @pytest.mark.parametrize("table,count", [("customers", 1530), ("products", 2424), ("activity", 1510)])
 def test_fixture_row_counts_sf001(spark, table, count):
     from churnkit.plans.warehouse import fixture_warehouse
