@@ -5,7 +5,7 @@ punctuation as space). Seeds of ``shortest`` words that a document shares with a
 the pair, if the words under shared seeds could cover ``coverage`` of the
 item. Such a pair is tiled: the longest common run of unmarked words is
 marked in both, again and again, down to ``shortest`` words; candidates for
-runs are found by rolling hashes (Karp and Rabin). The tiles need not be in
+runs are found by rolling hashes (Karp and Rabin), a span of the text at a time. The tiles need not be in
 the same order in both, so a passage whose sentences were moved is still
 covered. A document is contaminated by an item when its tiles cover at least
 ``coverage`` of the item's words.
@@ -84,21 +84,59 @@ class Index:
         return Index(shortest, [i for i, _ in items], tokens, found, np.append(begin, len(seeds)), item[order], (at - words.first[item])[order])
 
 
+def common_runs(a: np.ndarray, b: np.ndarray, shortest: int, most: int = 1 << 18) -> list[tuple[int, int, int]]:
+    """All longest common runs (place in a, place in b, length) of ``shortest`` words or more.
+
+    Seeds are matched for a span of ``b`` at a time, about ``most`` pairs of
+    places, and put together along each diagonal; runs go on over spans.
+    """
+    seeds = rolling(a, shortest)
+    order = np.argsort(seeds, kind="stable")
+    seeds, theirs = seeds[order], rolling(b, shortest)
+    begin = np.searchsorted(seeds, theirs, "left")
+    times = np.searchsorted(seeds, theirs, "right") - begin
+    places = np.flatnonzero(times)
+    total = np.concatenate(([0], np.cumsum(times[places])))
+    out: list[tuple[int, int, int]] = []
+    going: dict[int, tuple[int, int, int]] = {}  # diagonal -> a run that reaches the end of the span
+    at, last = 0, -1
+    while at < len(places):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        n = times[places[at:end]]
+        j = np.repeat(places[at:end], n)
+        i = order[np.repeat(begin[places[at:end]] - (total[at:end] - total[at]), n) + np.arange(len(j))]
+        same = np.ones(len(j), bool)
+        for k in range(shortest):  # equal hashes are not yet equal words
+            same &= a[i + k] == b[j + k]
+        i, j = i[same], j[same]
+        line = np.lexsort((j, j - i))
+        i, j = i[line], j[line]
+        new = np.flatnonzero((np.diff(j - i, prepend=-len(a) - 1) != 0) | (np.diff(j, prepend=-2) != 1))
+        size = np.diff(np.append(new, len(j)))
+        first, begun, going = int(places[at]), going if places[at] == last + 1 else _close(going, out), {}
+        last, at = int(places[end - 1]), end
+        for i0, j0, count in zip(i[new].tolist(), j[new].tolist(), size.tolist(), strict=True):
+            final = j0 + count - 1
+            if j0 == first and j0 - i0 in begun:
+                i0, j0, _ = begun.pop(j0 - i0)
+            run = i0, j0, final - j0 + shortest
+            if final == last:
+                going[j0 - i0] = run
+            else:
+                out.append(run)
+        _close(begun, out)
+    _close(going, out)
+    return out
+
+
+def _close(runs: dict[int, tuple[int, int, int]], out: list) -> dict:
+    out += runs.values()
+    return {}
+
+
 def tiles(a: np.ndarray, b: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
     """Greedy tiling of two token sequences: (place in a, place in b, length), longest first."""
-    where: dict[int, list[int]] = {}
-    for i, h in enumerate(rolling(a, shortest).tolist()):
-        where.setdefault(h, []).append(i)
-    runs, open_runs = [], {}
-    for j, h in enumerate(rolling(b, shortest).tolist()):
-        following = {}
-        for i in where.get(h, ()):
-            if (a[i:i + shortest] == b[j:j + shortest]).all():
-                following[i] = open_runs.pop(i - 1, (i, j))
-        runs += [(i0, j0, j - j0 + shortest - 1) for i0, j0 in open_runs.values()]
-        open_runs = following
-    runs += [(i0, j0, len(b) - j0) for i0, j0 in open_runs.values()]
-    heap = [(-n, i, j) for i, j, n in runs]
+    heap = [(-n, i, j) for i, j, n in common_runs(a, b, shortest)]
     heapq.heapify(heap)
     used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     out = []

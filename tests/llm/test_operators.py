@@ -402,6 +402,29 @@ def test_lm_probabilities_sum_to_one():
     assert base[6] > base[5]  # the bigrams help on training text
 
 
+def _runs_brute(a, b, shortest):
+    out = []
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= shortest and (i == 0 or j == 0 or a[i - 1] != b[j - 1]):
+                out.append((i, j, n))
+    return out
+
+
+def test_common_runs_over_spans():
+    rnd = np.random.default_rng(5)
+    for kinds, na, nb, shortest in ((1, 9, 40, 5), (2, 30, 90, 3), (3, 25, 200, 1), (9, 40, 60, 5), (2, 3, 50, 5), (2, 20, 0, 5)):
+        a, b = (rnd.integers(1, kinds + 1, n).astype(np.uint64) for n in (na, nb))
+        want = sorted(_runs_brute(a.tolist(), b.tolist(), shortest))
+        for most in (1, 7, 64, 1 << 18):
+            assert sorted(decontaminate.common_runs(a, b, shortest, most)) == want
+    same = np.ones(100_000, np.uint64)  # a long text of one word against an item of it
+    assert sum(n for _, _, n in decontaminate.tiles(same[:100], same, 5)) == 100
+
+
 def test_tiles():
     a, b = np.arange(1, 21, dtype=np.uint64), np.concatenate([np.arange(11, 21), [99], np.arange(1, 11)]).astype(np.uint64)
     assert sorted(decontaminate.tiles(a, b, 5)) == [(0, 11, 10), (10, 0, 10)]
