@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from churnkit.config import FIXTURE
+from churnkit.operators import model
+from churnkit.operators.joins import HotKeys
 from churnkit.operators.ordering import ntile, percentile_exact, rank_rows
 from churnkit.plans import staging
-from churnkit.plans.warehouse import fixture_warehouse
+from churnkit.plans.warehouse import Warehouse, fixture_warehouse
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +80,30 @@ def test_one_row_per_customer_tables_join_without_shuffle(spark, wh):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_buckets_follow_the_size_of_the_customer_export(spark, tmp_path, monkeypatch):
+    """A task works on a whole bucket, so its memory and time must not grow with the table."""
+    with open(tmp_path / "customers.csv", "wb") as f:
+        f.truncate(60 << 20)
+    paths = {"customers": str(tmp_path / "customers.csv")}
+    assert Warehouse.from_csv(spark, paths, FIXTURE).buckets == 8
+    monkeypatch.setattr(Warehouse, "MOST_BUCKETS", 5)
+    assert Warehouse.from_csv(spark, paths, FIXTURE).buckets == 5
+
+
+def test_one_row_per_customer_tables_merge_instead_of_being_broadcast(wh):
+    """A small file can hold many rows, and a broadcast holds them all in every executor."""
+    wide = model.wide_table(wh.staging_customers(), wh.staging_activity(), wh.holdings(), wh.cfg.product_names, HotKeys())
+    assert any("SortMergeJoin" in x and "LeftOuter" in x for x in plan(wide).splitlines())
+    seen = []
+    original = model.rank_rows
+    try:
+        model.rank_rows = lambda df, *a, **k: seen.append(plan(df)) or original(df, *a, **k)
+        model.fact_churn(wh.staging_activity(), wh.dim_customer(), wh.dim_product(), HotKeys())
+    finally:
+        model.rank_rows = original
+    assert "SortMergeJoin" in seen[0]
+
+
 def test_skew_join_equals_plain_join_and_broadcasts_hot_keys(spark):
     from churnkit.operators.joins import HotKeys, hot_keys, skew_join
 
