@@ -20,11 +20,11 @@ Their number and size follow from the number of distinct fingerprints and the
 ``likeness`` asked for: unrelated fingerprints meet about ``FALSE`` times each,
 those just alike enough share no band with probability ``MISS``. Equal fingerprints are one. In
 every band each bucket has two leaders, its smallest and its largest fingerprint by
-hash; every member is verified against both, and alike ones are linked. So no
-bucket is gathered, capped or compared pair by pair: n members make at most 2 n
-pairs in each band, and linked ones are one group. Two members that are alike, but
-in none of their common buckets both to a leader, and over no other member
-either, are not linked; tests and README give the recall against all pairs.
+hash; every member is verified against both, and alike ones are linked. In buckets whose
+members are then still in several groups, every two members of different groups
+are verified too, so no bucket is capped: all alike fingerprints that share a bucket are one
+group. A bucket's largest group is not compared with itself, and a large bucket is cut into
+cells of at most ``CELL`` times ``CELL`` comparisons, spread over the tasks.
 
 **Edited texts.** ``with_successor`` is the use case of the registered query: the
 documents are sorted by id over all tasks, and each is compared with the next
@@ -62,6 +62,7 @@ PERIOD_BITS = 12
 PERIOD = 1 << PERIOD_BITS  # the walk's random bits repeat after so many steps
 KINDS = 256  # characters are told apart in the walk by so many classes
 FALSE, MISS = 0.05, 0.02
+CELL = 8192  # fingerprints of one bucket on either side of a comparison
 SIDE_BY_SIDE = 64  # fewer texts are walked one by one, which takes as long
 U64 = np.uint64
 
@@ -235,6 +236,35 @@ def likeness_column(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - 2 * differ / F.lit(BITS))
 
 
+def _between_groups(members: DataFrame, roots: DataFrame, known: DataFrame, near: float) -> DataFrame:
+    """(a, b): roots of groups that hold two alike members of one bucket.
+
+    ``members``: (bucket, node), each bucket's leaders verified against all its members;
+    ``roots``: (node, root) of linked nodes; any other node is a group of its own.
+    """
+    words = BITS // 64
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
+        F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("groups"))
+    # of three members at most one is no leader, so all their pairs are verified
+    mixed = sizes.filter("groups > 1 and size > 3").select("bucket", F.col("main.root").alias("main"),
+                                                           F.ceil(F.col("size") / CELL).cast("int").alias("wide"), F.ceil((F.col("size") - F.col("main.n")) / CELL).cast("int").alias("high"))
+    rest = rooted.join(materialize(mixed, "prints-mixed"), "bucket").join(known.select("node", *[F.col("words")[i].alias(f"w{i}") for i in range(words)]), "node")
+    rest = materialize(rest, "prints-rest")
+
+    def side(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Each row once for every cell of the bucket that it is compared in."""
+        at = {own: F.pmod(F.xxhash64("node"), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
+        cell = [at["high"].alias("y"), at["wide"].alias("x")]
+        return rows.select("bucket", *cell, F.col("root").alias(f"{name}_root"), *([F.col("main")] if name == "a" else []), *[F.col(f"w{i}").alias(f"{name}{i}") for i in range(words)])
+
+    a, b = side(rest.filter("root <> main"), "a", "high", "wide"), side(rest, "b", "wide", "high")
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(words)), F.lit(0))
+    met = a.join(b, ["bucket", "y", "x"]).filter((F.col("b_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
+    alike = met.filter(F.greatest(F.lit(0.0), 1 - 2 * differ / F.lit(BITS)) >= near)
+    return alike.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct()
+
+
 def near_groups(prints: DataFrame, key: str = "doc_id", column: str = "fingerprint", near: float = 0.9) -> DataFrame:
     """(fingerprint, group_id): the smallest key reachable over links between fingerprints of likeness ``near`` or more.
 
@@ -266,15 +296,20 @@ def near_groups(prints: DataFrame, key: str = "doc_id", column: str = "fingerpri
 
     dealt = known.mapInArrow(deal, "bucket long, node long")
     buckets = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    members = dealt.join(materialize(buckets, "prints-leaders"), "bucket")
+    members = materialize(dealt.join(materialize(buckets, "prints-leaders"), "bucket"), "prints-members")
     pairs = members.select("node", F.explode(F.array("first", "last")).alias("leader")).filter("node <> leader").distinct()
     a, b = known.select("node", F.col("words").alias("a")), known.select(F.col("node").alias("leader"), F.col("words").alias("b"))
     alike = materialize(pairs, "prints-pairs").join(a, "node").join(b, "leader").filter(likeness_column(F.col("a"), F.col("b")) >= near)
     links = materialize(alike.select(F.col("node").alias("a"), F.col("leader").alias("b")), "prints-links")
     copied = distinct.filter("copies > 1").select(column, F.col("first").alias("group_id"))
-    if links.isEmpty():
+    roots = materialize(connected_components(links), "prints-roots") if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    more = materialize(_between_groups(members.select("bucket", "node"), roots, known, near), "prints-between")
+    if not more.isEmpty():
+        top = materialize(connected_components(more), "prints-top")
+        own = roots.unionByName(top.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti"))
+        roots = own.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    elif links.isEmpty():
         return copied
-    roots = connected_components(links)
     linked = materialize(known.select(column, "node").join(roots, "node").select(column, "root").join(distinct, column), "prints-linked")
     smallest = linked.groupBy("root").agg(F.min("first").alias("group_id"))
     grouped = linked.join(smallest, "root").select(column, "group_id")

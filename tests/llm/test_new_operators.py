@@ -261,3 +261,19 @@ def test_near_groups(spark):
         assert len(alone) > 15 and not any(known[i] in groups for i in alone)
     assert fingerprints.near_groups(prints.limit(0)).count() == 0
     assert fingerprints.near_groups(prints.filter("doc_id = 500")).count() == 0
+
+
+@pytest.mark.parametrize("cell", [8192, 3])
+def test_members_alike_only_to_each_other_are_linked(spark, monkeypatch, cell):
+    """One bucket per band, whose leaders are alike to no one: every other pair is verified too, in one cell or in many."""
+    monkeypatch.setattr(fingerprints, "band_bits", lambda distinct, near: [[511], [510]])
+    monkeypatch.setattr(fingerprints, "CELL", cell)
+    rnd = random.Random(5)
+    families = []
+    for _ in range(12):
+        whole = rnd.getrandbits(509) << 3
+        families.append([whole ^ sum(1 << b for b in rnd.sample(range(3, 512), 4 * k)) for k in range(4)])
+    rows = [(i, p.to_bytes(64, "big")) for i, p in enumerate(p for f in families for p in f)]
+    prints = spark.createDataFrame(rows, "doc_id long, fingerprint binary").repartition(3)
+    groups = {bytes(r["fingerprint"]): r["group_id"] for r in fingerprints.near_groups(prints, near=0.9).collect()}
+    assert groups == {p: i - i % 4 for i, p in rows}
