@@ -221,10 +221,22 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
     def place(mark: Column) -> Column:
         return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), mark.alias("mark"))
 
-    chosen = found.groupBy("root").agg(F.min(place(F.col("mark"))).alias(row)).select(row).distinct()
-    marked = docs.withColumn(row, place(F.xxhash64("text"))).join(chosen, row, "left_semi")
+    # Only places of more than one row can hold equal rows; all others need no window.
+    places = found.groupBy("root", place(F.col("mark")).alias("place")).agg(F.count(F.lit(1)).alias("rows"))
+    least = places.groupBy("root").agg(F.min(F.struct("place", "rows")).alias("least"))
+    chosen = materialize(least.groupBy(F.col("least.place").alias(row)).agg(F.sum("least.rows").alias("rows")), "chosen")
+    marked = docs.withColumn(row, place(F.xxhash64("text")))
+
+    def kept(places: DataFrame) -> DataFrame:
+        # the places are hashed, so the texts are streamed past them and never sorted
+        return marked.join(places.select(row).hint("shuffle_hash"), row, "left_semi")
+
+    single, repeated = kept(chosen.filter("rows = 1")).select(*docs.columns), chosen.filter("rows > 1")
+    if repeated.isEmpty():
+        return single
     again = F.row_number().over(Window.partitionBy(row).orderBy(row))  # equal rows
-    return marked.select(*docs.columns, F.struct(again.alias("again")).alias(row)).filter(F.col(row)["again"] == 1).select(*docs.columns)
+    numbered = kept(repeated).select(*docs.columns, F.struct(again.alias("again")).alias(row))
+    return single.unionByName(numbered.filter(F.col(row)["again"] == 1).select(*docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

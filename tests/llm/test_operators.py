@@ -140,6 +140,19 @@ def test_one_of_each(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_neither_sorts_nor_numbers_the_texts(spark):
+    """Only rows of a place that more than one row has meet a window; the texts of all others are streamed."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = [(i, f"text number {i} of its own words w{i} x{i}") for i in range(20)] + [(None, None)]
+    once = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "Window" not in plan(once) and "Sort" not in plan(once) and "ShuffledHashJoin" in plan(once)
+    assert len(once.collect()) == len({(f, c) for _, f, c in simhash.brute_force(rows)})
+    twice = simhash.one_of_each(spark.createDataFrame(rows + rows[:5] + rows[-1:], "doc_id long, text string"))
+    assert "Window" in plan(twice) and sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
+
+
 def test_one_of_each_keeps_columns_of_any_name(spark):
     names = ["_id", "_mark", "_again", "row", "root", "id", "mark", "component_id", "fp"]
     rows = [(1, "some words of a text", *range(77, 86)), (1, "some words of a text", *range(77, 86)), (2, "quite other things in here", *range(90, 99)), (3, "some words of a text", *range(9))]
